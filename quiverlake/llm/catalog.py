@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bestfit, token_cache, token_files
+from . import bestfit, host_rules, secret_index, token_cache, token_files, virtual_slots
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op3_host_rules": host_rules.op3_host_rules,
+    "op4_virtual_slots": virtual_slots.op4_virtual_slots,
     "op5_token_cache": token_cache.op5_token_cache,
     "op6_bestfit": bestfit.op6_bestfit,
+    "op10_secret_index": secret_index.op10_secret_index,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL}

@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+
+import pyarrow as pa
+import pytest
+
+from quiverlake.llm import secret_index as si
+from quiverlake.llm.shared import text_buffers
+
+from .common import documents, nothing
+
+PLAIN = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+]
+PARTS = ["token", "Secret", "API_KEY", "apikey", "passwd", " = ", ":", "='", '"', "abcdefgh", "x", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef" * 5, "é", "日", "\n", " ", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "A" * 40, "ſecret=abcdefghi", "toKen=abcdefghi"]
+
+
+def plain(text):
+    out = [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(PLAIN) for m in p.finditer(text) if len(m[g]) >= n]
+    return ",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def texts(seed, n=1500):
+    pick = random.Random(seed)
+    return ["".join(pick.choices(PARTS, k=pick.randrange(12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans(seed):
+    rows = texts(seed)
+    found = si.Scanner(si.RULES).spans(pa.array(rows))
+    for text, x in zip(rows, found, strict=True):
+        assert ",".join(f"{si.RULES[k].kind}:{a}:{b}" for a, k, b in x if k < 3) == plain(text)
+        for k, rule in enumerate(si.RULES):  # the index loses nothing
+            every = [(m.start(), m.end()) for m in rule.compiled().finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+            assert [(a, b) for a, j, b in x if j == k] == every
+
+
+def test_queries_are_implied():
+    assert si.trigram_query(r"[0-9a-f]{32,}") is True
+    assert si.trigram_query(r"AKIA[A-Z0-9]+") == ("and", frozenset({b"aki", b"kia"}))
+    assert si.trigram_query(r"(abc|de)") is True
+    assert si.trigram_query(r"x*abc?d") == ("or", frozenset({b"abd", ("and", frozenset({b"abc", b"bcd"}))}))
+    assert si.trigram_query(r"(abc){2}") == ("and", frozenset({b"abc", b"bca", b"cab"}))
+
+
+def test_index_does_not_cross_rows():
+    index = si.BlockIndex(*text_buffers(pa.array(["ak", "iaki", "", "akia", "AKI"])), (b"aki", b"kia"))
+    assert index.rows(b"aki").tolist() == [False, True, False, True, True]
+    assert index.rows(("and", frozenset({b"aki", b"kia"}))).tolist() == [False, False, False, True, False]
+
+
+def test_query_and_mask(spark, tmp_path):
+    secret = [(50, 'key token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "en", "s", 57, *[None] * 6)]
+    docs = documents(spark, secret)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in si.op10_secret_index(spark, str(tmp_path)).collect()}
+    assert got[50].spans == "assign:4:53,hex:13:53" and (got[50].n_assign, got[50].n_access, got[50].n_hex) == (1, 0, 1)
+    assert got[50].base_sha256 == hashlib.sha256(got[50].spans.encode()).hexdigest()
+    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest() and got[0].spans == ""
+    masked = si.mask(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    row = masked.where("doc_id = 50").first()
+    assert row.text == 'key [assign]" end' and row.n_chars == len(row.text)
+    assert masked.where("text is null").count() == docs.where("text is null").count()
+    assert si.mask(nothing(spark)).count() == 0 == si.scan(nothing(spark)).count()
