@@ -8,8 +8,8 @@ A text is cut only where the tokenizer itself cuts, whatever stands around the p
 - "white" (white space is dropped before encoding): around any run of spaces and line feeds.
 
 Visible means ASCII 0x21-0x7E, or the letters U+00C0-U+00FF (UTF-8 C3 80 to C3 BF); elsewhere
-the text stays in one piece. Pieces are recognised by 64-bit hash and length; their ids are kept
-in a table of bounded size, so the library sees each distinct piece about once per task.
+the text stays in one piece. Pieces are recognised by a 64-bit hash; their ids are kept in sorted
+arrays of bounded size, so the library sees each distinct piece about once per task.
 Special strings such as <|endoftext|> hold no white space, so they are never cut.
 """
 
@@ -22,7 +22,8 @@ import pyarrow as pa
 
 from .shared import Spans, text_buffers
 
-KEPT_PIECES = 500_000
+KEPT_PIECES = 2_000_000
+TOGETHER = 512
 #: Put between pieces that the library is given together; it is always a token of its own there.
 _BETWEEN = {"gpt": "\n", "white": " \x01 "}
 _ENCODERS: dict[tuple[str, str], "PieceEncoder"] = {}
@@ -49,45 +50,54 @@ class PieceEncoder:
         self.between = self.tokenizer.encode(_BETWEEN[rule], add_special_tokens=False).ids
         if len(self.between) != 1:
             raise ValueError(f"{path} does not give {_BETWEEN[rule]!r} one id")
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.bounds = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def learn(self, pieces: list[str], names: list[int]) -> None:
-        """Encode new pieces, many in one text; those in which the separator's neighbours could matter go alone."""
-        mark = _BETWEEN[self.rule].strip(" ")
-        together = [k for k, p in enumerate(pieces) if mark not in p and not p[-1].isspace() and not p[:2].isspace()]
-        alone = sorted(set(range(len(pieces))) - set(together))
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # of each known piece, by hash
+        self.ids, self.bounds = np.empty(0, self.kind), np.zeros(1, np.int64)  # ids of slot i: bounds[i] to bounds[i + 1]
+
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """Encode new pieces and return their slots; those in which the separator's neighbours could matter go alone."""
+        between, mark = _BETWEEN[self.rule].encode(), self.between[0]
         found, lengths, order = [], [], []
-        for lo in range(0, len(together), 2048):
-            part = together[lo : lo + 2048]
-            ids = np.array(self.tokenizer.encode(_BETWEEN[self.rule].join(pieces[k] for k in part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between[0])
+        alone = np.flatnonzero(~together).tolist()
+        together = np.flatnonzero(together)
+        parts = [together[lo : lo + TOGETHER] for lo in range(0, len(together), TOGETHER)]
+        joined = [between.join([raw[a:b] for a, b in zip(starts[p].tolist(), ends[p].tolist(), strict=True)]).decode() for p in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark)
             if len(cuts) == len(part) - 1:
-                found.append(np.delete(ids, cuts))
+                found.append(ids[ids != mark])
                 lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-                order += part
+                order.append(part)
             else:
-                alone += part
+                alone += part.tolist()
         if alone:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in alone], add_special_tokens=False)]
             found += [np.array(ids, np.uint32) for ids in each]
             lengths.append(np.array([len(ids) for ids in each], np.int64))
-            order += alone
-        first = sum(map(len, self.bounds)) - 1
-        self.known.update((names[k], first + i) for i, k in enumerate(order))
-        self.bounds.append(self.bounds[-1][-1] + np.cumsum(np.concatenate(lengths)))
-        self.ids += found
+            order.append(np.array(alone))
+        slots = np.empty(len(starts), np.int64)
+        slots[np.concatenate(order)] = np.arange(len(starts)) + len(self.bounds) - 1
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
+        self.ids = np.concatenate([self.ids, *(x.astype(self.kind) for x in found)])
+        return slots
+
+    @staticmethod
+    def visible(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At which bytes a visible character begins, and at which one ends."""
+        plain = (data > 0x20) & (data < 0x7F)
+        c3 = data == 0xC3
+        closes = plain.copy()
+        closes[1:] |= c3[:-1]
+        return plain | c3, closes
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces; no piece crosses a row."""
         n = len(data)
-        plain = (data > 0x20) & (data < 0x7F)
-        c3 = data == 0xC3
-        opens, closes = plain | c3, plain.copy()  # what a visible character can begin or end with
-        closes[1:] |= c3[:-1]
+        opens, closes = self.visible(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         gap = (data == 0x20) | (data == 0x0A)
@@ -115,19 +125,24 @@ class PieceEncoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         keys, where, inverse = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.kept:
+        if len(self.keys) + len(keys) > self.kept:
             self.clear()
-        known = self.known
-        names = keys.tolist()
-        missing = [i for i, k in enumerate(names) if k not in known]
-        if missing:
-            raw, at = data.tobytes(), where[missing]
-            self.learn([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], [names[i] for i in missing])
-            self.ids, self.bounds = [np.concatenate(self.ids)], [np.concatenate(self.bounds)]
-        bounds = self.bounds[0]
-        slot = np.array([known[k] for k in names], np.int64)[inverse]
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        slots = np.empty(len(keys), np.int64)
+        slots[~new] = self.slots[at[~new]]
+        if new.any():
+            a, b = starts[where[new]], ends[where[new]]
+            opens, closes = self.visible(data)
+            marks = np.concatenate([[0], np.cumsum(data == ord(_BETWEEN[self.rule].strip(" ")))])
+            first = opens[a] | ((data[a] == 0x20) & opens[np.minimum(a + 1, len(data) - 1)] & (b > a + 1))
+            slots[new] = self.learn(data.tobytes(), a, b, first & closes[b - 1] & (marks[b] == marks[a]))
+            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], slots[new])
+        bounds, slot = self.bounds, slots[inverse]
         lengths = bounds[slot + 1] - bounds[slot]
         out = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(lengths, out=out[1:])
-        ids = self.ids[0][np.repeat(bounds[slot] - out[:-1], lengths) + np.arange(out[-1])]
+        ids = self.ids[np.repeat(bounds[slot] - out[:-1], lengths) + np.arange(out[-1])].astype(np.uint32)
         return ids, out[np.searchsorted(starts, offsets)]
