@@ -80,8 +80,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
 
     counts = chosen.mapInArrow(encode, "content_digest binary, n_tokens bigint")
     counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    # A failed call may have left a count twice; they are equal.
-    answers = stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two calls at once may store a count twice; they are equal. The answers are a table of their own, so that
+    # the digest that many documents share is split in the join.
+    answers = first.select("content_digest").join(stored(), "content_digest").groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    answers = materialise(answers, run_folder(spark, "answers"))
     return digests.join(answers, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
