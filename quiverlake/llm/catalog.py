@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bestfit, host_rules, secret_index, token_cache, token_files, virtual_slots
+from . import bestfit, decontaminate, host_rules, secret_index, token_cache, token_files, virtual_slots
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_virtual_slots": virtual_slots.op4_virtual_slots,
     "op5_token_cache": token_cache.op5_token_cache,
