@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, decontaminate, host_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots
+from . import bestfit, decontaminate, host_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_virtual_slots": virtual_slots.op4_virtual_slots,
     "op5_token_cache": token_cache.op5_token_cache,
     "op6_bestfit": bestfit.op6_bestfit,
+    "op7_warc_index": warc_index.op7_warc_index,
+    "op8_wrapper": wrapper.op8_wrapper,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_secret_index": secret_index.op10_secret_index,
 }
-ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL}
+ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL, "op7_warc_index": warc_index.OP7_SQL}
