@@ -14,7 +14,9 @@ fragments. The work runs in these steps:
    sets share one of their first n - ceil(t * n) + 1 n-grams. Members of one such list
    are not all paired. First each is paired with its neighbour and with the list's most
    central member, and the links found give components. Then only members of different
-   components are paired, and only if sizes and private counts allow a link.
+   components are paired, and only if sizes, private counts and the n-gram's places in
+   the two orders allow a link. A linked pair passes in the list of its first common
+   n-gram, so rows of lists further on are not needed.
 4. Candidates are verified by fragments: the overlap of each fragment's segments is
    counted by itself and summed for each pair.
 5. Connected components over all links.
@@ -41,13 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import FOLD, Spans, blocks, materialise, mix, run_folder, text_buffers, windows, words
+from .shared import FOLD, Spans, blocks, materialise, mix, run_folder, slices, text_buffers, windows, words
 
 FRAGMENTS = 4  # of the order, when pairs are verified
 SCATTER = 4  # fragments for each shuffle partition, when private n-grams are found
-FREQUENT, MOST_FREQUENT = 32, 200_000
-HEAD_SHARE = 0.3  # of a set, that is looked at for frequent n-grams
-SEND_BYTES = 8 << 20
+FREQUENT, MOST_FREQUENT = 16, 200_000
+SEND_BYTES = 4 << 20
+SLICE_GRAMS = 400_000  # handled at once by a task
 
 PROFILE = "kind int, doc_id bigint, cls bigint, n int, block bigint, idx int, part int, data binary"
 PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
@@ -106,7 +108,7 @@ def _profile(width: int, parts: int):
             fill = lambda v, t, k: pa.array(np.full(k, v), t)
             yield pa.RecordBatch.from_arrays([
                 fill(0, pa.int32(), rows), batch.column(0), pa.array(names), pa.array(np.diff(bounds), pa.int32()), fill(block, pa.int64(), rows),
-                pa.array(idx, pa.int32()), fill(block % parts, pa.int32(), rows), pa.nulls(rows, pa.binary()),
+                pa.array(idx, pa.int32()), pa.array((np.arange(rows) + block) % parts, pa.int32()), pa.nulls(rows, pa.binary()),
             ], schema=PROFILE_ARROW)
             # One copy of each set, then one copy of each n-gram; those of several sets have no owner.
             sizes = np.diff(bounds)[first]
@@ -215,20 +217,23 @@ def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, i
 
 def frequent_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams to move to the end of the order, ascending, and their places there. Any choice is right; their number is bounded."""
-    heads = sets.select(F.explode(F.expr(f"slice(grams, 1, cast(ceil({HEAD_SHARE} * n) as int))")).alias("g"))
-    top = heads.groupBy("g").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
+    top = sets.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
     grams = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], (len(grams) - np.arange(len(grams)))[order]
 
 
 def prefixes(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(g, cls, n, s) for the first n-grams of each set in the global order."""
+    """(g, cls, n, s) for the first n-grams of each set in the global order.
+
+    s is a number of the set's n-grams that no partner shares for whom this list is the first common one: those
+    before g, or the private ones.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, place = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, b.column(1).to_numpy(), SLICE_GRAMS)):
             cls, n, s = (batch.column(i).to_numpy() for i in range(3))
             lists = batch.column(3)
             grams = lists.flatten().to_numpy().view(np.uint64)
@@ -240,9 +245,11 @@ def prefixes(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarr
             order = np.lexsort((grams, rank, row))
             nth = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
             size = n - (percent * n.astype(np.int64) + 99) // 100 + 1
-            keep = order[nth < size[row]]
+            early = nth < size[row]
+            keep = order[early]
             r = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(cls[r]), pa.array(n[r]), pa.array(s[r])], names=["g", "cls", "n", "s"])
+            bound = np.maximum(nth[early], s[r]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(cls[r]), pa.array(n[r]), pa.array(bound)], names=["g", "cls", "n", "s"])
 
     return sets.select("cls", "n", "s", "grams").mapInArrow(cut, "g bigint, cls bigint, n int, s int")
 
@@ -328,7 +335,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = F
     joined = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "of_a", "of_b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, b.column(2).to_numpy() + b.column(3).to_numpy(), SLICE_GRAMS * fragments)):
             x, y = batch.column(4), batch.column(5)
             rows = np.arange(batch.num_rows)
             nx, ny = (np.diff(c.offsets.to_numpy()) for c in (x, y))
@@ -347,7 +354,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = F
 def _segments(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // fragments for k in range(1, fragments)], np.uint64)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, b.column(1).to_numpy(), SLICE_GRAMS)):
             rows = batch.num_rows
             n = batch.column(1).to_numpy()
             grams = batch.column(3).flatten().to_numpy()

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -32,6 +34,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quiverlake/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Give tasks BATCH_BYTES of rows at a time, unless the session has its own limit."""
+    if spark.conf.get(_BATCH_LIMIT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write df as Parquet and read it again: cuts the lineage and survives lost executors."""
     df.write.mode("errorifexists").options(**options).parquet(path)
@@ -66,13 +74,23 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
             continue
         column = as_text(batch.column(batch.schema.get_field_index(text)))
         _, offsets = text_buffers(column)
-        at = 0
+        at, number = 0, max(1, -(-int(offsets[-1]) * 4 // most - 1) // 4 + 1)  # a quarter more is no slice of its own
+        most_here = -(-int(offsets[-1]) // number)
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_here, side="right")) - 1)
             yield batch.slice(at, end - at), column.slice(at, end - at)
             at = end
 
 
+def slices(batch: pa.RecordBatch, lengths: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the lengths of a slice's rows add up to about `most` (one row at least)."""
+    bounds, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # --- hashing ---------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
