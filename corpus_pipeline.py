@@ -14,7 +14,7 @@ from quiverlake.llm.decontaminate import keep_clean
 from quiverlake.llm.host_rules import keep_good
 from quiverlake.llm.ngram_join import keep_one
 from quiverlake.llm.secret_index import mask
-from quiverlake.llm.shared import materialise, run_folder
+from quiverlake.llm.shared import materialise, run_folder, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "white", 0, 2048)
 
 
+def prepared(stage):
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return apply
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("secret scans", secret_scan),
-    ("best-fit packing", packing),
+    ("quality rules", prepared(quality_rules)),
+    ("n-gram Jaccard join", prepared(near_duplicates)),
+    ("benchmark decontamination", prepared(decontamination)),
+    ("secret scans", prepared(secret_scan)),
+    ("best-fit packing", prepared(packing)),
 ]
 
 ORACLE_SQL: str | None = None
