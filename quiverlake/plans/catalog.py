@@ -1,6 +1,329 @@
-"""The queries of the vector engine and their SQL."""
+"""The vector engine's queries over the driver's tables. Their SQL is in oracles.py.
+
+The index has 4 clusters and 8 sub-quantizers of 16 codewords; its parameters are the
+first 4 and the slices of the first 16 vectors. Queries are all vectors whose id is
+divisible by 50, against all vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiverlake.functions import vector as V
+from quiverlake.operators import cache as C
+from quiverlake.operators import index as I
+from quiverlake.operators import search as S
+from quiverlake.plans.engine import API_VERSION, config_columns
+from quiverlake.plans.oracles import ORACLES  # noqa: F401
+from quiverlake.plans.oracles import BLOB_CASES, CONFIG_CASES
+from quiverlake.sources import blob
+from quiverlake.sources.tables import shared_folder, table
+
+NPROBE, K = 2, 10
+
+
+class Index:
+    """What the queries share: vectors, the query set, the quantizer and the coded lists."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.vectors = table(spark, sf_dir, "embeddings")
+        self.queries = S.query_set(self.vectors)
+        self.q = I.seeded_quantizer(self.vectors)
+
+    @property
+    def lists(self) -> DataFrame:
+        return I.inverted_lists(self.vectors, self.q)
+
+    def stored(self, spark: SparkSession) -> DataFrame:
+        """The lists, saved by cluster and loaded again, so that scans prune to the probed clusters."""
+        path = shared_folder(spark, "index")
+        I.save(self.lists, path)
+        return I.load(spark, path)
+
+
+def vector_distance(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        pairs = S.against_all(x.queries, x.vectors, x.q.dim)
+        return pairs.select("qid", "vec_id", V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
+
+    return run
+
+
+def subvector_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    parts = F.array(*[V.subvector(F.col("embedding"), m, x.q.dsub) for m in range(x.q.n_sub)])
+    return x.vectors.select("vec_id", F.posexplode(parts).alias("m", "part"))
+
+
+def centroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    both = [S.centroid_distances(x.queries, x.q, metric).withColumnRenamed("distance", metric) for metric in (V.L2, V.IP)]
+    return both[0].join(both[1], ["qid", "cluster_id"])
+
+
+def centroid_select(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        return S.probes(x.queries, x.q, metric, NPROBE).drop("qvec")
+
+    return run
+
+
+def adc_lut(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        tables = S.with_tables(x.queries, x.q, metric).select("qid", F.posexplode("lut").alias("m", "row"))
+        return tables.select("qid", "m", F.posexplode("row").alias("k", "d"))
+
+    return run
+
+
+def adc_scan(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        lists = x.lists
+
+        def part(block: DataFrame) -> DataFrame:
+            requests = S.with_tables(S.probes(block, x.q, metric, NPROBE).select("qid", "qvec", "cluster_id"), x.q, metric).drop("qvec")
+            return S.scan(requests, lists, x.q)
+
+        blocks = S.in_blocks(x.queries, NPROBE * x.q.n_sub * x.q.ksub * 4)
+        return S.union(part(b) for b in blocks).select("qid", "cluster_id", "vector_id", "global_id", "distance")
+
+    return run
+
+
+def cluster_topk(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        return S.cluster_topk(x.queries, x.lists, x.q, metric, NPROBE, K)
+
+    return run
+
+
+def ivfpq_search(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        return S.search(x.queries, x.stored(spark), x.q, metric, NPROBE, K)
+
+    return run
+
+
+def scatter_gather_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return S.gather(S.cluster_topk(x.queries, x.lists, x.q, V.L2, NPROBE, K), K)
+
+
+def adc_exhaustive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return S.exhaustive(x.queries, x.lists, x.q, V.L2, K)
+
+
+def requests(x: Index) -> DataFrame:
+    """A request for each query: by its number n = qid / 50 it asks for cluster n % 5 (4 is missing) with odd sizes and metrics."""
+    n = (F.col("qid") / 50).cast("int")
+    return x.queries.select(
+        F.col("qid").alias("req"), F.when(n % 7 == 3, F.slice("qvec", 1, 63)).when(n % 7 == 5, F.concat("qvec", F.array(F.lit(1.0).cast("float")))).when(n % 11 == 9, F.lit(None)).otherwise(F.col("qvec")).alias("qvec"),
+        (n % 5).alias("cluster_id"), F.element_at(F.array(*map(F.lit, (10, 0, 3, 600))), n % 4 + 1).alias("top_k"), F.element_at(F.array(*map(F.lit, (0, 1, 7))), n % 3 + 1).alias("metric"))
+
+
+def device_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return S.device_search(requests(x), x.lists, x.q)
+
+
+def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return S.checked(requests(x), x.lists, x.q).select("req", "cluster_id", "top_k", "metric", "status")
+
+
+def semantic_read(metric: str):
+    """Each query reads its nearest cluster and asks for 600 hits; a cluster without an object is no valid object."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = Index(spark, sf_dir)
+        asked = S.probes(x.queries, x.q, metric, 1).select(F.col("qid").alias("req"), "qvec", "cluster_id", F.lit(600).alias("top_k"), F.lit(1 if metric == V.IP else 0).alias("metric"))
+        return S.device_search(asked, x.lists, x.q, S.MOST_RESULTS, S.EINVAL)
+
+    return run
+
+
+def topk_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors twice in one cluster, 600 hits asked for: 500 come."""
+    x = Index(spark, sf_dir)
+    twice = x.vectors.select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    one = twice.select(F.lit(0).alias("cluster_id"), (2 * F.col("vec_id") + F.col("copy")).alias("vector_id"), F.col("vec_id").alias("global_id"), I.encode(F.col("embedding"), x.q.codebook).alias("codes"))
+    asked = x.queries.select(F.col("qid").alias("req"), "qvec", F.lit(0).alias("cluster_id"), F.lit(600).alias("top_k"), F.lit(0).alias("metric"))
+    return S.device_search(asked, one, x.q, S.MOST_RESULTS).select("req", "count", "rank", "vector_id", "distance")
+
+
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return I.assign(x.vectors, x.q.centroids).select("vec_id", "cluster_id")
+
+
+def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return I.list_sizes(I.assign(x.vectors, x.q.centroids))
+
+
+def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Index(spark, sf_dir).lists
+
+
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return x.vectors.select("vec_id", I.encode(F.col("embedding"), x.q.codebook).alias("codes"))
+
+
+def pq_code_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pq_encode(spark, sf_dir).select("vec_id", V.pack_nibbles(F.col("codes")).alias("packed"))
+    return packed.select("vec_id", "packed", V.unpack_nibbles(F.col("packed")).alias("codes"))
+
+
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return I.lloyd_step(x.vectors, x.q.centroids)
+
+
+def pq_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return I.pq_lloyd_step(x.vectors, x.q.codebook)
+
+
+def cluster_object_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return ivf_list_sizes(spark, sf_dir).withColumn("object_bytes", blob.size_of(x.q.n_sub, x.q.ksub, x.q.dsub, F.col("n_vectors")))
+
+
+def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    counts = x.vectors.agg(F.count("*").alias("num_vectors"), F.count(F.when(F.col("vec_id") % 50 == 0, 1)).alias("num_queries"))
+    lit = lambda v, name: F.lit(v).alias(name)
+    return counts.select(F.to_json(F.struct(lit(x.q.n_sub, "M"), lit(x.q.ksub, "ksub"), lit(x.q.dim, "D"), lit(x.q.dsub, "dsub"), "num_vectors", "num_queries", lit(K, "top_k"), lit(0, "metric_type"))).alias("metadata"))
+
+
+def blob_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([(k, None if h is None else bytes.fromhex(h)) for k, h in enumerate(BLOB_CASES)], "case_id int, content binary")
+    return cases.select("case_id", blob.status(F.col("content")).alias("status"))
+
+
+def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return blob.coded_vectors(blob.objects(x.lists, x.q.codebook))
+
+
+def blob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    path = shared_folder(spark, "objects")
+    blob.write_objects(blob.objects(x.lists, x.q.codebook), path)
+    blob.register(spark)
+    return spark.read.format("ivfpq_blob").load(path)
+
+
+def semantic_write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the index, replace cluster 2 by its vectors of even position, read it all."""
+    x = Index(spark, sf_dir)
+    path = shared_folder(spark, "index")
+    I.save(x.lists, path)
+    fresh = x.lists.where("cluster_id = 2 AND vector_id % 2 = 0").withColumn("vector_id", (F.col("vector_id") / 2).cast("long"))
+    I.overwrite_clusters(fresh, path)
+    return I.load(spark, path)
+
+
+def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looked-up distances against those to the reconstructed vectors, over all clusters."""
+    x = Index(spark, sf_dir)
+    coded = x.vectors.select(F.col("vec_id").alias("global_id"), I.encode(F.col("embedding"), x.q.codebook).alias("codes"))
+
+    def part(block: DataFrame) -> DataFrame:
+        return coded.join(F.broadcast(S.with_tables(block, x.q, V.L2)))
+
+    pairs = S.union(part(b) for b in S.in_blocks(x.queries, x.q.n_sub * x.q.ksub * 4))
+    looked, direct = V.adc(F.col("lut"), F.col("codes"), x.q.n_sub), V.l2(F.col("qvec"), I.reconstruct(F.col("codes"), x.q.codebook))
+    gaps = pairs.select("qid", "global_id", F.abs(looked - direct).alias("gap"))
+    return gaps.groupBy("qid").agg(F.max("gap").alias("max_gap"), F.min_by("global_id", F.struct(-F.col("gap"), "global_id")).alias("worst_id"), F.max(F.col("gap") > 1e-4).alias("differs"))
+
+
+def metric_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    a, b = (S.exhaustive(x.queries, x.lists, x.q, m, K).select("qid", "rank", F.col("global_id").alias(m)) for m in (V.L2, V.IP))
+    return a.join(b, ["qid", "rank"]).groupBy("qid").agg(F.max(F.col(V.L2) != F.col(V.IP)).alias("differs"))
+
+
+def exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return S.exact_topk(x.queries, x.vectors, V.L2, K, x.q.dim)
+
+
+def refined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes find 20 * K candidates in all clusters, true distances rank them."""
+    x = Index(spark, sf_dir)
+    return S.refined(x.queries, x.lists, x.vectors, x.q, V.L2, len(x.q.centroids), K, 20)
+
+
+def refined_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.recall(refined_search(spark, sf_dir), exact_knn(spark, sf_dir))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.access_log(table(spark, sf_dir, "events"))
+
+
+def lru_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.replay(log(spark, sf_dir)).select("event_id", "shard", "cluster_id", "op", "hit")
+
+
+def lru_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.replay(log(spark, sf_dir)).where("evicted IS NOT NULL").select("event_id", "shard", "cluster_id", "evicted")
+
+
+def opwq_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.replay(log(spark, sf_dir)).select("event_id", "shard", "priority")
+
+
+def cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.counters(C.replay(log(spark, sf_dir)))
+
+
+def cache_resident_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.resident(log(spark, sf_dir)).drop("reload")
+
+
+def codebook_reload_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.resident(log(spark, sf_dir)).drop("recency")
+
+
+def last_cluster_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.last_cluster(log(spark, sf_dir))
+
+
+def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame(list(enumerate(CONFIG_CASES)), "case_id int, config string")
+    status, slots, path = config_columns(F.col("config"))
+    return cases.select("case_id", status.alias("status"), slots.alias("max_cache_slots"), path.alias("hw_lib_path"))
+
+
+def api_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(API_VERSION).alias("api_version"))
+
+
+QUERIES = {
+    "ivfpq_search_l2": ivfpq_search(V.L2), "ivfpq_search_ip": ivfpq_search(V.IP),
+    "vector_l2_distance": vector_distance(V.L2), "vector_ip_distance": vector_distance(V.IP), "subvector_split": subvector_split,
+    "centroid_distances": centroid_distances, "centroid_select_l2": centroid_select(V.L2), "centroid_select_ip": centroid_select(V.IP),
+    "adc_lut_l2": adc_lut(V.L2), "adc_lut_ip": adc_lut(V.IP), "adc_scan_l2": adc_scan(V.L2), "adc_scan_ip": adc_scan(V.IP),
+    "cluster_topk_l2": cluster_topk(V.L2), "cluster_topk_ip": cluster_topk(V.IP), "device_search": device_search, "topk_clamp": topk_clamp,
+    "scatter_gather_topk": scatter_gather_topk, "semantic_read_l2": semantic_read(V.L2), "semantic_read_ip": semantic_read(V.IP),
+    "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
+    "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
+    "kmeans_step": kmeans_step, "pq_train_step": pq_train_step,
+    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite,
+    "golden_compare": golden_compare, "metric_divergence": metric_divergence,
+    "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,
+    "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters,
+    "config_parse": config_parse, "api_version": api_version,
+    "exact_knn": exact_knn, "refined_search": refined_search, "refined_recall": refined_recall,
+}
