@@ -20,7 +20,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .shared import Spans, text_buffers
+from .shared import BLOCK_BYTES, Spans, text_buffers
 
 KEPT_PIECES = 2_000_000
 TOGETHER = 512
@@ -116,6 +116,17 @@ class PieceEncoder:
         last &= ~gap
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
+    @staticmethod
+    def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the pieces, some megabytes of a long text at a time."""
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * BLOCK_BYTES, side="right")))
+            low = starts[at]
+            out[at:end] = Spans(data[low : ends[end - 1]]).hash(starts[at:end] - low, ends[at:end] - low)
+            at = end
+        return out
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other (uint32), and the offsets of the rows in them."""
         data, offsets = text_buffers(column)
@@ -124,7 +135,7 @@ class PieceEncoder:
         starts, ends = self.cut(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        keys, where, inverse = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+        keys, where, inverse = np.unique(self.names(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.kept:
             self.clear()
         at = np.searchsorted(self.keys, keys)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Spans, blocks, materialise, run_folder, text_buffers, windows, words
@@ -83,8 +83,8 @@ def _repeats(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     return np.bincount(rows[order][1:][same], minlength=n_rows)
 
 
-def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, COUNTS and base_failed of each document."""
+def with_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id (null without an id column), host, COUNTS and base_failed of each document."""
     fields = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             m = measure(*text_buffers(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array(m[c]) for c in COUNTS), pa.array(base_failed(m))], schema=fields)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    rows = docs.select((F.lit(None) if id_col is None else F.col(id_col)).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     return rows.mapInArrow(count, "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean")
 
 
@@ -120,39 +120,33 @@ def beta(k: int, x: int, xx: int, noise: int) -> tuple[float, float]:
 
 
 def bad_hosts(counts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rejected hosts (host, host_rejected), read from a table, with a broadcast hint while they are few."""
+    """The rejected hosts (bad_host, host_rejected), read from a table, with a broadcast hint while they are few."""
     spark = counts.sparkSession
     hosts = materialise(counts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), run_folder(spark, "hosts"))
     a, b = prior(hosts)
-    bad = hosts.where((F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b)) > limit).select("host", F.lit(True).alias("host_rejected"))
+    bad = hosts.where((F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b)) > limit).select(F.col("host").alias("bad_host"), F.lit(True).alias("host_rejected"))
     few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     return F.broadcast(bad) if few else bad
 
 
-def with_verdict(rows: DataFrame, bad: DataFrame, host: Column) -> DataFrame:
-    """Add host_rejected to rows."""
-    named = bad.select(F.col("host").alias("_bad_host"), "host_rejected")
-    joined = rows.join(named, host.eqNullSafe(F.col("_bad_host")), "left")
-    return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).drop("_bad_host")
-
-
 def score(docs: DataFrame, limit: float = HOST_LIMIT, **columns: str) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept and host_rejected of each document."""
     counts = materialise(with_counts(docs, **columns), run_folder(docs.sparkSession, "rule_counts"))
-    judged = with_verdict(counts, bad_hosts(counts, limit), counts["host"])
+    bad = bad_hosts(counts, limit)
+    judged = counts.join(bad, counts["host"].eqNullSafe(bad["bad_host"]), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host_rejected")
 
 
 def keep_good(docs: DataFrame, limit: float = HOST_LIMIT, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns. Texts are read twice and never shuffled."""
-    bad = bad_hosts(with_counts(docs.withColumn("_id", F.lit(None).cast("long")), "_id", text_col, host_col), limit)
+    bad = bad_hosts(with_counts(docs, None, text_col, host_col), limit).select("bad_host")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in blocks(batches, text_col):
             yield batch.filter(pa.array(~base_failed(measure(*text_buffers(text)))))
 
     passed = docs.mapInArrow(passing, docs.schema)
-    return with_verdict(passed, bad, passed[host_col].cast("string")).where(~F.col("host_rejected")).select(*[passed[c] for c in docs.columns])
+    return passed.join(bad, passed[host_col].cast("string").eqNullSafe(bad["bad_host"]), "left_anti")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,7 +391,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     """Of each component the document with the smallest id, with all its columns; rows with a null id stay."""
     found = similar_groups(docs, width, percent, id_col, text_col)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,8 @@ def test_pipeline_equals_the_plain_one(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
-    docs = spark.createDataFrame([(*r, "x") for r in corpus()], COLUMNS + ", tokens string")
+    clashes = "tokens, host, host_rejected, bad_host, _gone, _id, cls, rep, n, s, kind, block, g, root".split(", ")
+    docs = spark.createDataFrame([(*r, *("x" for _ in clashes)) for r in corpus()], COLUMNS + "".join(f", {c} string" for c in clashes))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))

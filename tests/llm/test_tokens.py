@@ -32,6 +32,13 @@ def test_pieces_give_the_ids_of_whole_texts(path, rule, kept):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids
 
 
+def test_long_texts():
+    text = "some words that go on, and on " * 250_000
+    for path, rule in ((BYTE, "gpt"), (WORD, "white")):
+        ids, bounds = PieceEncoder(path, rule).encode(pa.array(["x", text, "y"]))
+        assert ids[bounds[1] : bounds[2]].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
