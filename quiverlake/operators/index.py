@@ -88,9 +88,10 @@ def lloyd_step(vectors: DataFrame, centroids: list[list[float]], vec_col: str =
     its centroid.
     """
     spark = vectors.sparkSession
-    parts = assign(vectors, centroids, vec_col).select("cluster_id", F.posexplode(vec_col).alias("j", "x"))
-    sums = parts.groupBy("cluster_id", "j").agg(F.sum(F.floor(F.col("x") * F.lit(FIXED_POINT).cast("double")).cast("long")).alias("total"), F.count("*").alias("n"))
-    means = sums.select("cluster_id", "j", (F.col("total").cast("double") / F.col("n") / F.lit(float(FIXED_POINT))).cast("float").alias("value"))
+    whole = lambda j: F.floor(F.col(vec_col)[j] * F.lit(FIXED_POINT).cast("double")).cast("long")
+    sums = assign(vectors, centroids, vec_col).groupBy("cluster_id").agg(F.count("*").alias("n"), *[F.sum(whole(j)).alias(f"s{j}") for j in range(len(centroids[0]))])
+    listed = sums.select("cluster_id", "n", F.posexplode(F.array(*[F.col(f"s{j}") for j in range(len(centroids[0]))])).alias("j", "total"))
+    means = listed.select("cluster_id", "j", (F.col("total").cast("double") / F.col("n") / F.lit(float(FIXED_POINT))).cast("float").alias("value"))
     old = spark.createDataFrame([(k, j, float(x)) for k, c in enumerate(centroids) for j, x in enumerate(c)], "cluster_id int, j int, old float")
     return F.broadcast(old).join(means, ["cluster_id", "j"], "left").select("cluster_id", "j", F.coalesce("value", "old").alias("value"))
 

@@ -32,11 +32,11 @@ def query_set(vectors: DataFrame, step: int = 50) -> DataFrame:
     return vectors.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def in_blocks(queries: DataFrame, row_bytes: int, most: int = TABLE_BYTES) -> Iterator[DataFrame]:
+def in_blocks(queries: DataFrame, row_bytes: int, key: str = "qid", most: int = TABLE_BYTES) -> Iterator[DataFrame]:
     """The queries in blocks of about `most` bytes at row_bytes each."""
     number = max(1, -(-queries.count() * row_bytes // most))
     for k in range(number):
-        yield queries if number == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(number)) == k)
+        yield queries if number == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(number)) == k)
 
 
 def union(parts: Iterator[DataFrame]) -> DataFrame:
@@ -75,7 +75,7 @@ def scan(requests: DataFrame, lists: DataFrame, q: Quantizer) -> DataFrame:
     return joined.withColumn("distance", V.adc(F.col("lut"), F.col("codes"), q.n_sub)).drop("lut", "codes")
 
 
-def ranked(scores: DataFrame, k: int | Column, *group: str) -> DataFrame:
+def ranked(scores: DataFrame, k: int, *group: str) -> DataFrame:
     """The best k of each group, with rank from 1."""
     order = Window.partitionBy(*group).orderBy("distance", "cluster_id", "vector_id")
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
@@ -95,9 +95,12 @@ def gather(hits: DataFrame, k: int) -> DataFrame:
     return ranked(hits.drop("rank"), k, "qid").select("qid", "rank", "cluster_id", "vector_id", "global_id", "distance")
 
 
-def search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L2, nprobe: int = 1, k: int = 10) -> DataFrame:
-    """The whole search: qid, rank, cluster_id, vector_id, global_id, distance."""
-    return gather(cluster_topk(queries, lists, q, metric, nprobe, k), k)
+def search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L2, nprobe: int = 1, k: int = 10, scorer=cluster_topk) -> DataFrame:
+    """The whole search: qid, rank, cluster_id, vector_id, global_id, distance.
+
+    scorer gives the best k of each probed cluster: expressions by default, or kernel.cluster_topk.
+    """
+    return gather(scorer(queries, lists, q, metric, nprobe, k), k)
 
 
 def exhaustive(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str, k: int) -> DataFrame:
@@ -131,9 +134,10 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
 
     def part(metric: str, block: DataFrame) -> DataFrame:
         chosen = with_tables(block.where(V.metric_column(F.col("metric")) == metric), q, metric).select("req", "cluster_id", "top_k", "lut")
-        return ranked(scan(chosen, lists, q), F.col("top_k"), "req")
+        return ranked(scan(chosen, lists, q), most, "req").where(F.col("rank") <= F.col("top_k"))  # a fixed bound cuts before the shuffle
 
-    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4))
+    most = limit if limit is not None else good.agg(F.max("top_k")).first()[0] or 0
+    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4, "req"))
     hits = union(part(metric, b) for metric in (V.L2, V.IP) for b in blocks).select("req", "rank", "vector_id", "distance")
     counts = hits.groupBy("req").agg(F.count("*").alias("count"))
     return judged.select("req", "status").join(counts, "req", "left").join(hits, "req", "left").select("req", "status", F.coalesce("count", F.lit(0)).alias("count"), "rank", "vector_id", "distance")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quiverlake.functions import vector as V
 from quiverlake.operators import cache as C
 from quiverlake.operators import index as I
+from quiverlake.operators import kernel
 from quiverlake.operators import search as S
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
@@ -111,6 +112,12 @@ def ivfpq_search(metric: str):
     return run
 
 
+def kernel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ivfpq_search_l2 with the NumPy scorer."""
+    x = Index(spark, sf_dir)
+    return S.search(x.queries, x.stored(spark), x.q, V.L2, NPROBE, K, kernel.cluster_topk)
+
+
 def scatter_gather_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
     return S.gather(S.cluster_topk(x.queries, x.lists, x.q, V.L2, NPROBE, K), K)
@@ -311,7 +318,7 @@ def api_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "ivfpq_search_l2": ivfpq_search(V.L2), "ivfpq_search_ip": ivfpq_search(V.IP),
+    "ivfpq_search_l2": ivfpq_search(V.L2), "ivfpq_search_ip": ivfpq_search(V.IP), "kernel_search": kernel_search,
     "vector_l2_distance": vector_distance(V.L2), "vector_ip_distance": vector_distance(V.IP), "subvector_split": subvector_split,
     "centroid_distances": centroid_distances, "centroid_select_l2": centroid_select(V.L2), "centroid_select_ip": centroid_select(V.IP),
     "adc_lut_l2": adc_lut(V.L2), "adc_lut_ip": adc_lut(V.IP), "adc_scan_l2": adc_scan(V.L2), "adc_scan_ip": adc_scan(V.IP),

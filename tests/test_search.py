@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions import vector as V
 from quiverlake.operators import index as I
+from quiverlake.operators import kernel as K
 from quiverlake.operators import search as S
 
 from . import twin
@@ -50,10 +51,18 @@ def test_search_equals_the_scalar_search(data, metric, nprobe):
 def test_blocks_of_queries_change_nothing(data, monkeypatch):
     _, _, queries, q, lists = data
     whole = sorted(map(tuple, S.search(queries, lists, q, "l2", 2, 5).collect()))
-    monkeypatch.setattr(S, "in_blocks", lambda df, n: iter([df.where("qid % 2 = 0"), df.where("qid % 2 = 1")]))
+    monkeypatch.setattr(S, "in_blocks", lambda df, n, key=None: iter([df.where("qid % 2 = 0"), df.where("qid % 2 = 1")]))
     assert sorted(map(tuple, S.search(queries, lists, q, "l2", 2, 5).collect())) == whole
     monkeypatch.undo()
-    assert sum(b.count() for b in S.in_blocks(queries, 100, 250)) == 5
+    assert sum(b.count() for b in S.in_blocks(queries, 100, most=250)) == 5
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_both_scorers_agree_to_the_bit(data, metric):
+    _, _, queries, q, lists = data
+    native = sorted(map(tuple, S.search(queries, lists, q, metric, 2, 7).collect()))
+    assert sorted(map(tuple, S.search(queries, lists, q, metric, 2, 7, K.cluster_topk).collect())) == native
+    assert S.search(queries, lists.limit(0), q, metric, 2, 7, K.cluster_topk).count() == 0
 
 
 def requests(spark, rows):
