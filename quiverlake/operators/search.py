@@ -138,7 +138,8 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
 
     most = limit if limit is not None else good.agg(F.max("top_k")).first()[0] or 0
     blocks = list(in_blocks(good, q.n_sub * q.ksub * 4, "req"))
-    hits = union(part(metric, b) for metric in (V.L2, V.IP) for b in blocks).select("req", "rank", "vector_id", "distance")
+    asked = [r[0] for r in good.select(V.metric_column(F.col("metric"))).distinct().collect()] or [V.L2]
+    hits = union(part(metric, b) for metric in asked for b in blocks).select("req", "rank", "vector_id", "distance")
     counts = hits.groupBy("req").agg(F.count("*").alias("count"))
     return judged.select("req", "status").join(counts, "req", "left").join(hits, "req", "left").select("req", "status", F.coalesce("count", F.lit(0)).alias("count"), "rank", "vector_id", "distance")
 

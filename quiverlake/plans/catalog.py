@@ -138,7 +138,7 @@ def requests(x: Index) -> DataFrame:
 
 def device_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
-    return S.device_search(requests(x), x.lists, x.q)
+    return S.device_search(requests(x), x.stored(spark), x.q)
 
 
 def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def semantic_read(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
         asked = S.probes(x.queries, x.q, metric, 1).select(F.col("qid").alias("req"), "qvec", "cluster_id", F.lit(600).alias("top_k"), F.lit(1 if metric == V.IP else 0).alias("metric"))
-        return S.device_search(asked, x.lists, x.q, S.MOST_RESULTS, S.EINVAL)
+        return S.device_search(asked, x.stored(spark), x.q, S.MOST_RESULTS, S.EINVAL)
 
     return run
 
