@@ -30,4 +30,4 @@ QUERIES = {
     "op9_ngram_join": prepared(ngram_join.op9_ngram_join),
     "op10_secret_index": prepared(secret_index.op10_secret_index),
 }
-ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL, "op7_warc_index": warc_index.OP7_SQL}
+ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL, "op7_warc_index": warc_index.OP7_SQL, "op9_ngram_join": ngram_join.OP9_SQL, "op10_secret_index": secret_index.OP10_SQL}

@@ -380,7 +380,7 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         roots = materialise(components(links.unionByName(more)), run_folder(spark, "ngram_roots"))
     named = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     rooted = named.join(roots, named["cls"] == roots["node"], "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("component_id")), run_folder(spark, "ngram_lowest"))  # so that a large component is split in the join
     table = materialise(rooted.join(lowest, "root").select("cls", "component_id"), run_folder(spark, "ngram_components"))
     # Without n-grams all sets have one name; such documents keep to themselves.
     joined = members.join(table.withColumn("_full", F.lit(True)), (members["cls"] == table["cls"]) & (members["n"] > 0), "left")
@@ -397,3 +397,23 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a Jaccard similarity of 0.85."""
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM tokens WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 85 * (s.n + t.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+"""

@@ -249,3 +249,31 @@ def op10_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in BASE]))
     number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(number(r.kind) for r in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """Matches and the texts between them give the places of each rule's matches."""
+    found = []
+    for k, r in enumerate(RULES):
+        pattern = r.pattern
+        if r.any_case:  # spelled out, since case folding would also take letters beyond ASCII
+            words, rest = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
+            pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words) + rest
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        found.append(
+            f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, unnest(regexp_extract_all(text, {quoted})) AS m, unnest(regexp_extract_all(text, {quoted}, {r.group})) AS part, "
+            f"unnest(string_split_regex(text, {quoted})[:len(regexp_extract_all(text, {quoted}))]) AS gap, unnest(range(len(regexp_extract_all(text, {quoted})))) AS i FROM texts WHERE regexp_matches(text, {quoted})")
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM found),
+spans AS (SELECT doc_id, k, kind, stop - length(m) AS start, kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT AS span FROM placed WHERE length(part) >= CASE k {least} END),
+listed AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id
+"""
+
+
+OP10_SQL = _sql()

@@ -137,13 +137,14 @@ OP4_SQL = """
 WITH RECURSIVE crc_table AS (
   SELECT list(v ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))
+), chars AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) END AS u FROM documents
 ), bytes AS (
-  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT doc_id, text, flatten(list_transform(u, lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 + c // 64, 128 + c % 64]
+    WHEN c < 65536 THEN [224 + c // 4096, 128 + c // 64 % 64, 128 + c % 64] ELSE [240 + c // 262144, 128 + c // 4096 % 64, 128 + c // 64 % 64, 128 + c % 64] END)) AS b FROM chars
 ), records AS (
-  SELECT doc_id, n + 16 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i:
-      ((ascii(h[2 * i + 1]) - CASE WHEN ascii(h[2 * i + 1]) > 57 THEN 55 ELSE 48 END) * 16 + ascii(h[2 * i + 2]) - CASE WHEN ascii(h[2 * i + 2]) > 57 THEN 55 ELSE 48 END)::BIGINT)),
-      lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS text_crc32,
+  SELECT doc_id, strlen(text)::BIGINT + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]))) AS text_crc32,
     (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 8192)::INT AS vslot
   FROM bytes, crc_table
 ), slots AS (
