@@ -152,6 +152,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("vector_id bigint, global_id bigint, codes array<int>, cluster_id int").parquet(path).select("cluster_id", "vector_id", "global_id", "codes")
 
 
+def extents(spark: SparkSession, path: str) -> DataFrame:
+    """Where a stored index's clusters lie: cluster_id, file, block_start, block_bytes and n_vectors of each file block read."""
+    stored = spark.read.schema("vector_id bigint, cluster_id int").parquet(path)
+    place = stored.select("cluster_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_block_length").alias("block_bytes"))
+    return place.groupBy("cluster_id", "file", "block_start", "block_bytes").agg(F.count("*").alias("n_vectors"))
+
+
 def overwrite_clusters(lists: DataFrame, path: str) -> None:
     """Replace the clusters that occur in lists and leave the others as they are."""
     lists.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cluster_id").parquet(path)

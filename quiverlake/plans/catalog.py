@@ -240,6 +240,14 @@ def semantic_write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.load(spark, path)
 
 
+def cluster_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each cluster by the stored index's file blocks."""
+    x = Index(spark, sf_dir)
+    path = shared_folder(spark, "index")
+    I.save(x.lists, path)
+    return I.extents(spark, path).groupBy("cluster_id").agg(F.sum("n_vectors").alias("n_vectors"), (F.sum("block_bytes") > 0).alias("on_disk"))
+
+
 def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looked-up distances against those to the reconstructed vectors, over all clusters."""
     x = Index(spark, sf_dir)
@@ -327,7 +335,7 @@ QUERIES = {
     "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
     "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
     "kmeans_step": kmeans_step, "pq_train_step": pq_train_step,
-    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite,
+    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "cluster_extents": cluster_extents,
     "golden_compare": golden_compare, "metric_divergence": metric_divergence,
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,
     "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters,
