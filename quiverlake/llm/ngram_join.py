@@ -50,9 +50,11 @@ SCATTER = 4  # fragments for each shuffle partition, when private n-grams are fo
 FREQUENT, MOST_FREQUENT = 16, 200_000
 SEND_BYTES = 4 << 20
 SLICE_GRAMS = 400_000  # handled at once by a task
+LIST_ROWS = 20_000  # of a list that one task pairs; longer ones are cut into blocks that meet two by two
+BROADCAST_LISTS = 100_000
 
-PROFILE = "kind int, doc_id bigint, cls bigint, n int, block bigint, idx int, part int, data binary"
-PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+PROFILE = "kind int, doc_id bigint, cls bigint, n int, block bigint, idx int, own int, part int, data binary"
+PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("own", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 
 def shingles(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,8 @@ def most_private(n: int, percent: int) -> int:
 
 
 def _profile(width: int, parts: int):
-    """Rows of kind 0 (a document: its set's name, size, block and number there) and 1 (n-grams of a block for a fragment)."""
+    """Rows of kind 0 (a document: its set's name, size, block and number there, and how many n-grams no other set of
+    the block has) and 1 (n-grams of a block for a fragment: 32 bits of each, and the owners of those that have one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -106,10 +109,6 @@ def _profile(width: int, parts: int):
             _, first, idx = np.unique(names, return_index=True, return_inverse=True)
             rows = len(names)
             fill = lambda v, t, k: pa.array(np.full(k, v), t)
-            yield pa.RecordBatch.from_arrays([
-                fill(0, pa.int32(), rows), batch.column(0), pa.array(names), pa.array(np.diff(bounds), pa.int32()), fill(block, pa.int64(), rows),
-                pa.array(idx, pa.int32()), pa.array((np.arange(rows) + block) % parts, pa.int32()), pa.nulls(rows, pa.binary()),
-            ], schema=PROFILE_ARROW)
             # One copy of each set, then one copy of each n-gram; those of several sets have no owner.
             sizes = np.diff(bounds)[first]
             take = np.repeat(bounds[:-1][first] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -120,36 +119,49 @@ def _profile(width: int, parts: int):
             new[1:] = grams[1:] != grams[:-1]
             alone = new.copy()
             alone[:-1] &= new[1:]
+            own = np.bincount(owner[alone], minlength=len(first))
+            yield pa.RecordBatch.from_arrays([
+                fill(0, pa.int32(), rows), batch.column(0), pa.array(names), pa.array(np.diff(bounds), pa.int32()), fill(block, pa.int64(), rows),
+                pa.array(idx, pa.int32()), pa.array(own[idx], pa.int32()), pa.array((np.arange(rows) + block) % parts, pa.int32()), pa.nulls(rows, pa.binary()),
+            ], schema=PROFILE_ARROW)
             owner[~alone] = len(first)
             grams, owner = grams[new], owner[new]
             part = (grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # fragments of the order of hashes
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            data = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sent, data = np.flatnonzero(np.diff(cuts)), []
+            kind = np.uint16 if len(first) < 1 << 16 else np.uint32
+            for a, b in zip(cuts[sent].tolist(), cuts[sent + 1].tolist(), strict=True):
                 by = np.argsort(owner[a:b], kind="stable")
-                short = mix(grams[a:b][by]).astype(np.uint32)
-                data.append(np.concatenate([np.array([len(first)], np.uint32), np.bincount(owner[a:b], minlength=len(first) + 1).astype(np.uint32), short]).tobytes())
-            none = pa.nulls(parts, pa.int64())
+                owned = owner[a:b][by]
+                owned = owned[: np.searchsorted(owned, len(first))].astype(kind)
+                data.append(np.array([len(owned), owned.itemsize], np.uint32).tobytes() + mix(grams[a:b][by]).astype(np.uint32).tobytes() + owned.tobytes())
+            k = len(sent)
+            none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                fill(1, pa.int32(), parts), none, none, none.cast(pa.int32()), fill(block, pa.int64(), parts), none.cast(pa.int32()), pa.array(np.arange(parts), pa.int32()), pa.array(data, pa.binary()),
+                fill(1, pa.int32(), k), none, none, none.cast(pa.int32()), fill(block, pa.int64(), k), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(sent, pa.int32()), pa.array(data, pa.binary()),
             ], schema=PROFILE_ARROW)
             block += 1
 
     return run
 
 
-def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the fragments in one partition: rows of kind 2, a block's private counts by set. Rows of kind 0 pass."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the fragments in one partition: rows of kind 2, how many owned n-grams of a block's sets other blocks have too. Rows of kind 0 pass.
+
+    32 bits may take two n-grams of a fragment for one; that only lowers a private count, which stays a bound.
+    """
     waiting: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         kind = batch.column(0).to_numpy()
         if (kind == 0).any():
             yield batch.filter(pa.array(kind == 0))
         for i in np.flatnonzero(kind == 1).tolist():
-            raw = np.frombuffer(batch.column(7)[i].as_py(), np.uint32)
-            counts = raw[1 : raw[0] + 2]
-            waiting.setdefault(batch.column(6)[i].as_py(), []).append((batch.column(4)[i].as_py(), counts, raw[raw[0] + 2 :]))
-    total: dict[int, np.ndarray] = {}
+            raw = batch.column(8)[i].as_py()
+            owned, width = np.frombuffer(raw, np.uint32, 2).tolist()
+            end = len(raw) - owned * width
+            owners = np.frombuffer(raw[end:], np.uint16 if width == 2 else np.uint32)
+            waiting.setdefault(batch.column(7)[i].as_py(), []).append((batch.column(4)[i].as_py(), owners, np.frombuffer(raw[8:end], np.uint32)))
+    found: dict[int, list[np.ndarray]] = {}
     for blobs in waiting.values():
         grams = np.concatenate([g for *_, g in blobs])
         order = np.argsort(grams)
@@ -158,27 +170,24 @@ def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
         at = 0
-        for block, counts, g in blobs:
-            before = np.concatenate([[0], np.cumsum(~shared[at : at + len(g)])])
-            bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            found = (before[bounds[1:-1]] - before[bounds[:-2]]).astype(np.uint32)  # the last count is of those without an owner
-            total[block] = found if block not in total else total[block] + found
+        for block, owners, g in blobs:
+            met = owners[shared[at : at + len(owners)]]  # owned n-grams come first
+            if len(met):
+                found.setdefault(block, []).append(met.astype(np.uint32))
             at += len(g)
-    if total:
-        k = len(total)
+    if found:
+        counts = [np.stack(np.unique(np.concatenate(x), return_counts=True), axis=1).astype(np.uint32).tobytes() for x in found.values()]
+        k = len(found)
         none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2), pa.int32()), none, none, none.cast(pa.int32()), pa.array(list(total)), none.cast(pa.int32()), none.cast(pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=PROFILE_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2), pa.int32()), none, none, none.cast(pa.int32()), pa.array(list(found)), *[none.cast(pa.int32())] * 3, pa.array(counts, pa.binary())], schema=PROFILE_ARROW)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, idx, s) from rows (block, data)."""
-    total: dict[int, np.ndarray] = {}
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, idx, met) from rows (block, data)."""
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.frombuffer(data, np.uint32)
-            total[block] = found if block not in total else total[block] + found
-    for block, s in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), block)), pa.array(np.arange(len(s)), pa.int32()), pa.array(s.astype(np.int32))], names=["block", "idx", "s"])
+            both = np.frombuffer(data, np.uint32).reshape(-1, 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), block)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["block", "idx", "met"])
 
 
 def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -187,9 +196,10 @@ def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(_profile(width, SCATTER * partitions), PROFILE).repartition(partitions, "part")
-    found = materialise(sent.mapInArrow(_private, PROFILE), run_folder(spark, "ngram_profile"))
-    private = found.where("kind = 2").select("block", "data").repartition(partitions, "block").mapInArrow(_summed, "block bigint, idx int, s int")
-    members = found.where("kind = 0").join(private, ["block", "idx"], "left").select("doc_id", "cls", "n", F.coalesce("s", F.lit(0)).alias("s"))
+    found = materialise(sent.mapInArrow(_met, PROFILE), run_folder(spark, "ngram_profile"))
+    met = found.where("kind = 2").select("block", "data").mapInArrow(_listed, "block bigint, idx int, met int").groupBy("block", "idx").agg(F.sum("met").alias("met"))
+    private = (F.col("own") - F.coalesce("met", F.lit(0))).cast("int")
+    members = found.where("kind = 0").join(met, ["block", "idx"], "left").select("doc_id", "cls", "n", private.alias("s"))
     return materialise(members, run_folder(spark, "ngram_members"))
 
 
@@ -291,7 +301,11 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's members that are in different components and can link."""
+    """All pairs of a list's members that are in different components and can link.
+
+    A list of more than LIST_ROWS members is dealt into blocks; each pair of blocks is a cell of its own, so no
+    task holds more than two blocks.
+    """
 
     def of_list(cls: np.ndarray, n: np.ndarray, s: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
@@ -307,23 +321,33 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 yield _pairs(cls[x[i, 0]], cls[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # what has come of the current list
+        held: list[tuple[np.ndarray, ...]] = []  # what has come of the current cell
         for batch in batches:
-            columns = tuple(batch.column(i).to_numpy() for i in range(5))
-            cuts = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [batch.num_rows]])
+            columns = tuple(batch.column(i).to_numpy() for i in range(7))
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns[:3]:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b <= a:
                     continue
-                if held and held[0][0][0] != columns[0][a]:
-                    yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(1, 5)))
+                if held and any(held[0][k][0] != columns[k][a] for k in range(3)):
+                    yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(3, 7)))
                     held = []
                 held.append(tuple(c[a:b] for c in columns))
         if held:
-            yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(1, 5)))
+            yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(3, 7)))
 
     partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("g", "cls", "n", "s", F.coalesce("root", "cls").alias("root"))
-    dealt = labelled.repartition(partitions, "g").sortWithinPartitions("g")
+    long = lists.groupBy("g").count().where(F.col("count") > LIST_ROWS).select("g", F.ceil(F.col("count") / LIST_ROWS).cast("int").alias("blocks"))
+    long = materialise(long, run_folder(lists.sparkSession, "ngram_long_lists"))
+    few = long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS
+    sized = labelled.join(F.broadcast(long) if few else long, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    placed = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "n", "s", "root")
+    dealt = cells.repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 

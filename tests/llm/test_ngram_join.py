@@ -84,3 +84,20 @@ def test_star_rounds(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == root
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_long_lists_are_paired_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(nj, "FREQUENT", 5)
+    monkeypatch.setattr(nj, "LIST_ROWS", 7)
+    rows = corpus(6, 240)
+    got = sorted((tuple(r) for r in nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 70).collect()), key=str)
+    assert got == plain(rows, 3, 70)
+
+
+def test_private_counts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c x y z"), (3, "a b c d e f"), (4, "q r s"), (5, None)]
+    for parts in (1, 5):
+        members = nj.profile(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 2, "doc_id", "text")
+        got = {r.doc_id: (r.n, r.s) for r in members.collect()}
+        assert got[2] == (5, 3) and got[4] == (2, 2) and got[5] == (0, 0)
+        assert got[1] == got[3] and got[1] in ((5, 3), (5, 0))  # a copy in another block counts as another set
