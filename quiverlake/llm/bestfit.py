@@ -103,9 +103,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
     return out, sequences
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of the pieces of each document."""
-    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def cut_pieces(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of the pieces of each document, and their ids if asked for."""
+    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] * with_ids)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, rule)
@@ -119,10 +119,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity
             length = np.minimum(capacity, bounds[row + 1] - first)
             raw = memoryview(ids.astype("<u4")).cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
-            yield batch_of(fields, batch.column(0).take(pa.array(row)), piece, start, length, sums)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(first, bounds[-1]).astype(np.int32)), pa.array(ids.astype(np.int32)))] * with_ids  # pieces follow each other
+            yield batch_of(fields, batch.column(0).take(pa.array(row)), piece, start, length, sums, *lists)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
@@ -164,12 +165,18 @@ def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "p
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity: int) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """Pieces of docs with their places."""
-    pieces = materialise(cut_pieces(docs, tokenizer, rule, end_id, capacity), run_folder(docs.sparkSession, "pieces"))
+    pieces = materialise(cut_pieces(docs, tokenizer, rule, end_id, capacity, with_ids=with_ids), run_folder(docs.sparkSession, "pieces"))
     return pack(pieces, capacity)
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed sequences themselves, from pieces with ids; each is of the capacity at most."""
+    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+
+
 def op6_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     import public_tokenizers

@@ -131,3 +131,14 @@ def test_packing_documents(spark):
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False)) and min(x)[0] == 0 and sum(n for _, n in x) <= 64
     assert len(places) == len(plain_best_fit([r.length for r in got], 64))
     assert bestfit.pack_documents(nothing(spark), WORD, "white", 0, 64).count() == 0
+
+
+def test_sequences_hold_the_ids(spark):
+    docs = documents(spark)
+    packed = bestfit.pack_documents(docs, WORD, "white", 0, 64, with_ids=True)
+    pieces = packed.collect()
+    whole = {r.sequence_id: r.ids for r in bestfit.sequences(packed).collect()}
+    assert all(0 < len(x) <= 64 for x in whole.values()) and len(whole) == len({r.sequence_id for r in pieces})
+    for r in pieces:
+        part = whole[r.sequence_id][r.offset : r.offset + r.length]
+        assert part == r.ids and crc(part) == r.ids_crc32
