@@ -103,6 +103,23 @@ def test_refined_search_recalls(spark, data):
     assert S.recall(found, truth).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_invalid_vectors_are_told(spark, data):
+    rows, base, _, q, lists = data
+    odd = spark.createDataFrame([(200, None), (201, [1.0] * 31), (202, [*[1.0] * 31, None]), (203, [*rows[3], 5.0])], "vec_id long, embedding array<float>")
+    both = base.unionAll(odd)
+    assert sorted(map(tuple, I.invalid(both, q).collect())) == [(200, -22), (201, -22), (202, -22)]
+    more = I.inverted_lists(both, q)
+    assert more.count() == 101
+    same = {r.global_id: (r.cluster_id, r.codes) for r in more.where("global_id IN (3, 203)").collect()}
+    assert same[3] == same[203]
+
+
+def test_kernel_and_expressions_code_alike(spark, data):
+    _, base, _, q, _ = data
+    native = base.select("vec_id", I.cluster_of(F.col("embedding"), q.centroids), I.encode(F.col("embedding"), q.codebook))
+    assert sorted(map(tuple, I.coded(base, q).collect())) == sorted(map(tuple, native.collect()))
+
+
 def test_numbering_and_empty_table(spark):
     rows = spark.range(20_000).select((F.col("id") * 37 % 20_000).alias("k"), (F.col("id") % 3).alias("g"))
     got = I.number_within(rows, "g", "k", "pos").collect()
