@@ -87,11 +87,6 @@ def set_names(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def most_private(n: int, percent: int) -> int:
-    """The most n-grams of n that a linked document can have to itself."""
-    return n - (percent * n + 99) // 100
-
-
 def _profile(width: int, parts: int):
     """Rows of kind 0 (a document: its set's name, size, block and number there, and how many n-grams no other set of
     the block has) and 1 (n-grams of a block for a fragment: 32 bits of each, and the owners of those that have one)."""
@@ -182,12 +177,20 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2), pa.int32()), none, none, none.cast(pa.int32()), pa.array(list(found)), *[none.cast(pa.int32())] * 3, pa.array(counts, pa.binary())], schema=PROFILE_ARROW)
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, idx, met) from rows (block, data)."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, idx, met), one row for each set that other blocks share with, from all rows (block, data) of some blocks."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            both = np.frombuffer(data, np.uint32).reshape(-1, 2).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), block)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["block", "idx", "met"])
+            idx, met = np.frombuffer(data, np.uint32).reshape(-1, 2).astype(np.int64).T
+            have = total.get(block, np.zeros(0, np.int64))
+            if len(have) <= idx.max():
+                have = np.concatenate([have, np.zeros(int(idx.max()) + 1 - len(have), np.int64)])
+            have[idx] += met  # a blob names a set once
+            total[block] = have
+    for block, met in total.items():
+        idx = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), block)), pa.array(idx, pa.int32()), pa.array(met[idx], pa.int32())], names=["block", "idx", "met"])
 
 
 def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -197,7 +200,7 @@ def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(_profile(width, SCATTER * partitions), PROFILE).repartition(partitions, "part")
     found = materialise(sent.mapInArrow(_met, PROFILE), run_folder(spark, "ngram_profile"))
-    met = found.where("kind = 2").select("block", "data").mapInArrow(_listed, "block bigint, idx int, met int").groupBy("block", "idx").agg(F.sum("met").alias("met"))
+    met = found.where("kind = 2").select("block", "data").repartition(partitions, "block").mapInArrow(_summed, "block bigint, idx int, met int")
     private = (F.col("own") - F.coalesce("met", F.lit(0))).cast("int")
     members = found.where("kind = 0").join(met, ["block", "idx"], "left").select("doc_id", "cls", "n", private.alias("s"))
     return materialise(members, run_folder(spark, "ngram_members"))
@@ -392,7 +395,11 @@ def _segments(fragments: int):
 
 
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document.
+
+    docs is read twice, and blocks are numbered by partition and place, so it should come from a table: a task that is
+    repeated after a lost executor then sees the same rows in the same order.
+    """
     spark = docs.sparkSession
     members = profile(docs, width, id_col, text_col)
     sets = shared_sets(docs, members, width, percent, id_col, text_col)
