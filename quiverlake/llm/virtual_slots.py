@@ -107,12 +107,12 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{path}/version={version}")
 
 
-def records_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each document."""
+def records_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32 and vslot of each document, and the columns to keep."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"))
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"), *keep)
 
 
 def place(records: DataFrame, table: DataFrame) -> DataFrame:
@@ -124,6 +124,11 @@ def place(records: DataFrame, table: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("_first") + F.col("_within")).drop("_first", "_within")  # a row for each slot
 
 
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Write placed records with a folder for each shard; the rows of a virtual slot lie together in the order of their places."""
+    placed.repartition("shard", "vslot").sortWithinPartitions("shard", "slot").write.mode("errorifexists").partitionBy("shard").parquet(path)
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     records = materialise(records_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), run_folder(spark, "shard_records"))

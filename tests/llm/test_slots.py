@@ -53,3 +53,15 @@ def test_versions_are_kept(spark, tmp_path):
     vs.store_map(spark, f"file://{tmp_path}/m", 1, {1: 0, 2: 1}, sizes)
     vs.store_map(spark, f"file://{tmp_path}/m", 2, {1: 0, 2: 2}, sizes)
     assert [sorted(r.shard for r in vs.load_map(spark, f"file://{tmp_path}/m", v).collect()) for v in (1, 2)] == [[0, 1], [0, 2]]
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    docs = documents(spark, [(100 + i, f"t{i}", *[None] * 9) for i in range(60)])
+    records = vs.records_of(docs, keep=("text", "lang"))
+    sizes = vs.slot_sizes(records)
+    table = spark.createDataFrame([(1, v, s, n, b) for (v, n, b), s in zip(sizes, vs.deal({v: b for v, _, b in sizes}, 5).values(), strict=False)], vs.MAP)
+    vs.write_shards(vs.place(records, table), f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert Counter((r.doc_id, r.text, r.lang) for r in back.collect()) == Counter((r.doc_id, r.text, r.lang) for r in docs.collect())
+    for s in {r.shard for r in back.collect()}:
+        assert sorted(r.slot for r in back.collect() if r.shard == s) == list(range(sum(r.shard == s for r in back.collect())))
