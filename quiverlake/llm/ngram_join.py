@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .components import components
 from .shared import FOLD, Spans, blocks, materialise, mix, run_folder, slices, text_buffers, windows, words
@@ -394,8 +395,8 @@ def _segments(fragments: int):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document.
+def grouped_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The members (see profile), and (cls, root, component_id) of each set that has n-grams, both read from tables.
 
     docs is read twice, and blocks are numbered by partition and place, so it should come from a table: a task that is
     repeated after a lost executor then sees the same rows in the same order.
@@ -412,17 +413,52 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     named = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     rooted = named.join(roots, named["cls"] == roots["node"], "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("component_id")), run_folder(spark, "ngram_lowest"))  # so that a large component is split in the join
-    table = materialise(rooted.join(lowest, "root").select("cls", "component_id"), run_folder(spark, "ngram_components"))
+    return members, materialise(rooted.join(lowest, "root").select("cls", "root", "component_id"), run_folder(spark, "ngram_components"))
+
+
+def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document. docs should come from a table."""
+    members, table = grouped_sets(docs, width, percent, id_col, text_col)
     # Without n-grams all sets have one name; such documents keep to themselves.
     joined = members.join(table.withColumn("_full", F.lit(True)), (members["cls"] == table["cls"]) & (members["n"] > 0), "left")
     return joined.select(members["doc_id"], members["n"].cast("long").alias("n_shingles"), F.when(F.col("_full"), F.col("component_id")).otherwise(members["doc_id"]).alias("component_id"))
 
 
+def _named(width: int):
+    """Rows (row, text) with the name of their set and its size instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in blocks(batches, "text"):
+            grams, bounds = shingles(text, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_names(grams, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int32())], names=["row", "cls", "n"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns; rows with a null id stay."""
-    found = similar_groups(docs, width, percent, id_col, text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """Of each component one row with the smallest id, with all its columns; null ids come last.
+
+    An id tells a row unless it is null or repeated. Such rows are stored with the name of their set and a number, and
+    of those with a component's smallest id the one with the smallest number stays.
+    """
+    spark = docs.sparkSession
+    members, table = grouped_sets(docs, width, percent, id_col, text_col)
+    found = members.where("n > 0").join(table, "cls").where("doc_id != component_id")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    repeated = members.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_repeated"))
+    repeated = materialise(repeated, run_folder(spark, "ngram_repeated"))
+    own = docs[id_col].cast("long")
+    if not repeated.limit(1).count():
+        return docs.join(gone, own == gone["_gone"], "left_anti")
+    single = docs.join(repeated, own.eqNullSafe(repeated["_repeated"]), "left_anti").join(gone, own == gone["_gone"], "left_anti")
+    odd = docs.join(repeated, own.eqNullSafe(repeated["_repeated"]), "left_semi").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    fields = StructType([odd.schema["row"], StructField("cls", LongType()), StructField("n", IntegerType())])
+    tagged = odd.mapInArrow(_named(width), fields).withColumn("tag", F.monotonically_increasing_id())
+    tagged = materialise(tagged, run_folder(spark, "ngram_repeated"))
+    placed = tagged.where("n > 0").join(table, "cls").withColumn("low", F.col("row").getField(id_col).cast("long").eqNullSafe(F.col("component_id")))
+    first = placed.where("low").groupBy("root").agg(F.min("tag").alias("tag")).select("tag")
+    kept = tagged.where("n = 0").select("row").unionAll(tagged.join(first, "tag", "left_semi").select("row"))
+    return single.unionAll(kept.select("row.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_odd_rows(spark):
     assert nj.similar_groups(nothing(spark)).count() == 0 == nj.keep_one(nothing(spark)).count()
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two, three, four = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [(1, one), (1, one), (2, one), (2, two), (3, three), (None, three), (None, three), (None, four), (None, four), (4, ""), (4, ""), (None, None), (5, two)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, row string, `cls.a` string").repartition(3)
+    kept = nj.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (2, two), (3, three), (None, four), (4, ""), (4, ""), (None, None)], key=str)
+
+
 def test_shingles_are_sets():
     grams, bounds = nj.shingles(pa.array(["a b a b a b", "", "A b", "a b"]), 2)
     assert (bounds[1:] - bounds[:-1]).tolist() == [2, 0, 1, 1] and grams[2] == grams[3]
