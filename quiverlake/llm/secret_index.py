@@ -64,6 +64,10 @@ MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+# What follows a private key's first line: up to its last line, or, if that is missing, header lines and base64 (lines
+# may be parted by spaces or written \\n).
+KEY_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
+KEY_BODY = re.compile(r"(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info):\x20[A-Za-z0-9,-]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})++(?:\s*\n[A-Za-z0-9+/]++={0,2}(?=\s*(?:\n|\Z))|(?:\s|\\[nr])*+[A-Za-z0-9+/]++={1,2})?)?", re.ASCII)
 
 # A query is True (every row), a trigram (bytes), or ("and" | "or", frozenset of queries).
 
@@ -214,12 +218,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
 
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every span replaced by [kind]; of spans that overlap, the one that begins first covers both."""
+    """docs with every span replaced by [kind]; of spans that overlap, the one that begins first covers both.
+
+    A private key's span, which is its first line, is taken up to the key's end.
+    """
     kinds = [r.kind for r in rules]
 
+    def whole_keys(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out, following = [], len(text)
+        for a, k, b in reversed(spans):
+            if kinds[k] == "private_key":
+                last = KEY_END.search(text, b, following)
+                following, b = a, last.end() if last else KEY_BODY.match(text, b, following).end()
+            out.append((a, k, b))
+        return out[::-1]
+
     def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
         out, at, end = [], 0, -1
-        for a, k, b in spans:
+        for a, k, b in whole_keys(text, spans):
             if a >= end:
                 out += [text[at:a], f"[{kinds[k]}]"]
             at = end = max(end, b)
