@@ -8,8 +8,8 @@ A text is cut only where the tokenizer itself cuts, whatever stands around the p
 - "white" (white space is dropped before encoding): around any run of spaces and line feeds.
 
 Visible means ASCII 0x21-0x7E, or the letters U+00C0-U+00FF (UTF-8 C3 80 to C3 BF); elsewhere
-the text stays in one piece. Pieces are recognised by a 64-bit hash; their ids are kept in sorted
-arrays of bounded size, so the library sees each distinct piece about once per task.
+the text stays in one piece. Pieces are recognised by their bytes; the ids of short ones are kept
+in a table of bounded size, so the library sees each distinct piece about once per task.
 Special strings such as <|endoftext|> hold no white space, so they are never cut.
 """
 
@@ -20,9 +20,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .shared import BLOCK_BYTES, Spans, text_buffers
+from .shared import distinct, text_buffers
 
-KEPT_PIECES = 2_000_000
+KEPT_PIECES, KEPT_BYTES = 400_000, 48  # pieces that are kept, and the longest of them
 TOGETHER = 512
 #: Put between pieces that the library is given together; it is always a token of its own there.
 _BETWEEN = {"gpt": "\n", "white": " \x01 "}
@@ -54,36 +54,36 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # of each known piece, by hash
+        self.slots: dict[bytes, int] = {}  # of known pieces
         self.ids, self.bounds = np.empty(0, self.kind), np.zeros(1, np.int64)  # ids of slot i: bounds[i] to bounds[i + 1]
 
-    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, together: np.ndarray) -> np.ndarray:
-        """Encode new pieces and return their slots; those in which the separator's neighbours could matter go alone."""
+    def learn(self, pieces: list[bytes], together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after the other, and how many each has; those in which the separator's neighbours could matter go alone."""
         between, mark = _BETWEEN[self.rule].encode(), self.between[0]
         found, lengths, order = [], [], []
         alone = np.flatnonzero(~together).tolist()
         together = np.flatnonzero(together)
-        parts = [together[lo : lo + TOGETHER] for lo in range(0, len(together), TOGETHER)]
-        joined = [between.join([raw[a:b] for a, b in zip(starts[p].tolist(), ends[p].tolist(), strict=True)]).decode() for p in parts]
+        parts = [together[lo : lo + TOGETHER].tolist() for lo in range(0, len(together), TOGETHER)]
+        joined = [between.join([pieces[k] for k in p]).decode() for p in parts]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == mark)
             if len(cuts) == len(part) - 1:
                 found.append(ids[ids != mark])
                 lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-                order.append(part)
+                order += part
             else:
-                alone += part.tolist()
+                alone += part
         if alone:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in alone], add_special_tokens=False)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in alone], add_special_tokens=False)]
             found += [np.array(ids, np.uint32) for ids in each]
             lengths.append(np.array([len(ids) for ids in each], np.int64))
-            order.append(np.array(alone))
-        slots = np.empty(len(starts), np.int64)
-        slots[np.concatenate(order)] = np.arange(len(starts)) + len(self.bounds) - 1
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
-        self.ids = np.concatenate([self.ids, *(x.astype(self.kind) for x in found)])
-        return slots
+            order += alone
+        ids, lengths, order = np.concatenate(found), np.concatenate(lengths), np.array(order)
+        starts = np.cumsum(lengths) - lengths
+        back = np.argsort(order)
+        number = lengths[back]
+        return ids[np.repeat(starts[back] - np.cumsum(number) + number, number) + np.arange(number.sum())], number
 
     @staticmethod
     def visible(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,17 +116,6 @@ class PieceEncoder:
         last &= ~gap
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
-    @staticmethod
-    def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the pieces, some megabytes of a long text at a time."""
-        out, at = np.empty(len(starts), np.uint64), 0
-        while at < len(starts):
-            end = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * BLOCK_BYTES, side="right")))
-            low = starts[at]
-            out[at:end] = Spans(data[low : ends[end - 1]]).hash(starts[at:end] - low, ends[at:end] - low)
-            at = end
-        return out
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other (uint32), and the offsets of the rows in them."""
         data, offsets = text_buffers(column)
@@ -135,23 +124,25 @@ class PieceEncoder:
         starts, ends = self.cut(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        keys, where, inverse = np.unique(self.names(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.kept:
+        found, which = distinct(data, starts, ends)
+        raw, cuts = text_buffers(found)
+        flat = raw.tobytes()
+        pieces = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if len(self.bounds) + len(pieces) > self.kept or len(self.ids) > 8 * KEPT_PIECES:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
-        slots = np.empty(len(keys), np.int64)
-        slots[~new] = self.slots[at[~new]]
-        if new.any():
-            a, b = starts[where[new]], ends[where[new]]
-            opens, closes = self.visible(data)
-            marks = np.concatenate([[0], np.cumsum(data == ord(_BETWEEN[self.rule].strip(" ")))])
-            first = opens[a] | ((data[a] == 0x20) & opens[np.minimum(a + 1, len(data) - 1)] & (b > a + 1))
-            slots[new] = self.learn(data.tobytes(), a, b, first & closes[b - 1] & (marks[b] == marks[a]))
-            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], slots[new])
-        bounds, slot = self.bounds, slots[inverse]
+        slots = np.fromiter((self.slots.get(x, -1) for x in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            opens, closes = self.visible(raw)
+            a, b = cuts[new], cuts[new + 1]
+            mark = np.concatenate([[0], np.cumsum(raw == ord(_BETWEEN[self.rule].strip(" ")))])
+            first = opens[a] | ((raw[a] == 0x20) & opens[np.minimum(a + 1, len(raw) - 1)] & (b > a + 1))
+            fresh = [pieces[k] for k in new.tolist()]
+            ids, number = self.learn(fresh, first & closes[b - 1] & (mark[b] == mark[a]))
+            slots[new] = np.arange(len(new)) + len(self.bounds) - 1
+            self.slots.update((x, slot) for x, slot in zip(fresh, slots[new].tolist(), strict=True) if len(x) <= KEPT_BYTES)
+            self.ids, self.bounds = np.concatenate([self.ids, ids.astype(self.kind)]), np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(number)])
+        bounds, slot = self.bounds, slots[which]
         lengths = bounds[slot + 1] - bounds[slot]
         out = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(lengths, out=out[1:])

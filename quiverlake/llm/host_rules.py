@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Spans, blocks, materialise, run_folder, text_buffers, windows, words
+from .shared import blocks, chained, distinct, materialise, run_folder, text_buffers, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -47,7 +47,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(solid, ends, -1)
     inside = np.cumsum(solid[:-1], dtype=np.int8).astype(bool)
     out = {"n_words": np.bincount(rows, minlength=n_rows), "word_chars": total(inside & (data & 0xC0 != 0x80)), "n_symbols": total(SYMBOL[data])}
-    spans = Spans(data)
     # Lines: cut at line feeds and at the rows' ends.
     feeds = np.flatnonzero(data == 0x0A)
     line_start = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
@@ -56,31 +55,46 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     wordy = seen[line_end] > seen[line_start]
     line_start, line_end = line_start[wordy], line_end[wordy]
     line_row = np.searchsorted(offsets, line_start, side="right") - 1
-    out["n_dup_lines"] = _repeats(spans.hash(line_start, line_end), line_row, n_rows)
-    hashes, first = windows(spans.hash(starts, ends), rows, WINDOW)
-    order, twice = _runs(hashes, rows[first])
+    line = distinct(data, line_start, line_end)[1]
+    order = np.lexsort((line, line_row))
+    again = (line[order][1:] == line[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
+    out["n_dup_lines"] = np.bincount(line_row[order][1:][again], minlength=n_rows)
+    twice = repeated_windows(distinct(data, starts, ends)[1], rows, WINDOW)
     cover = np.zeros(len(rows) + 1, np.int64)
-    np.add.at(cover, first[order[twice]], 1)
-    np.add.at(cover, first[order[twice]] + WINDOW, -1)
+    cover[twice] += 1
+    cover[twice + WINDOW] -= 1
     out["n_repeat_words"] = np.bincount(rows[np.cumsum(cover[:-1]) > 0], minlength=n_rows)
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def _runs(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal hashes of a row together, and which places of it belong to one found twice."""
-    order = np.lexsort((hashes, rows))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    return order, twice
-
-
-def _repeats(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """For each row, how many of its hashes equal an earlier one."""
-    order = np.lexsort((hashes, rows))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    return np.bincount(rows[order][1:][same], minlength=n_rows)
+def repeated_windows(word: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The first word of each window that occurs twice or more in its row, from the words' numbers.
+
+    A hash brings likely equals together; windows count as equal only if all their words are.
+    """
+    first = windows(rows, width)
+    if not len(first):
+        return first
+    value = word.astype(np.uint64)
+    hashes, row = chained([value[first + k] for k in range(width)]), rows[first]
+    order = np.lexsort((hashes, row))
+    hashes, row, first = hashes[order], row[order], first[order]
+    alike = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    equal = alike.copy()
+    left = np.flatnonzero(alike)
+    for k in range(width):
+        equal[left] &= word[first[left] + k] == word[first[left + 1] + k]
+    found = np.zeros(len(first), bool)
+    if (equal == alike).all():
+        found[1:] |= equal
+        found[:-1] |= equal
+        return np.sort(first[found])
+    some = np.zeros(len(first), bool)  # unequal windows share a hash: group by the words themselves
+    some[1:] |= alike
+    some[:-1] |= alike
+    first, row = first[some], row[some]
+    _, which, number = np.unique(np.stack([row, *(word[first + k] for k in range(width))], axis=1), axis=0, return_inverse=True, return_counts=True)
+    return np.sort(first[number[which.ravel()] > 1])
 
 
 def with_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

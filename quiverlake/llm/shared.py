@@ -1,13 +1,15 @@
 """What the corpus operators share: the run folder, Arrow text blocks and vectorised word hashing.
 
-Hashes are 64-bit and seeded by fixed constants, so every task and every run of a
-job agrees on them. Text is handled as UTF-8 bytes straight from the Arrow buffer;
-a block of rows is hashed by NumPy in a few passes, never word by word in Python.
+Text is handled as UTF-8 bytes straight from the Arrow buffer, a block of rows in a few
+passes. Words, lines and pieces of a block are told apart by their bytes, through Arrow's
+dictionary encoding; only where tasks have to agree are the different ones of a block
+hashed, by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -108,43 +110,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-_BASE, _SHINGLE_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64, kept from call to call up to a block's size."""
-    have = len(_POWERS[0])
-    if have >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
-    made = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-        p[0] = 1
-        made.append(np.multiply.accumulate(p))
-    if n <= 4 * BLOCK_BYTES:
-        _POWERS[:] = made
-    return made[0][:n], made[1][:n]
-
-
-class Spans:
-    """Hashes of any byte ranges of one buffer, from prefix sums of a polynomial over its bytes."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
-
-    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words, the runs of bytes other than ASCII white space."""
     n = len(data)
@@ -159,17 +130,67 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def windows(word_hash: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every run of `width` consecutive words of one row."""
-    n = len(word_hash) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sums, power = np.zeros(n, np.uint64), 1
-    for k in range(width):
-        sums += word_hash[k : k + n] * np.uint64(power)
-        power = power * _SHINGLE_BASE % (1 << 64)
-    at = np.flatnonzero(rows[:n] == rows[width - 1 :])
-    return mix(sums[at]), at
+def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow array; they are in order and don't overlap. Ranges that follow each other aren't copied."""
+    bounds = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=bounds[1:])
+    if len(starts) and bounds[-1] != ends[-1] - starts[0]:
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts] += 1
+        step[ends] -= 1
+        raw = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    else:
+        raw = data[starts[0] : ends[-1]] if len(starts) else data[:0]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different byte strings among the ranges, and the number of each range's own. Equal numbers mean equal bytes."""
+    coded = runs(data, starts, ends).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range's bytes that all tasks agree on, made once for each different string.
+
+    Up to seven bytes and their number are put through a permutation of 64 bits, so no two such strings share a hash;
+    of longer strings it is the first 64 bits of BLAKE2b.
+    """
+    found, number = distinct(data, starts, ends)
+    raw, bounds = text_buffers(found)
+    size = np.diff(bounds)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    value = size.astype(np.uint64) << np.uint64(56)
+    for k in range(7):
+        value |= np.where(size > k, padded[np.minimum(bounds[:-1] + k, len(raw))], 0).astype(np.uint64) << np.uint64(8 * k)
+    value = mix(value)
+    long, flat = np.flatnonzero(size > 7), raw.tobytes()
+    named = [hashlib.blake2b(flat[a:b], digest_size=8).digest() for a, b in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True)]
+    value[long] = np.frombuffer(b"".join(named), "<u8")
+    return value[number]
+
+
+def chained(parts: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row's sequence of hashes, and of how many there are."""
+    sums = np.full(len(parts[0]), int(_STEP) * len(parts) % (1 << 64), np.uint64)
+    for part in parts:
+        sums ^= part
+        sums *= _M1
+        sums ^= sums >> np.uint64(32)
+    sums *= _M2
+    sums ^= sums >> np.uint64(29)
+    return sums
+
+
+def windows(rows: np.ndarray, width: int) -> np.ndarray:
+    """The first word of every run of `width` consecutive words of one row."""
+    return np.flatnonzero(rows[: max(len(rows) - width + 1, 0)] == rows[width - 1 :])
+
+
+def window_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` words from each word on, as far as there are so many."""
+    n = max(len(word_hash) - width + 1, 0)
+    return chained([word_hash[k : k + n] for k in range(width)])
 
 
 def by_row(values: np.ndarray, n_rows: int, rows: np.ndarray) -> np.ndarray:

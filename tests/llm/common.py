@@ -16,3 +16,9 @@ def documents(spark, more=()):
 
 def nothing(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def twins(power, a="a", b="b"):
+    """A Thue-Morse text of 2**power symbols and its complement, which polynomial hashes modulo 2**64 take for one from power 10 on."""
+    bits = [k.bit_count() & 1 for k in range(1 << power)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)

@@ -7,7 +7,7 @@ import pytest
 from quiverlake.llm import ngram_join as nj
 from quiverlake.llm.components import components
 
-from .common import DOCS, documents, nothing
+from .common import documents, nothing, twins
 
 
 def plain_set(text, width):
@@ -75,6 +75,23 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (2, two), (3, three), (None, four), (4, ""), (4, ""), (None, None)], key=str)
 
 
+def test_words_of_equal_polynomial_hashes(spark):
+    a, b = twins(11)
+    shared = "p q r s t u"
+    rows = [(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, a), (4, b), (5, a), (6, f"{a} x y z w {b}"), (7, f"{b} x y z w {a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in nj.similar_groups(docs).collect()) == plain(rows, 4, 85)
+
+
+def test_long_texts(spark):
+    pick = random.Random(9)
+    long = [f"v{pick.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-3])), (3, " ".join(reversed(long))), (4, "x" * 3_000_000), (5, "x" * 3_000_001), (6, "x " * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.similar_groups(docs).collect()}
+    assert [got[i][1] for i in range(1, 7)] == [1, 1, 3, 4, 5, 6] and got[6][0] == 1 == got[4][0] and got[1][0] == len(plain_set(rows[0][1], 4))
+
+
 def test_shingles_are_sets():
     grams, bounds = nj.shingles(pa.array(["a b a b a b", "", "A b", "a b"]), 2)
     assert (bounds[1:] - bounds[:-1]).tolist() == [2, 0, 1, 1] and grams[2] == grams[3]

@@ -8,7 +8,7 @@ import pytest
 from quiverlake.llm import host_rules
 from quiverlake.llm.shared import text_buffers
 
-from .common import DOCS, documents, nothing
+from .common import DOCS, documents, nothing, twins
 
 
 def plain(text):
@@ -32,6 +32,19 @@ def test_counts(seed):
     assert list(zip(*(m[c].tolist() for c in host_rules.COUNTS), strict=True)) == [plain(t) for t in texts]
 
 
+def test_counts_of_long_texts_and_equal_polynomial_hashes():
+    words = [f"w{i * i % 9973}" for i in range(700_000)]
+    texts = ["\n".join(twins(10)), "\n".join(twins(12)), " ".join(twins(10, "a ", "b ")), " ".join(words), "x" * 3_000_000, "\n".join(["same line"] * 200_000)]
+    m = host_rules.measure(*text_buffers(pa.array(texts)))
+    assert list(zip(*(m[c].tolist() for c in host_rules.COUNTS), strict=True)) == [plain(t) for t in texts]
+    assert m["n_dup_lines"].tolist() == [0, 0, 0, 0, 0, 199_999]
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(host_rules, "chained", lambda parts: parts[0] * 0)
+    test_counts(1)
+
+
 def test_beta_prior():
     assert host_rules.beta(0, 0, 0, 0) == (0.5, 0.5)
     a, b = host_rules.beta(2, 1_000_000, 10**12, 0)  # rates 0 and 1: no two hosts alike

@@ -14,7 +14,7 @@ from quiverlake.llm import bestfit, token_cache, token_files
 from quiverlake.llm.encode import PieceEncoder
 from quiverlake.llm.shared import run_folder
 
-from .common import documents, nothing
+from .common import documents, nothing, twins
 
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 PARTS = ["a", "B", " ", "  ", "\n", "\n\n", " \n", "\n ", "é", " ", "\t", "'s", "don't", "12", "<|endoftext|>", "!!", "日本", "́", "\u0085", "\u001c", "ß", "İ", "Σ", "×", ".", "\r\n", "😀", "\x01"]
@@ -39,6 +39,23 @@ def test_long_texts():
         assert ids[bounds[1] : bounds[2]].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_texts_of_equal_polynomial_hashes(spark, power):
+    texts = [*twins(power), *twins(power, "x", "y")]
+    for path, rule in ((BYTE, "gpt"), (WORD, "white")):
+        ids, bounds = PieceEncoder(path, rule).encode(pa.array(texts))
+        for k, e in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t, whole = Tokenizer.from_file(WORD), {}
+    for r in bestfit.pack_documents(docs, WORD, "white", 0, 2048, with_ids=True).orderBy("doc_id", "piece").collect():
+        whole.setdefault(r.doc_id, []).extend(r.ids)
+    assert whole == {k: [*t.encode(x, add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
+    token_files.write_token_files(docs, path := run_folder(spark, "t"), BYTE, "gpt", 2)
+    t = Tokenizer.from_file(BYTE)
+    assert {r.doc_id: r.tokens for r in token_files.read_token_files(spark, path).collect()} == {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
