@@ -10,7 +10,11 @@ minus item position). So:
    q-grams; a row without enough hits within the longest item's reach is done.
 3. Hits are counted in diagonal bands of width 2 * (k + 1) that overlap by half, so any
    k + 1 neighbouring diagonals lie in one of them. Bands that meet the bound are retained.
-4. Retained regions are verified by banded alignment of the whole item against the text
+   A q-gram with many places in one item counts once for each band from its first to its
+   last place, which keeps the bound, as no more is asked for than as many positions of
+   the text. Hits are taken in slices of bounded size, and bands are decided as they end,
+   so memory depends neither on repetitive texts nor on what items have in common.
+4. Retained regions, neighbouring bands as one, are verified by banded alignment of the whole item against the text
    around the band, with free ends in the text. Those within k edits are leaks.
 
 k is a share of the item's length, and small enough that one shared q-gram is asked for at
@@ -36,7 +40,10 @@ from pyspark.sql import functions as F
 from .shared import blocks, mix
 
 Q, EDIT_SHARE = 9, 0.09
-ITEM_BYTES = 4 << 20
+ITEM_BYTES = 8 << 20
+MANY_PLACES = 12  # of a q-gram in one item
+SLICE_BANDS = 500_000  # counted at once
+CELLS = 1 << 16  # of a row of alignments
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE_BITS = 22
 _FOLDS: list[np.ndarray] = []
@@ -47,12 +54,11 @@ def _folds() -> np.ndarray:
     """For each code point: what it folds to (SPACE if it is no letter or digit)."""
     if not _FOLDS:
         table = np.full(0x110000, SPACE, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             s = chr(c)
             if s.isalnum():
                 low = s.lower()
                 table[c] = ord(low) if len(low) == 1 else c
-        table[0x30000:] = np.arange(0x30000, 0x110000)
         _FOLDS.append(table)
     return _FOLDS[0]
 
@@ -109,39 +115,54 @@ class Items:
         self.lengths = np.array([len(c) for c in self.chars], np.int64)
         self.edits = np.clip(np.floor(self.lengths * share).astype(np.int64), 0, np.maximum((self.lengths - q) // q, 0))
         self.least = self.lengths - q + 1 - self.edits * q
-        self.short = [i for i, n in enumerate(self.lengths) if n < q]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: hashes of the items between spaces, ascending, and the items
+        for n in sorted(set(self.lengths[self.lengths < q].tolist())):
+            items = np.flatnonzero(self.lengths == n)
+            hashes = np.array([qgrams(self._between(i), n + 2)[0] for i in items.tolist()], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], items[order]
         long = [i for i in range(len(self.chars)) if self.lengths[i] >= q]
         grams = [qgrams(self.chars[i], q) for i in long]
         keys = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        item = np.repeat(np.array(long, np.int64), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first, self.number = np.unique(keys[order], return_index=True, return_counts=True)
+        item = np.repeat(np.array(long, np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.empty(0, np.int32)
+        order = np.lexsort((place, item, keys))
+        keys, item, place = keys[order], item[order], place[order]
+        # An entry is a q-gram with one of its places in an item, or with all of them if they are many: then from the first to the last.
+        group = np.ones(len(keys), bool)
+        group[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
+        first = np.flatnonzero(group)
+        many = np.diff(np.append(first, len(keys))) > MANY_PLACES
+        keep = ~many[np.cumsum(group) - 1] | group if len(keys) else group
+        last = np.arange(len(keys))
+        last[first[many]] = np.append(first[1:], len(keys))[many] - 1
+        self.item, self.low, self.high = item[keep], place[keep], place[last[keep]]
+        self.keys, self.first, self.number = np.unique(keys[keep], return_index=True, return_counts=True)
+        bands = (self.high - self.low) // (self.edits[self.item] + 1) + 3 if len(keys) else np.empty(0, np.int64)
+        self.work = np.add.reduceat(bands, self.first) if len(keys) else bands  # bands that a hit of the q-gram touches, at most
         self.maybe = np.zeros(1 << _TABLE_BITS, bool)
         self.maybe[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
-        self.reach = int((self.lengths + self.edits).max()) if long else 0
+        self.reach = int((self.lengths + self.edits)[long].max()) if long else 0
         self.fewest = int(min((self.least[i] for i in long), default=1))
 
+    def _between(self, item: int) -> np.ndarray:
+        return np.concatenate([[SPACE], self.chars[item], [SPACE]]).astype(np.uint32)
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits), the best place of each item in each row; positions are code points of the text."""
         chars, origin, bounds = fold(texts)
         regions = self._bands(chars, bounds) if len(self.keys) else []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (row, item, _), (edits, a, b) in zip(regions, self._align(chars, bounds, regions), strict=True):
+        for (row, item, *_), (edits, a, b) in zip(regions, self._align(chars, bounds, regions), strict=True):
             if edits <= self.edits[item]:
                 found = (edits, a, b)
                 best[row, item] = min(best.get((row, item), found), found)
-        for item in self.short:
-            word = np.concatenate([[SPACE], self.chars[item], [SPACE]]).astype(np.uint32)
-            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                at = _search(np.concatenate([[SPACE], chars[a : b - 1], [SPACE]]).astype(np.uint32), word)
-                if at >= 0:
-                    best[row, item] = (0, a + at, a + at + len(word) - 2)
+        for row, item, a in self._shorts(chars, bounds):
+            best.setdefault((row, item), (0, a, a + int(self.lengths[item])))
         return [(row, item, int(origin[a]), int(origin[b - 1]) + 1, int(edits)) for (row, item), (edits, a, b) in sorted(best.items())]
 
-    def _bands(self, chars: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, first diagonal) of the bands that meet the item's bound, diagonals counted over the whole block."""
+    def _bands(self, chars: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, first diagonal, last diagonal) of the regions of bands that meet the item's bound, diagonals counted over the whole block."""
         grams = qgrams(chars, self.q)
         hits = np.flatnonzero(self.maybe[grams >> np.uint64(64 - _TABLE_BITS)])
         at = np.minimum(np.searchsorted(self.keys, grams[hits]), len(self.keys) - 1)
@@ -154,48 +175,99 @@ class Items:
         hits, at = hits[good], at[good]
         if not len(hits):
             return []
+        # Bands are counted slice by slice; those that no later hit can touch are decided, the others go on to the next.
+        total = np.cumsum(self.work[at])
+        open_, out, lo = (np.empty(0, np.int64),) * 4, [], 0
+        while lo < len(hits):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE_BANDS, side="right")))
+            row, item, band, count = _summed(*(np.concatenate(x) for x in zip(open_, self._touched(hits[lo:hi], at[lo:hi], bounds), strict=True)))
+            done = np.ones(len(row), bool)
+            if hi < len(hits):  # a band (item, b) ends with diagonal (b + 2) * stride - 1
+                done = (band + 2) * (self.edits[item] + 1) - self.reach <= hits[hi] - self.lengths[item]
+            good = done & (count >= self.least[item])
+            out.append((row[good], item[good], band[good]))
+            open_ = tuple(x[~done] for x in (row, item, band, count))
+            lo = hi
+        row, item, band = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((band, item, row))
+        row, item, band = row[order], item[order], band[order]
+        # Bands that touch are verified as one region, up to a width.
+        begins = np.ones(len(row), bool)
+        begins[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)
+        nth = np.arange(len(row)) - np.maximum.accumulate(np.where(begins, np.arange(len(row)), 0))
+        begins |= nth % np.maximum(CELLS // (4 * (self.edits[item] + 1)), 1) == 0
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        stride, low, high = self.edits[item[first]] + 1, band[first], band[last] + 2
+        return list(zip(row[first].tolist(), item[first].tolist(), (low * stride - self.reach).tolist(), (high * stride - 1 - self.reach).tolist(), strict=True))
+
+    def _touched(self, hits: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, band, 1) for each band that one of the hits touches; band b of an item holds its diagonals from b to b + 2 strides."""
         number = self.number[at]
         entry = np.repeat(self.first[at] - np.cumsum(number) + number, number) + np.arange(number.sum())
-        item, diagonal = self.item[entry], np.repeat(hits, number) - self.place[entry] + self.reach  # not below 0
+        place, item = np.repeat(hits, number), self.item[entry].astype(np.int64)
         stride = self.edits[item] + 1
-        band = diagonal // stride
-        row = np.searchsorted(bounds, np.repeat(hits, number), side="right") - 1
-        item, row = np.tile(item, 2), np.tile(row, 2)
-        band = np.concatenate([band, band - 1])
-        order = np.lexsort((band, item, row))
-        item, row, band = item[order], row[order], band[order]
-        edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (band[1:] != band[:-1])]))
-        count = np.diff(np.append(edge, len(item)))
-        kept = edge[count >= self.least[item[edge]]]
-        return list(zip(row[kept].tolist(), item[kept].tolist(), (band[kept] * (self.edits[item[kept]] + 1) - self.reach).tolist(), strict=True))
-
-    def _align(self, chars: np.ndarray, bounds: np.ndarray, regions: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        first, last = (place - self.high[entry] + self.reach) // stride - 1, (place - self.low[entry] + self.reach) // stride
+        width = last - first + 1
+        band = np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())
+        row = np.searchsorted(bounds, place, side="right") - 1
+        return np.repeat(row, width), np.repeat(item, width), band, np.ones(len(band), np.int64)
+
+    def _shorts(self, chars: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, place) of the first place of each short item in each row."""
+        if not self.short:
+            return
+        spaced = np.concatenate([[SPACE], np.where(chars == WALL, SPACE, chars)]).astype(np.uint32)
+        for n, (hashes, items) in self.short.items():
+            grams = qgrams(spaced, n + 2)
+            hits = np.flatnonzero((spaced[: len(grams)] == SPACE) & (spaced[n + 1 : n + 1 + len(grams)] == SPACE))
+            at = np.minimum(np.searchsorted(hashes, grams[hits]), len(hashes) - 1)
+            good = hashes[at] == grams[hits]
+            for place, k in zip(hits[good].tolist(), at[good].tolist(), strict=True):
+                found = spaced[place : place + n + 2].tobytes()
+                while k < len(hashes) and hashes[k] == grams[place]:
+                    if self._between(int(items[k])).tobytes() == found:
+                        yield int(np.searchsorted(bounds, place, side="right")) - 1, int(items[k]), place
+                    k += 1
+
+    def _align(self, chars: np.ndarray, bounds: np.ndarray, regions: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int]]:
         """Edits, start and end in chars of the item's best place in each region."""
         out: list[tuple[int, int, int]] = [(1 << 30, 0, 0)] * len(regions)
         todo = []
-        for n, (row, item, first) in enumerate(regions):
+        for n, (row, item, first, last) in enumerate(regions):
             m, k = int(self.lengths[item]), int(self.edits[item])
-            low, high = max(bounds[row], first - k), min(bounds[row + 1] - 1, first + 3 * k + 2 + m)  # an alignment leaves the band by k at most
+            low, high = max(bounds[row], first - k), min(bounds[row + 1] - 1, last + k + m)  # an alignment leaves the band by k at most
             at = _search(chars[low:high], self.chars[item])
             if at >= 0:
                 out[n] = (0, low + at, low + at + m)
-            elif k:
-                todo.append((n, low, high))
-        for lo in range(0, len(todo), 64):
-            part = todo[lo : lo + 64]
+            elif k and last + k >= low:  # else it lies before the row
+                todo.append((n, low, high, last + k - low, m))
+        todo.sort(key=lambda x: (x[3], x[4]))  # like with like
+        while todo:
+            size = max(1, min(256, CELLS // (todo[-1][3] + 1)))  # the widest first
+            part, todo = todo[-size:], todo[:-size]
             items = [self.chars[regions[n][1]] for n, *_ in part]
-            texts = [chars[a:b] for _, a, b in part]
-            edits, ends = banded(items, texts, [4 * int(self.edits[regions[n][1]]) + 2 for n, *_ in part], True)
-            good = [j for j, (n, *_) in enumerate(part) if edits[j] <= self.edits[regions[n][1]]]
+            most = [int(self.edits[regions[n][1]]) for n, *_ in part]
+            texts = [chars[a:b] for _, a, b, *_ in part]
+            edits, ends = banded(items, texts, [last for *_, last, _ in part], True, most)
+            good = [j for j in range(len(part)) if edits[j] <= most[j]]
             if good:
-                back = [texts[j][: ends[j]][::-1] for j in good]
-                _, sizes = banded([items[j][::-1] for j in good], back, [int(self.edits[regions[part[j][0]][1]]) for j in good], False)
+                back = [texts[j][max(0, ends[j] - len(items[j]) - most[j]) : ends[j]][::-1] for j in good]
+                _, sizes = banded([items[j][::-1] for j in good], back, [most[j] for j in good], False)
                 for j, size in zip(good, sizes, strict=True):
-                    n, a, _ = part[j]
+                    n, a, *_ = part[j]
                     out[n] = (int(edits[j]), a + int(ends[j]) - int(size), a + int(ends[j]))
         return iter(out)
 
 
+def _summed(row: np.ndarray, item: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The counts of each (row, item, band)."""
+    order = np.lexsort((band, item, row))
+    row, item, band = row[order], item[order], band[order]
+    edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (band[1:] != band[:-1])])[: len(row)])
+    return row[edge], item[edge], band[edge], np.add.reduceat(count[order], edge)
+
+
 def _search(text: np.ndarray, word: np.ndarray) -> int:
     """Where word begins in text, or -1."""
     raw, sought, at = text.tobytes(), word.tobytes(), -1
@@ -205,23 +277,25 @@ def _search(text: np.ndarray, word: np.ndarray) -> int:
     return -1
 
 
-def banded(items: list[np.ndarray], texts: list[np.ndarray], last: list[int], free_start: bool) -> tuple[np.ndarray, np.ndarray]:
+def banded(items: list[np.ndarray], texts: list[np.ndarray], last: list[int], free_start: bool, first: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edit distance of each item to its best stretch of its text, and where that stretch ends (the first best end).
 
-    Diagonals (text position minus item position) from -max(last) to max(last) are used. With a free start the
-    stretch may begin anywhere in the text, else it begins with the text.
+    Diagonals (text position minus item position) from -max(first), or -max(last), to max(last) are used. With a free
+    start the stretch may begin anywhere in the text, else it begins with the text.
     """
-    n, width, shift = len(items), 2 * max(last) + 1, max(last)
+    n, shift = len(items), max(first or last)
+    width = shift + max(last) + 1
     longest = max(map(len, items))
     item = np.full((n, longest), WALL + 1, np.uint32)
-    text = np.full((n, longest + width + shift + 1), WALL + 2, np.uint32)
+    text = np.full((n, longest + width + 1), WALL + 2, np.uint32)
     for j in range(n):
         item[j, : len(items[j])] = items[j]
         text[j, shift : shift + min(len(texts[j]), text.shape[1] - shift)] = texts[j][: text.shape[1] - shift]
-    sizes, far = np.array([len(t) for t in texts]), np.int32(1 << 20)
+    kind = np.int16 if longest + width < 10_000 else np.int32
+    sizes, far = np.array([len(t) for t in texts]), kind(20_000 if kind is np.int16 else 1 << 28)
     lengths = np.array([len(x) for x in items])
-    column, step = np.arange(width), np.arange(width, dtype=np.int32)
-    cost = np.tile((column - shift) * (not free_start), (n, 1)).astype(np.int32)
+    column, step = np.arange(width), np.arange(width, dtype=kind)
+    cost = np.tile((column - shift) * (not free_start), (n, 1)).astype(kind)
     cost[(column[None, :] < shift) | (column[None, :] - shift > sizes[:, None])] = far
     edits, ends = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(longest + 1):
@@ -232,13 +306,20 @@ def banded(items: list[np.ndarray], texts: list[np.ndarray], last: list[int], fr
             edits[done], ends[done] = final[np.arange(len(done)), where], i + where - shift
         if i == longest:
             break
-        place = i + column - shift + 1  # end in the text once item[i] is matched on each diagonal
-        same = text[:, i : i + width] == item[:, i : i + 1]
-        fresh = cost + ~same
-        fresh[:, :-1] = np.minimum(fresh[:, :-1], cost[:, 1:] + 1)
-        fresh[(place[None, :] < 0) | (place[None, :] > sizes[:, None])] = far
+        fresh = cost + (text[:, i : i + width] != item[:, i : i + 1])
+        np.minimum(fresh[:, :-1], cost[:, 1:] + kind(1), out=fresh[:, :-1])
+        outside = np.flatnonzero(i + column - shift + 1 < 0)  # ends in the text once item[i] is matched on each diagonal
+        beyond = sizes - (i - shift + 1) + 1  # the first column past the text's end
+        fresh[:, outside] = far
+        over = np.flatnonzero(beyond < width)
+        mask = column[None, :] >= beyond[over, None]
+        if len(over):
+            fresh[over] = np.where(mask, far, fresh[over])
         cost = np.minimum.accumulate(fresh - step, axis=1) + step
-        cost[(place[None, :] < 0) | (place[None, :] > sizes[:, None])] = far
+        cost[:, outside] = far
+        if len(over):
+            cost[over] = np.where(mask, far, cost[over])
+        np.minimum(cost, far, out=cost)
     return edits, ends
 
 

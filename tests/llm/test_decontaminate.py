@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -100,3 +103,49 @@ def test_on_tables(spark):
     assert len(many) > 1 and sum(map(len, (x.chars for x in many))) >= 1
     assert dc.leaks(nothing(spark), items).count() == 0 == dc.leaks(docs, items.limit(0)).count()
     assert dc.keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repetitive_items_and_small_slices(seed, monkeypatch):
+    monkeypatch.setattr(dc, "SLICE_BANDS", 50)
+    monkeypatch.setattr(dc, "CELLS", 200)
+    monkeypatch.setattr(dc, "MANY_PLACES", 2)
+    pick = random.Random(seed)
+    prompt = words(pick, 12)
+    items = ["ab" * 60, "a" * 120, "abc " * 30, *(f"{prompt} {words(pick, 6)}" for _ in range(8))]
+    index = dc.Items(list(enumerate(items)))
+    names = {"".join(map(chr, c)): i for i, c in enumerate(index.chars)}
+    texts = ["ab" * 400, "a" * 300 + "b" + "a" * 100, "abc " * 200, "x".join(["ab" * 20] * 9), prompt, prompt + " " + prompt, *(worn(pick, x, 4) + " " + prompt for x in items)]
+    found = {(row, k): n for row, item, a, b, n in index.find(texts) for k in index.ids[item]}
+    for row, text in enumerate(texts):
+        for item in range(len(items)):
+            n = best(folded(items[item]), folded(text))
+            assert found.get((row, item)) == (n if n <= index.edits[names[folded(items[item])]] else None), (row, item, n)
+
+
+def test_many_short_items():
+    pick = random.Random(3)
+    items = sorted({words(pick, 1) for _ in range(300)}) + ["a b", "b c"]
+    texts = [words(pick, pick.randrange(40)) for _ in range(200)] + ["a b c", " a b", "", "x" * 9]
+    index = dc.Items(list(enumerate(items)))
+    got = {(row, index.ids[item][0], a, b) for row, item, a, b, _ in index.find(texts)}
+    want = {(row, k, (f" {t} ").index(f" {x} "), (f" {t} ").index(f" {x} ") + len(x)) for row, t in enumerate(texts) for k, x in enumerate(items) if f" {x} " in f" {t} "}
+    assert got == want
+
+
+MEMORY = """
+import random, resource
+from quiverlake.llm import decontaminate as dc
+pick = random.Random(1)
+prose = lambda n: " ".join("".join(pick.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+assert dc.Items([(1, "a" * 500)]).find(["a" * 5_000_000]) == [(0, 0, 0, 500, 0)]
+prompt = prose(40)
+items = [(k, prompt + " " + prose(12)) for k in range(10_000)]
+found = dc.Items(items).find([prose(400_000) + " " + items[77][1] + " " + prose(100_000), prose(100) + " " + prompt + " " + prose(100)])
+assert [(row, item, n) for row, item, _, _, n in found] == [(0, 77, 0)], found
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20  # kB
+"""
+
+
+def test_memory_is_bounded_for_periodic_texts_and_shared_prompts():
+    subprocess.run([sys.executable, "-c", MEMORY], check=True, cwd=Path(__file__).resolve().parents[2])
