@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import blocks, chained, distinct, materialise, run_folder, text_buffers, windows, words
 
@@ -152,15 +153,24 @@ def score(docs: DataFrame, limit: float = HOST_LIMIT, **columns: str) -> DataFra
 
 
 def keep_good(docs: DataFrame, limit: float = HOST_LIMIT, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns. Texts are read twice and never shuffled."""
-    bad = bad_hosts(with_counts(docs, None, text_col, host_col), limit).select("bad_host")
+    """The documents that are kept, with all their columns.
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in blocks(batches, text_col):
-            yield batch.filter(pa.array(~base_failed(measure(*text_buffers(text)))))
+    Texts are measured once and never shuffled: what passes the base rules is stored as it is measured, what fails
+    only as its host.
+    """
+    spark = docs.sparkSession
+    fields = T.StructType([T.StructField("row", docs.schema), T.StructField("host", docs.schema[host_col].dataType), T.StructField("base_failed", T.BooleanType())])
 
-    passed = docs.mapInArrow(passing, docs.schema)
-    return passed.join(bad, passed[host_col].cast("string").eqNullSafe(bad["bad_host"]), "left_anti")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in blocks(batches, text_col):
+            failed = pa.array(base_failed(measure(*text_buffers(text))))
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema), mask=failed)
+            yield pa.RecordBatch.from_arrays([row, batch.column(batch.schema.get_field_index(host_col)), failed], names=["row", "host", "base_failed"])
+
+    judged = materialise(docs.mapInArrow(judge, fields), run_folder(spark, "judged"))
+    host = F.col("host").cast("string")
+    bad = bad_hosts(judged.select(host.alias("host"), "base_failed"), limit).select("bad_host")
+    return judged.where("NOT base_failed").join(bad, host.eqNullSafe(F.col("bad_host")), "left_anti").select("row.*")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
