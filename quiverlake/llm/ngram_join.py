@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .shared import FOLD, blocks, chained, materialise, mix, run_folder, slices, text_buffers, window_hashes, windows, word_hashes, words
+from .shared import FOLD, blocks, chained, materialise, mix, partitions_for, run_folder, slices, text_buffers, window_hashes, windows, word_hashes, words
 
 FRAGMENTS = 4  # of the order, when pairs are verified
 SCATTER = 4  # fragments for each shuffle partition, when private n-grams are found
@@ -57,6 +57,8 @@ SEND_BYTES = 4 << 20
 SLICE_GRAMS = 400_000  # handled at once by a task
 LIST_ROWS = 20_000  # of a list that one task pairs; longer ones are cut into blocks that meet two by two
 BROADCAST_LISTS = 100_000
+BROADCAST_SETS = 1_000_000  # of 20 bytes each
+HELD_GRAMS = 8_000_000  # counts that a task gathers before it sends them on
 
 PROFILE = "kind int, doc_id bigint, cls bigint, n int, block bigint, idx int, own int, part int, data binary"
 PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("own", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
@@ -142,79 +144,118 @@ def _profile(width: int, parts: int):
     return run
 
 
+def _counted(found: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    counts = [np.stack(np.unique(np.concatenate(x), return_counts=True), axis=1).astype(np.uint32).tobytes() for x in found.values()]
+    k = len(found)
+    none = pa.nulls(k, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, 2), pa.int32()), none, none, none.cast(pa.int32()), pa.array(list(found)), *[none.cast(pa.int32())] * 3, pa.array(counts, pa.binary())], schema=PROFILE_ARROW)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the fragments in one partition: rows of kind 2, how many owned n-grams of a block's sets other blocks have too. Rows of kind 0 pass.
+    """Of rows in the order of their fragments: rows of kind 2, how many owned n-grams of a block's sets other blocks have too. Rows of kind 0 pass.
 
-    32 bits may take two n-grams of a fragment for one; that only lowers a private count, which stays a bound.
+    One fragment is held at a time. 32 bits may take two n-grams of a fragment for one; that only lowers a private
+    count, which stays a bound.
     """
-    waiting: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        kind = batch.column(0).to_numpy()
-        if (kind == 0).any():
-            yield batch.filter(pa.array(kind == 0))
-        for i in np.flatnonzero(kind == 1).tolist():
-            raw = batch.column(8)[i].as_py()
-            owned, width = np.frombuffer(raw, np.uint32, 2).tolist()
-            end = len(raw) - owned * width
-            owners = np.frombuffer(raw[end:], np.uint16 if width == 2 else np.uint32)
-            waiting.setdefault(batch.column(7)[i].as_py(), []).append((batch.column(4)[i].as_py(), owners, np.frombuffer(raw[8:end], np.uint32)))
     found: dict[int, list[np.ndarray]] = {}
-    for blobs in waiting.values():
-        grams = np.concatenate([g for *_, g in blobs])
+    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+    at, held = None, 0
+
+    def end() -> int:
+        if not waiting:
+            return 0
+        grams = np.concatenate([g for *_, g in waiting])
         order = np.argsort(grams)
         same = grams[order][1:] == grams[order][:-1]
         shared = np.zeros(len(grams), bool)
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
-        at = 0
-        for block, owners, g in blobs:
-            met = owners[shared[at : at + len(owners)]]  # owned n-grams come first
+        place = total = 0
+        for block, owners, g in waiting:
+            met = owners[shared[place : place + len(owners)]]  # owned n-grams come first
             if len(met):
                 found.setdefault(block, []).append(met.astype(np.uint32))
-            at += len(g)
+                total += len(met)
+            place += len(g)
+        waiting.clear()
+        return total
+
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        if (kind == 0).any():
+            yield batch.filter(pa.array(kind == 0))
+        for i in np.flatnonzero(kind == 1).tolist():
+            part = batch.column(7)[i].as_py()
+            if part != at:
+                held += end()
+                at = part
+                if held > HELD_GRAMS:
+                    yield _counted(found)
+                    held = 0
+                    found.clear()
+            raw = batch.column(8)[i].as_py()
+            owned, width = np.frombuffer(raw, np.uint32, 2).tolist()
+            cut = len(raw) - owned * width
+            owners = np.frombuffer(raw[cut:], np.uint16 if width == 2 else np.uint32)
+            waiting.append((batch.column(4)[i].as_py(), owners, np.frombuffer(raw[8:cut], np.uint32)))
+    end()
     if found:
-        counts = [np.stack(np.unique(np.concatenate(x), return_counts=True), axis=1).astype(np.uint32).tobytes() for x in found.values()]
-        k = len(found)
-        none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2), pa.int32()), none, none, none.cast(pa.int32()), pa.array(list(found)), *[none.cast(pa.int32())] * 3, pa.array(counts, pa.binary())], schema=PROFILE_ARROW)
+        yield _counted(found)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, idx, met), one row for each set that other blocks share with, from all rows (block, data) of some blocks."""
-    total: dict[int, np.ndarray] = {}
+    """(block, idx, met), one row for each set that other blocks share with, from rows (block, data) in the order of blocks."""
+    at, have = None, np.zeros(0, np.int64)
+
+    def end() -> Iterator[pa.RecordBatch]:
+        idx = np.flatnonzero(have)
+        if len(idx):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), at)), pa.array(idx, pa.int32()), pa.array(have[idx], pa.int32())], names=["block", "idx", "met"])
+
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if block != at:
+                yield from end()
+                at, have = block, np.zeros(0, np.int64)
             idx, met = np.frombuffer(data, np.uint32).reshape(-1, 2).astype(np.int64).T
-            have = total.get(block, np.zeros(0, np.int64))
             if len(have) <= idx.max():
                 have = np.concatenate([have, np.zeros(int(idx.max()) + 1 - len(have), np.int64)])
             have[idx] += met  # a blob names a set once
-            total[block] = have
-    for block, met in total.items():
-        idx = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), block)), pa.array(idx, pa.int32()), pa.array(met[idx], pa.int32())], names=["block", "idx", "met"])
+    yield from end()
 
 
 def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, cls (the set's name), n and s (n-grams that no other set has, at most) of each document, read from a table."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(_profile(width, SCATTER * partitions), PROFILE).repartition(partitions, "part")
+    sent = rows.mapInArrow(_profile(width, SCATTER * partitions), PROFILE).repartition(partitions, "part").sortWithinPartitions("part")
     found = materialise(sent.mapInArrow(_met, PROFILE), run_folder(spark, "ngram_profile"))
-    met = found.where("kind = 2").select("block", "data").repartition(partitions, "block").mapInArrow(_summed, "block bigint, idx int, met int")
+    messages = found.where("kind = 2").select("block", "data").repartition(partitions, "block").sortWithinPartitions("block")
+    met = messages.mapInArrow(_summed, "block bigint, idx int, met int")
     private = (F.col("own") - F.coalesce("met", F.lit(0))).cast("int")
     members = found.where("kind = 0").join(met, ["block", "idx"], "left").select("doc_id", "cls", "n", private.alias("s"))
     return materialise(members, run_folder(spark, "ngram_members"))
 
 
 def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """cls, n, s and grams (ascending as unsigned numbers) of the sets that can link with another, read from a table."""
+    """cls, n, s and grams (ascending as unsigned numbers) of the sets that can link with another, read from a table.
+
+    Of each set one document is read again. While those are few, their ids go to all tasks and no text is shuffled;
+    ids that several rows of a set share are joined by a shuffle, so that one task sees them all and keeps one.
+    """
     spark = docs.sparkSession
     able = members.where(f"n > 0 and 100 * (n - s) >= {percent} * n")
-    chosen = able.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("s").alias("s"))
+    rows_of = able.groupBy("cls", "doc_id").agg(F.count("*").alias("_rows"), F.max("s").alias("s"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_rows")).alias("first")
+    chosen = rows_of.groupBy("cls").agg(first, F.max("s").alias("s")).select("cls", "s", F.col("first.doc_id").alias("rep"), ((F.col("first._rows") > 1) | F.col("first.no")).alias("odd"))
+    chosen = materialise(chosen, run_folder(spark, "ngram_chosen"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(chosen.hint("merge"), rows["doc_id"].eqNullSafe(chosen["rep"])).select("cls", "s", "text")
+    single, odd = chosen.where("NOT odd").drop("odd"), chosen.where("odd").drop("odd")
+    single = F.broadcast(single) if single.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else single
+    joined = rows.join(single, rows["doc_id"] == single["rep"]).select("cls", "s", "text")
+    if odd.limit(1).count():
+        joined = joined.unionAll(rows.join(odd.hint("merge"), rows["doc_id"].eqNullSafe(odd["rep"])).select("cls", "s", "text"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -280,55 +321,70 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
 
 
+def long_lists(lists: DataFrame) -> DataFrame:
+    """(g, blocks) of the lists of more than LIST_ROWS members, read from a table, with a broadcast hint while they are few."""
+    long = lists.groupBy("g").count().where(F.col("count") > LIST_ROWS).select("g", F.ceil(F.col("count") / LIST_ROWS).cast("int").alias("blocks"))
+    long = materialise(long, run_folder(lists.sparkSession, "ngram_long_lists"))
+    return F.broadcast(long) if long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS else long
+
+
 def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each member of a list with the one before it and with the list's first, in order of private counts."""
+    """Each member of a list with the one before it and with the list's first, in order of private counts.
+
+    A long list is dealt into blocks, and the blocks' first members are paired with the list's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = last = None  # (g, cls, n, s) of the current list's first row and of the row before
+        lead = last = None  # (g, block, cls, n, s) of the current block's first row and of the row before
         for batch in batches:
-            g, cls, n, s = (batch.column(i).to_numpy() for i in range(4))
+            g, block, cls, n, s = (batch.column(i).to_numpy() for i in range(5))
             if not len(g):
                 continue
             if last is not None:
-                g, cls, n, s = (np.concatenate([np.array([x, y], z.dtype), z]) for x, y, z in zip(lead, last, (g, cls, n, s), strict=True))
+                g, block, cls, n, s = (np.concatenate([np.array([x, y], z.dtype), z]) for x, y, z in zip(lead, last, (g, block, cls, n, s), strict=True))
             start = np.ones(len(g), bool)
-            start[1:] = g[1:] != g[:-1]
+            start[1:] = (g[1:] != g[:-1]) | (block[1:] != block[:-1])
             head = np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
             at = np.arange(len(g))
             x, y = np.concatenate([at[~start], at[~start]]), np.concatenate([at[~start] - 1, head[~start]])
             good = (cls[x] != cls[y]) & possible(n[x], s[x], n[y], s[y], percent)
             yield _pairs(cls[x[good]], cls[y[good]])
-            lead, last = (tuple(z[i].item() for z in (g, cls, n, s)) for i in (head[-1], -1))
+            lead, last = (tuple(z[i].item() for z in (g, block, cls, n, s)) for i in (head[-1], -1))
 
-    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lists.repartition(partitions, "g").sortWithinPartitions("g", "s", "n", "cls")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = lists.join(long_lists(lists), "g", "left").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    dealt = placed.select("g", "block", "cls", "n", "s").repartition(partitions_for(lists), "g", "block").sortWithinPartitions("g", "block", "s", "n", "cls")
+    leads = placed.where("blocks IS NOT NULL").groupBy("g", "block").agg(F.min(F.struct("s", "n", "cls")).alias("lead"))
+    first = leads.groupBy("g").agg(F.min("lead").alias("first"))
+    s1, n1, s2, n2 = (F.col(x).cast("long") for x in ("lead.s", "lead.n", "first.s", "first.n"))
+    most = F.least(n1 - s1, n2 - s2)
+    able = leads.join(first, "g").where((F.col("lead.cls") != F.col("first.cls")) & (most > 0) & ((100 + percent) * most >= percent * (n1 + n2)))
+    of_leads = able.select(F.least("lead.cls", "first.cls").alias("a"), F.greatest("lead.cls", "first.cls").alias("b"))
+    return dealt.mapInArrow(run, "a bigint, b bigint").unionAll(of_leads).distinct()
 
 
 def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list's members that are in different components and can link.
 
-    A list of more than LIST_ROWS members is dealt into blocks; each pair of blocks is a cell of its own, so no
-    task holds more than two blocks.
+    Lists of one component are dropped first. In the others, the rest (what isn't of the list's largest component) meets
+    all members: cell (i, j) holds block i of the rest and block j of all members, LIST_ROWS of each about, so a list
+    of which few members are left costs about its own length, and no task holds more than a cell.
     """
 
-    def of_list(cls: np.ndarray, n: np.ndarray, s: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        rest = np.flatnonzero(inverse != count.argmax())  # of two components one isn't the largest
-        step = max(1, (1 << 22) // len(cls))
-        for lo in range(0, len(rest), step):
-            x = rest[lo : lo + step, None]
-            good = (root[x] != root[None, :]) & possible(n[x], s[x], n[None, :], s[None, :], percent)
-            i, j = np.nonzero(good)
+    def of_cell(rest: np.ndarray, cls: np.ndarray, n: np.ndarray, s: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
+        step = max(1, (1 << 22) // max(len(all_), 1))
+        y = all_[None, :]
+        for lo in range(0, len(one), step):
+            x = one[lo : lo + step, None]
+            i, j = np.nonzero((root[x] != root[y]) & possible(n[x], s[x], n[y], s[y], percent))
             if len(i):
-                yield _pairs(cls[x[i, 0]], cls[j])
+                yield _pairs(cls[x[i, 0]], cls[all_[j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # what has come of the current cell
         for batch in batches:
-            columns = tuple(batch.column(i).to_numpy() for i in range(7))
+            columns = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
             new = np.zeros(batch.num_rows, bool)
             for c in columns[:3]:
                 new[1:] |= c[1:] != c[:-1]
@@ -337,22 +393,23 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 if b <= a:
                     continue
                 if held and any(held[0][k][0] != columns[k][a] for k in range(3)):
-                    yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(3, 7)))
+                    yield from of_cell(*(np.concatenate([h[k] for h in held]) for k in range(3, 8)))
                     held = []
                 held.append(tuple(c[a:b] for c in columns))
         if held:
-            yield from of_list(*(np.concatenate([h[k] for h in held]) for k in range(3, 7)))
+            yield from of_cell(*(np.concatenate([h[k] for h in held]) for k in range(3, 8)))
 
-    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("g", "cls", "n", "s", F.coalesce("root", "cls").alias("root"))
-    long = lists.groupBy("g").count().where(F.col("count") > LIST_ROWS).select("g", F.ceil(F.col("count") / LIST_ROWS).cast("int").alias("blocks"))
-    long = materialise(long, run_folder(lists.sparkSession, "ngram_long_lists"))
-    few = long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS
-    sized = labelled.join(F.broadcast(long) if few else long, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    placed = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "n", "s", "root")
-    dealt = cells.repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    labelled = materialise(labelled, run_folder(lists.sparkSession, "ngram_labelled_lists"))
+    of_root = labelled.groupBy("g", "root").agg(F.count("*").alias("rows"))
+    mixed = of_root.groupBy("g").agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "root")).alias("top")).where("size > top.rows")
+    blocks = lambda x: F.ceil(x / LIST_ROWS).cast("int")
+    mixed = mixed.select("g", F.col("top.root").alias("top"), blocks(F.col("size")).alias("of_all"), blocks(F.col("size") - F.col("top.rows")).alias("of_rest"))
+    sized = labelled.join(mixed, "g")
+    last = lambda x: F.sequence(F.lit(0), F.col(x) - 1)
+    rest = sized.where("root != top").select("g", F.pmod(F.xxhash64("cls", "g"), F.col("of_rest")).cast("int").alias("i"), F.explode(last("of_all")).alias("j"), F.lit(True).alias("rest"), "cls", "n", "s", "root")
+    all_ = sized.select("g", F.explode(last("of_rest")).alias("i"), F.pmod(F.xxhash64("cls"), F.col("of_all")).cast("int").alias("j"), F.lit(False).alias("rest"), "cls", "n", "s", "root")
+    dealt = rest.unionAll(all_).repartition(partitions_for(lists), "g", "i", "j").sortWithinPartitions("g", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -405,7 +462,7 @@ def grouped_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_co
     spark = docs.sparkSession
     members = profile(docs, width, id_col, text_col)
     sets = shared_sets(docs, members, width, percent, id_col, text_col)
-    lists = prefixes(sets, percent, frequent_grams(sets))
+    lists = materialise(prefixes(sets, percent, frequent_grams(sets)), run_folder(spark, "ngram_lists"))
     links = materialise(verified(first_pairs(lists, percent), sets, percent), run_folder(spark, "ngram_links"))
     roots = materialise(components(links), run_folder(spark, "ngram_roots"))
     more = materialise(verified(cross_pairs(lists, roots, percent), sets, percent), run_folder(spark, "ngram_links"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
+MOST_PARTITIONS = 100_000
 _BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -48,6 +49,13 @@ def materialise(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """How many partitions to deal what is made from df into: the session's number, or more if the plan's size asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    number = -(-size // each) if size < 1 << 50 else 0  # more means that the plan doesn't know
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(number, MOST_PARTITIONS))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
