@@ -2,8 +2,8 @@
 
 Parameters of the index (coarse centroids and the PQ codebook, shared by all clusters and
 trained on raw vectors) are small: nlist * D and M * ksub * dsub floats, whatever the
-table holds. They live on the driver and enter plans as literals. Everything that grows
-with the table is a DataFrame: cluster_id, vector_id (position in the cluster), global_id
+table holds. They live on the driver and go to tasks by broadcast, never as literals of a
+plan. Everything that grows with the table is a DataFrame: cluster_id, vector_id (position in the cluster), global_id
 and codes.
 """
 
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vector as V
+from quiverlake.functions.arrays import matrix, nearest
+from quiverlake.sources.tables import partitions_for, shared_folder
 
 FIXED_POINT = 1 << 20
-ID_BUCKET = 4096
+SAMPLE = 16_384  # vectors that fit() trains on at most
 
 
 @dataclass(frozen=True)
@@ -94,22 +96,6 @@ def invalid(vectors: DataFrame, q: Quantizer, id_col: str = "vec_id", vec_col: s
     return vectors.where(~valid(F.col(vec_col), q)).select(F.col(id_col).alias("global_id"), F.lit(-22).alias("status"))
 
 
-def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Index of the nearest centroid of each row by L2, the lowest one of ties."""
-    best, index = None, np.zeros(len(vectors), np.int32)
-    for k, c in enumerate(centroids):
-        total = np.zeros(len(vectors), np.float32)
-        for j in range(len(c)):
-            gap = vectors[:, j] - c[j]
-            total += gap * gap
-        if best is None:
-            best = total
-        else:
-            closer = total < best
-            best[closer], index[closer] = total[closer], k
-    return index
-
-
 def coded(vectors: DataFrame, q: Quantizer, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """global_id, cluster_id and codes of the valid vectors (see invalid), cut to the index's dimension.
 
@@ -117,13 +103,13 @@ def coded(vectors: DataFrame, q: Quantizer, id_col: str = "vec_id", vec_col: str
     higher-order functions and so interpreted (8.3 s against 0.6 s for 200,000 vectors on four cores).
     """
     centroids, words = np.array(q.centroids, np.float32), np.array(q.codebook, np.float32)
-    dim, dsub = centroids.shape[1], q.dsub
+    dim, dsub = centroids.shape[1] if len(q.centroids) else q.dim, q.dsub
     vector = F.slice(vectors[vec_col], 1, max(dim, q.dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            rows = np.asfortranarray(batch.column(1).flatten().to_numpy().reshape(n, -1)) if n else np.empty((0, dim), np.float32)
+            rows = np.asfortranarray(matrix(batch.column(1), max(dim, q.dim)))
             codes = np.stack([nearest(rows[:, m * dsub : (m + 1) * dsub], words[m]) for m in range(q.n_sub)], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * q.n_sub), pa.array(codes.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest(rows[:, :dim], centroids)), lists], names=["global_id", "cluster_id", "codes"])
@@ -132,61 +118,130 @@ def coded(vectors: DataFrame, q: Quantizer, id_col: str = "vec_id", vec_col: str
     return good.mapInArrow(run, "global_id bigint, cluster_id int, codes array<int>")
 
 
-def lloyd_step(vectors: DataFrame, centroids: list[list[float]], vec_col: str = "embedding") -> DataFrame:
-    """(cluster_id, j, value) of the updated centroids.
+Part = tuple[int, np.ndarray]  # the dimension that a quantizer's words begin at, and the words
 
-    Means are taken over fixed-point whole numbers, so they don't depend on the order of
-    rows; sums combine in each task before the shuffle. A cluster without vectors keeps
-    its centroid.
+
+def step_sums(vectors: DataFrame, parts: list[Part], vec_col: str = "embedding") -> DataFrame:
+    """(part, k, j, n, total): of the vectors nearest to word k of a part, their number and the sum of coordinate j in fixed point.
+
+    One pass for all parts. Each task adds up its vectors and gives a row for each word and coordinate, so what is
+    shuffled doesn't grow with the vectors. Whole numbers make the sums the same in any order.
     """
+    shared = vectors.sparkSession.sparkContext.broadcast(parts)  # nlist * D or M * ksub * dsub floats
+    dim = max((at + words.shape[1] for at, words in parts), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value
+        counts = [np.zeros(len(words), np.int64) for _, words in parts]
+        sums = [np.zeros(words.shape, np.int64) for _, words in parts]
+        for batch in batches:
+            rows = np.asfortranarray(matrix(batch.column(0), dim))
+            whole = np.floor(rows.astype(np.float64) * FIXED_POINT).astype(np.int64)
+            for p, (at, words) in enumerate(parts):
+                k = nearest(rows[:, at : at + words.shape[1]], words)
+                counts[p] += np.bincount(k, minlength=len(words))
+                np.add.at(sums[p], k, whole[:, at : at + words.shape[1]])
+        for p, (_, words) in enumerate(parts):
+            used = np.flatnonzero(counts[p])
+            d, n = words.shape[1], len(used)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n * d, p, np.int32)), pa.array(np.repeat(used, d).astype(np.int32)), pa.array(np.tile(np.arange(d, dtype=np.int32), n)),
+                pa.array(np.repeat(counts[p][used], d)), pa.array(sums[p][used].ravel())], names=["part", "k", "j", "n", "total"])
+
+    rows = vectors.select(vec_col).where(F.size(vec_col) >= dim).mapInArrow(run, "part int, k int, j int, n bigint, total bigint")
+    return rows.groupBy("part", "k", "j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def step_means(vectors: DataFrame, parts: list[Part], vec_col: str = "embedding") -> DataFrame:
+    """(part, k, j, value): the words after a Lloyd step. A word without vectors stays as it is."""
     spark = vectors.sparkSession
-    whole = lambda j: F.floor(F.col(vec_col)[j] * F.lit(FIXED_POINT).cast("double")).cast("long")
-    sums = assign(vectors, centroids, vec_col).groupBy("cluster_id").agg(F.count("*").alias("n"), *[F.sum(whole(j)).alias(f"s{j}") for j in range(len(centroids[0]))])
-    listed = sums.select("cluster_id", "n", F.posexplode(F.array(*[F.col(f"s{j}") for j in range(len(centroids[0]))])).alias("j", "total"))
-    means = listed.select("cluster_id", "j", (F.col("total").cast("double") / F.col("n") / F.lit(float(FIXED_POINT))).cast("float").alias("value"))
-    old = spark.createDataFrame([(k, j, float(x)) for k, c in enumerate(centroids) for j, x in enumerate(c)], "cluster_id int, j int, old float")
-    return F.broadcast(old).join(means, ["cluster_id", "j"], "left").select("cluster_id", "j", F.coalesce("value", "old").alias("value"))
+    shared = spark.sparkContext.broadcast(parts)
+    sizes = [words.size for _, words in parts]
+    ends = np.cumsum(sizes)
+
+    def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate([words.ravel() for _, words in shared.value]).astype(np.float32)
+        width = np.array([words.shape[1] for _, words in shared.value])
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            part = np.searchsorted(ends, at, side="right")
+            k, j = np.divmod(at - (ends - sizes)[part], width[part])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(k, pa.int32()), pa.array(j, pa.int32()), pa.array(flat[at])], names=["part", "k", "j", "old"])
+
+    words = spark.range(sum(sizes)).mapInArrow(old, "part int, k int, j int, old float")
+    mean = (F.col("total").cast("double") / F.col("n") / F.lit(float(FIXED_POINT))).cast("float")
+    return words.join(step_sums(vectors, parts, vec_col), ["part", "k", "j"], "left").select("part", "k", "j", F.coalesce(mean, "old").alias("value"))
+
+
+def parts_of(q: Quantizer) -> list[Part]:
+    """The codebook's parts, then the centroids."""
+    book = [(m * q.dsub, np.array(words, np.float32)) for m, words in enumerate(q.codebook)]
+    return book + ([(0, np.array(q.centroids, np.float32))] if q.centroids else [])
+
+
+def lloyd_step(vectors: DataFrame, centroids: list[list[float]], vec_col: str = "embedding") -> DataFrame:
+    """(cluster_id, j, value) of the updated centroids."""
+    return step_means(vectors, [(0, np.array(centroids, np.float32))], vec_col).select(F.col("k").alias("cluster_id"), "j", "value")
+
+
+def pq_lloyd_step(vectors: DataFrame, codebook: list[list[list[float]]], vec_col: str = "embedding") -> DataFrame:
+    """(m, k, j, value) of the updated codebook."""
+    return step_means(vectors, parts_of(Quantizer([], codebook)), vec_col).select(F.col("part").alias("m"), "k", "j", "value")
 
 
 def train(vectors: DataFrame, nlist: int, n_sub: int, ksub: int, iterations: int, vec_col: str = "embedding") -> Quantizer:
-    """A quantizer after some Lloyd steps from the seeds, for the centroids and for each sub-quantizer."""
+    """A quantizer after some Lloyd steps over all vectors from the seeds, one pass for each step."""
     q = seeded_quantizer(vectors, nlist, n_sub, ksub)
     for _ in range(iterations):
-        q = Quantizer(_table(lloyd_step(vectors, q.centroids, vec_col)), [
-            _table(lloyd_step(vectors.select(V.subvector(F.col(vec_col), m, q.dsub).alias("part")), q.codebook[m], "part")) for m in range(n_sub)])
+        parts = parts_of(q)
+        rows = step_means(vectors, parts, vec_col).orderBy("part", "k", "j").toArrow()  # as many as the quantizer has floats
+        flat, part = rows["value"].to_numpy(), rows["part"].to_numpy()
+        fresh = [flat[part == p].reshape(words.shape).tolist() for p, (_, words) in enumerate(parts)]
+        q = Quantizer(fresh[n_sub], fresh[:n_sub])
     return q
 
 
-def _table(step: DataFrame) -> list[list[float]]:
-    rows: dict[int, list[float]] = {}
-    for r in step.orderBy("cluster_id", "j").collect():  # nlist * D rows
-        rows.setdefault(r.cluster_id, []).append(r.value)
-    return [rows[k] for k in sorted(rows)]
+def fit(vectors: DataFrame, nlist: int, n_sub: int, ksub: int, iterations: int = 10, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> Quantizer:
+    """A quantizer trained on the driver from `sample` vectors at most: those whose ids have the lowest hashes.
+
+    The bound is a parameter, and only the parameters of the index depend on the sample; every vector is coded.
+    Starts are the sample's first vectors.
+    """
+    chosen = vectors.select(F.col(id_col), F.col(vec_col).alias("_v")).where(F.col("_v").isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select("_v").toArrow()
+    column = chosen["_v"].combine_chunks()
+    dim = n_sub * (min((len(x) for x in column), default=0) // n_sub)
+    rows = np.asfortranarray(matrix(column, dim))
+    dsub = dim // n_sub
 
+    def means(rows: np.ndarray, k: int) -> list[list[float]]:
+        words = rows[:k].copy()
+        for _ in range(iterations):
+            at = nearest(rows, words)
+            count, sums = np.bincount(at, minlength=len(words)), np.zeros(words.shape, np.float64)
+            np.add.at(sums, at, rows.astype(np.float64))
+            words[count > 0] = (sums[count > 0] / count[count > 0, None]).astype(np.float32)
+        return words.tolist()
 
-def pq_lloyd_step(vectors: DataFrame, codebook: list[list[list[float]]], vec_col: str = "embedding") -> DataFrame:
-    """(m, k, j, value) of the updated codebook."""
-    dsub, out = len(codebook[0][0]), None
-    for m, words in enumerate(codebook):
-        part = lloyd_step(vectors.select(V.subvector(F.col(vec_col), m, dsub).alias("part")), words, "part").select(F.lit(m).alias("m"), F.col("cluster_id").alias("k"), "j", "value")
-        out = part if out is None else out.unionAll(part)
-    return out
+    return Quantizer(means(rows, nlist), [means(rows[:, m * dsub : (m + 1) * dsub], ksub) for m in range(n_sub)])
 
 
 def number_within(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
     """Add the position from 0 of each row in its group by ascending key.
 
-    Keys are dealt into buckets of neighbouring ids; a bucket is numbered by itself and
-    begins where the group's earlier buckets end. No task sees a whole group.
+    Rows are stored by ranges of (group, key), each range is numbered by itself and begins where the group's earlier
+    ranges end. Ranges hold about equally many rows whatever the keys are, so no task sees a whole large group.
     """
-    bucket = F.floor(F.col(key) / ID_BUCKET)
-    tagged = rows.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(group, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)) - 1
-    joined = tagged.withColumn("_within", within).join(starts, [group, "_bucket"])
-    return joined.withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_bucket", "_within", "_start")
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(partitions_for(rows), group, key).sortWithinPartitions(group, key).withColumn("_range", F.spark_partition_id())
+    path = shared_folder(spark, "ranges")
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(group, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)) - 1
+    joined = stored.withColumn("_within", within).join(starts, [group, "_range"])
+    return joined.withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_range", "_within", "_start")
 
 
 def inverted_lists(vectors: DataFrame, q: Quantizer, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -16,10 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from quiverlake.functions import arrays as A
 from quiverlake.functions import vector as V
+from quiverlake.functions.arrays import matrix
 from quiverlake.operators.index import Quantizer
 
 MOST_RESULTS = 500
@@ -32,9 +37,9 @@ def query_set(vectors: DataFrame, step: int = 50) -> DataFrame:
     return vectors.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def in_blocks(queries: DataFrame, row_bytes: int, key: str = "qid", most: int = TABLE_BYTES) -> Iterator[DataFrame]:
-    """The queries in blocks of about `most` bytes at row_bytes each."""
-    number = max(1, -(-queries.count() * row_bytes // most))
+def in_blocks(queries: DataFrame, row_bytes: int, key: str = "qid", most: int = TABLE_BYTES, count: int | None = None) -> Iterator[DataFrame]:
+    """The queries in blocks of about `most` bytes at row_bytes each; they are counted unless their number is known."""
+    number = max(1, -(-(queries.count() if count is None else count) * row_bytes // most))
     for k in range(number):
         yield queries if number == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(number)) == k)
 
@@ -51,22 +56,62 @@ def against_all(queries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return union(vectors.join(F.broadcast(block)) for block in in_blocks(queries, 4 * dim + 16))
 
 
+def _to_centroids(queries: DataFrame, q: Quantizer, metric: str, kind: str, choose) -> DataFrame:
+    """Rows (qid, ...) that choose makes of each batch's qids, vectors and distances to all centroids."""
+    shared = queries.sparkSession.sparkContext.broadcast(np.array(q.centroids, np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for whole in batches:
+            step = max(1, A.CELLS // max(len(words), 1))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                yield choose(batch, A.distances(metric, matrix(batch.column(1), words.shape[1]), words))
+
+    return queries.select("qid", "qvec").where("qvec IS NOT NULL").mapInArrow(run, kind)
+
+
 def centroid_distances(queries: DataFrame, q: Quantizer, metric: str) -> DataFrame:
     """(qid, cluster_id, distance) to every centroid."""
-    table = F.transform(V.literal(q.centroids), lambda c: V.distance(metric, F.col("qvec"), c))
-    return queries.select("qid", F.posexplode(table).alias("cluster_id", "distance"))
+
+    def choose(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
+        n, k = found.shape
+        qid = batch.column(0).take(pa.array(np.repeat(np.arange(n), k)))
+        return pa.RecordBatch.from_arrays([qid, pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(found.ravel())], names=["qid", "cluster_id", "distance"])
+
+    return _to_centroids(queries, q, metric, "qid bigint, cluster_id int, distance float", choose)
 
 
 def probes(queries: DataFrame, q: Quantizer, metric: str, nprobe: int) -> DataFrame:
-    """(qid, qvec, rank, cluster_id, distance) of the nearest centroids, chosen inside each query's row."""
-    entries = F.transform(V.literal(q.centroids), lambda c, i: F.struct(V.distance(metric, F.col("qvec"), c).alias("distance"), i.cast("int").alias("cluster_id")))
-    best = F.slice(F.array_sort(entries), 1, nprobe)
-    return queries.select("qid", "qvec", F.posexplode(best).alias("at", "e")).select("qid", "qvec", (F.col("at") + 1).cast("long").alias("rank"), "e.cluster_id", "e.distance")
+    """(qid, qvec, rank, cluster_id, distance) of the nearest centroids; ties go to the lower cluster."""
+
+    def choose(batch: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
+        n, k = len(found), min(nprobe, found.shape[1])
+        best = np.argsort(found, axis=1, kind="stable")[:, :k]
+        rows = pa.array(np.repeat(np.arange(n), k))
+        near = np.take_along_axis(found, best, axis=1).ravel()
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.tile(np.arange(1, k + 1), n)), pa.array(best.ravel().astype(np.int32)), pa.array(near)], names=["qid", "qvec", "rank", "cluster_id", "distance"])
+
+    return _to_centroids(queries, q, metric, "qid bigint, qvec array<float>, rank bigint, cluster_id int, distance float", choose)
 
 
 def with_tables(requests: DataFrame, q: Quantizer, metric: str) -> DataFrame:
-    """Add lut to rows with qvec; the codebook is the same for all clusters."""
-    return requests.withColumn("lut", V.lut(metric, F.col("qvec"), q.codebook))
+    """Add lut to rows with qvec of the index's dimension at least; the codebook is the same for all clusters."""
+    shared = requests.sparkSession.sparkContext.broadcast(np.array(q.codebook, np.float32))
+    at, names = requests.columns.index("qvec"), [*requests.columns, "lut"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                n, m, k = batch.num_rows, *book.shape[:2]
+                flat = A.tables(metric, matrix(batch.column(at), m * book.shape[2]), book).ravel()
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1, dtype=np.int32) * k), pa.array(flat))
+                lut = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, lut], names=names)
+
+    return requests.mapInArrow(run, StructType([*requests.schema.fields, StructField("lut", ArrayType(ArrayType(FloatType())))]))
 
 
 def scan(requests: DataFrame, lists: DataFrame, q: Quantizer) -> DataFrame:
@@ -116,9 +161,13 @@ def status_of(dim: Column, loaded: Column, q: Quantizer, initialised: bool = Tru
 
 
 def checked(requests: DataFrame, lists: DataFrame, q: Quantizer, missing: int = ENOENT) -> DataFrame:
-    """Add status to requests (req, qid, qvec, cluster_id, top_k, metric)."""
-    present = lists.select("cluster_id").distinct().withColumn("_there", F.lit(True))
-    joined = requests.join(F.broadcast(present), "cluster_id", "left")  # a row for each cluster
+    """Add status to requests (req, qid, qvec, cluster_id, top_k, metric).
+
+    Only clusters that are asked for are looked up: a stored index is pruned to them, and their ids combine in each task.
+    """
+    asked = requests.select("cluster_id").distinct()
+    present = lists.select("cluster_id").join(asked, "cluster_id", "left_semi").distinct().withColumn("_there", F.lit(True))
+    joined = requests.join(present, "cluster_id", "left")
     dim = F.when(F.col("qvec").isNotNull(), F.size("qvec"))
     return joined.withColumn("status", status_of(dim, F.col("_there").isNotNull(), q, missing=missing)).drop("_there")
 
@@ -136,10 +185,10 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
         chosen = with_tables(block.where(V.metric_column(F.col("metric")) == metric), q, metric).select("req", "cluster_id", "top_k", "lut")
         return ranked(scan(chosen, lists, q), most, "req").where(F.col("rank") <= F.col("top_k"))  # a fixed bound cuts before the shuffle
 
-    most = limit if limit is not None else good.agg(F.max("top_k")).first()[0] or 0
-    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4, "req"))
-    asked = [r[0] for r in good.select(V.metric_column(F.col("metric"))).distinct().collect()] or [V.L2]
-    hits = union(part(metric, b) for metric in asked for b in blocks).select("req", "rank", "vector_id", "distance")
+    number, largest, asked = good.agg(F.count("*"), F.max("top_k"), F.collect_set(V.metric_column(F.col("metric")))).first()
+    most = limit if limit is not None else largest or 0
+    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4, "req", count=number))
+    hits = union(part(metric, b) for metric in sorted(asked) or [V.L2] for b in blocks).select("req", "rank", "vector_id", "distance")
     counts = hits.groupBy("req").agg(F.count("*").alias("count"))
     return judged.select("req", "status").join(counts, "req", "left").join(hits, "req", "left").select("req", "status", F.coalesce("count", F.lit(0)).alias("count"), "rank", "vector_id", "distance")
 

@@ -108,23 +108,22 @@ def lloyd(source: str, columns: str) -> str:
     return f"SELECT {columns}, j, (sum(floor(x::DOUBLE * 1048576)::BIGINT)::DOUBLE / count(*) / 1048576)::FLOAT AS value FROM {source} GROUP BY {columns}, j"
 
 
-LOG = """log AS (SELECT event_id, ts, (user_id % 97)::INT AS cluster_id, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS op,
+LOG = """log AS MATERIALIZED (SELECT event_id, ts, (user_id % 97)::INT AS cluster_id, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS op,
   (user_id % 97 % 4)::INT AS shard, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),"""
 # Resident clusters before each access are the 16 with the latest earlier accesses.
-REPLAY = LOG + """grid AS (SELECT l.event_id, l.shard, l.seq, l.cluster_id, l.op, k.cluster_id AS key FROM log l JOIN (SELECT DISTINCT shard, cluster_id FROM log) k ON l.shard = k.shard),
-earlier AS (SELECT g.*, p.seq AS last FROM grid g ASOF JOIN log p ON g.shard = p.shard AND g.key = p.cluster_id AND g.seq > p.seq),
-placed AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY last DESC) AS place FROM earlier),
-own AS (SELECT seq, place FROM placed WHERE key = cluster_id AND place <= 16),
-lowest AS (SELECT seq, key FROM placed WHERE place = 16),
-replayed AS (SELECT l.*, own.place IS NOT NULL AS hit, CASE WHEN own.place IS NULL THEN lowest.key END AS evicted,
-  CASE WHEN own.place = 1 THEN 0 WHEN own.place IS NOT NULL THEN 1 ELSE 2 END::INT AS priority FROM log l LEFT JOIN own ON l.seq = own.seq LEFT JOIN lowest ON l.seq = lowest.seq),"""
+# Each access meets every cluster of its shard, so windows over (shard, cluster) tell when each was accessed before.
+REPLAY = LOG + """named AS MATERIALIZED (SELECT DISTINCT shard, cluster_id AS key FROM log),
+earlier AS MATERIALIZED (SELECT l.event_id, l.shard, l.seq, l.cluster_id, l.op, k.key,
+    max(CASE WHEN l.cluster_id = k.key THEN l.seq END) OVER (PARTITION BY k.shard, k.key ORDER BY l.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+  FROM log l JOIN named k ON l.shard = k.shard),
+placed AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY last DESC) AS place FROM earlier WHERE last IS NOT NULL),
+states AS MATERIALIZED (SELECT seq, max(place) FILTER (key = cluster_id AND place <= 16) AS own, max(key) FILTER (place = 16) AS lowest FROM placed GROUP BY seq),
+replayed AS (SELECT l.*, own IS NOT NULL AS hit, CASE WHEN own IS NULL THEN lowest END AS evicted,
+  CASE WHEN own = 1 THEN 0 WHEN own IS NOT NULL THEN 1 ELSE 2 END::INT AS priority FROM log l LEFT JOIN states ON l.seq = states.seq),"""
 RESIDENT = LOG + """last AS (SELECT shard, cluster_id, max(seq) AS last, arg_max(op, seq) = 'write' AS reload FROM log GROUP BY shard, cluster_id),
 resident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY last DESC) AS recency FROM last) WHERE recency <= 16),"""
 
 EXACT = f"exact AS (SELECT qid, rank, vec_id AS global_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM (SELECT qid, vec_id, {l2('qvec', 'embedding')} AS distance FROM queries, embeddings)) WHERE rank <= 10),"
-REFINED = scanned("l2", 4) + f"""near AS ({gathered(200)}),
-refined AS (SELECT qid, rank, global_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, global_id) AS rank
-  FROM (SELECT near.qid, near.global_id, {l2("qvec", "embedding")} AS distance FROM near JOIN queries ON near.qid = queries.qid JOIN embeddings ON vec_id = near.global_id)) WHERE rank <= 10),"""
 
 
 def _field(k: int) -> str:
@@ -172,12 +171,13 @@ ORACLES |= {
     "cluster_extents": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors, true AS on_disk FROM assigned GROUP BY cluster_id"),
     "golden_compare": _with(INDEX + luts("l2") + "decoded AS (SELECT vec_id, flatten(list(c ORDER BY w.m)) AS v FROM (SELECT vec_id, m::INT AS m, codes[m + 1] AS k FROM coded, range(8) t(m)) s JOIN words w ON s.m = w.m AND s.k = w.k GROUP BY vec_id),"
         + f"gaps AS (SELECT q.qid, d.vec_id AS global_id, abs({ADC} - {l2('qvec', 'v')}) AS gap FROM queries q JOIN tables USING (qid), decoded d JOIN coded USING (vec_id)),",
-        "SELECT qid, max(gap) AS max_gap, arg_min(global_id, (-gap, global_id)) AS worst_id, max(gap) > 1e-4 AS differs FROM gaps GROUP BY qid"),
+        "SELECT qid, max(gap) AS max_gap, arg_min(global_id, (-gap, global_id)) AS worst_id, max(gap) > 1e-6 AS differs FROM gaps GROUP BY qid"),
     "metric_divergence": _with(INDEX + scanned("l2", 4).replace("probes AS", "probes_l2 AS").replace("FROM probes p", "FROM probes_l2 p").replace("lut AS", "lut_l2 AS").replace("FROM lut ", "FROM lut_l2 ").replace("tables AS", "tables_l2 AS").replace("JOIN tables", "JOIN tables_l2").replace("scanned AS", "scanned_l2 AS") + scanned("ip", 4)
         + f"a AS ({gathered(10, 'scanned_l2')}), b AS ({gathered()}),", "SELECT a.qid, bool_or(a.global_id <> b.global_id) AS differs FROM a JOIN b ON a.qid = b.qid AND a.rank = b.rank GROUP BY a.qid"),
     "exact_knn": _with(BASE + EXACT, "SELECT qid, rank, global_id, distance FROM exact"),
-    "refined_search": _with(INDEX + REFINED, "SELECT qid, rank, global_id, distance FROM refined"),
-    "refined_recall": _with(INDEX + REFINED + EXACT, "SELECT e.qid, count(r.global_id)::DOUBLE / count(*) AS recall FROM exact e LEFT JOIN refined r ON e.qid = r.qid AND e.global_id = r.global_id GROUP BY e.qid"),
+    # Brute force: the index search has to find every neighbour here. What it finds on larger tables is tested apart.
+    "refined_search": _with(BASE + EXACT, "SELECT qid, rank, global_id, distance FROM exact"),
+    "ivfpq_recall": _with(INDEX + scanned("l2") + f"found AS ({gathered()})," + EXACT, "SELECT e.qid, count(f.global_id)::DOUBLE / count(*) AS recall FROM exact e LEFT JOIN found f ON e.qid = f.qid AND e.global_id = f.global_id GROUP BY e.qid"),
     "lru_hit_miss": _with(REPLAY, "SELECT event_id, shard, cluster_id, op, hit FROM replayed"),
     "lru_evictions": _with(REPLAY, "SELECT event_id, shard, cluster_id, evicted FROM replayed WHERE evicted IS NOT NULL"),
     "opwq_priority": _with(REPLAY, "SELECT event_id, shard, priority FROM replayed"),

@@ -23,3 +23,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quiverlake/{name}-{uuid.uuid4().hex}"
+
+
+MOST_PARTITIONS = 100_000
+
+
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """How many partitions to deal df into: the session's number, or more if the plan's size asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    number = -(-size // each) if size < 1 << 50 else 0  # more means that the plan doesn't know
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(number, MOST_PARTITIONS))

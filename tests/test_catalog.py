@@ -27,7 +27,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     got = Counter(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
@@ -37,9 +37,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == Counter(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
 
 
-def test_recall_of_the_refined_search(spark):
-    rows = catalog.refined_recall(spark, SF).collect()
-    assert rows and sum(r.recall for r in rows) / len(rows) >= 0.9
+def test_only_the_fitted_recall_has_no_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"refined_recall"}
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_recall_of_the_refined_search(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    rows = catalog.refined_recall(spark, sf).collect()
+    assert rows and sum(r.recall for r in rows) / len(rows) >= 0.9 and min(r.recall for r in rows) >= 0.8
 
 
 def test_entry(spark):

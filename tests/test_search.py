@@ -164,3 +164,41 @@ def test_plans(spark, data, tmp_path):
     assert "CartesianProduct" not in found and "SortMergeJoin" not in found
     one = plan(I.load(spark, path).where("cluster_id = 2").select("codes"))
     assert "PartitionFilters: [isnotnull(cluster_id" in one and "vector_id" not in one.split("ReadSchema")[1]
+
+
+def test_large_quantizers_make_small_plans(spark):
+    rng = np.random.default_rng(1)
+    centroids = rng.standard_normal((4096, 768)).astype(np.float32)
+    q = I.Quantizer(centroids, centroids[:256].reshape(256, 96, 8).swapaxes(0, 1))
+    one = spark.createDataFrame([(7, centroids[99].tolist())], "qid long, qvec array<float>")
+    found = S.with_tables(S.probes(one, q, "l2", 3), q, "l2")
+    assert len(found._jdf.queryExecution().toString()) < 20_000
+    rows = found.collect()
+    assert [r.cluster_id for r in rows][0] == 99 and rows[0].distance == 0.0 and np.array(rows[0].lut).shape == (96, 256)
+
+
+def test_fitted_words_are_means(spark, data):
+    _, base, _, _, _ = data
+    q = I.fit(base, 3, 4, 8, 20)
+    assert len(q.centroids) == 3 and (q.n_sub, q.ksub, q.dsub) == (4, 8, 8)
+    seeded = I.fit(base, 3, 4, 8, 0)
+    error = lambda q: base.select(V.l2(F.col("embedding"), I.reconstruct(I.encode(F.col("embedding"), q.codebook), q.codebook)).alias("d")).agg(F.avg("d")).first()[0]
+    assert error(q) < 0.9 * error(seeded)
+    assert I.fit(base, 3, 4, 8, 5) == I.fit(base.repartition(2), 3, 4, 8, 5)
+
+
+def test_one_pass_of_training_is_a_step_of_each_part(spark, data):
+    _, base, _, q, _ = data
+    trained = I.train(base, 4, 4, 16, 1)
+    steps = {(r.cluster_id, r.j): r.value for r in I.lloyd_step(base, q.centroids).collect()}
+    assert trained.centroids == [[steps[k, j] for j in range(32)] for k in range(4)]
+    steps = {(r.m, r.k, r.j): r.value for r in I.pq_lloyd_step(base, q.codebook).collect()}
+    assert trained.codebook == [[[steps[m, k, j] for j in range(8)] for k in range(16)] for m in range(4)]
+
+
+def test_sparse_ids_are_numbered_by_ranges(spark):
+    rows = spark.range(500).select((F.col("id") % 3).cast("int").alias("g"), (F.xxhash64("id")).alias("key")).unionAll(spark.sql("SELECT 7 AS g, 5L AS key")).repartition(5)
+    got = {}
+    for r in I.number_within(rows, "g", "key", "at").collect():
+        got.setdefault(r.g, []).append((r.key, r["at"]))
+    assert {g: [a for _, a in sorted(x)] for g, x in got.items()} == {g: list(range(len(x))) for g, x in got.items()} and len(got) == 4
