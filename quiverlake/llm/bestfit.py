@@ -10,8 +10,8 @@ of one length with ranks a to b go to sequences from s on, m to a sequence, from
 offset on. Tasks then look up their own pieces by length and rank. This equals placing
 the pieces one by one in descending order of length.
 
-Ranks within a length are dealt by salt, so that a length that a third of the pieces
-share is still numbered by many tasks.
+Ranks within a length are dealt by salt, as many salts as the length's pieces ask for, so
+that a length that most pieces share is numbered by many tasks at any size.
 
 Defined results: a null text is the empty text, which is one end id; a document longer
 than the capacity is cut into full pieces and a last one; pieces of the capacity get a
@@ -34,7 +34,7 @@ from .encode import encoder
 from .shared import batch_of, blocks, materialise, run_folder
 from .token_files import with_end
 
-SALTS = 64
+RANKED = 200_000  # pieces that one task numbers, about
 
 
 class TightestFit:
@@ -129,15 +129,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, rule: str, end_id: int, capacity
 def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
     """Add sequence_id and offset to pieces with a column length from 1 to capacity.
 
-    pieces is evaluated three times, so it should be read from a table.
+    pieces is evaluated three times (for the counts of lengths, of salts and for the places), so it should be read from a table.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_number")).collect()  # capacity * SALTS rows at most
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    number = np.ones(capacity + 1, np.int64)
+    for length, n in counts.items():
+        number[length] = -(-n // RANKED)
+    many = F.create_map(*[F.lit(int(x)) for length in np.flatnonzero(number > 1) for x in (length, number[length])]) if (number > 1).any() else None
+    salts = F.lit(1) if many is None else F.coalesce(many[F.col("length").cast("int")], F.lit(1))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), salts).cast("int"))
+    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_number")).collect()  # a row for each RANKED pieces and for each length
     totals: dict[int, int] = {}
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, number in sorted(groups):
-        before[length, salt] = totals.get(length, 0)
-        totals[length] = totals.get(length, 0) + number
+    base = np.concatenate([[0], np.cumsum(number)])
+    before = np.zeros(base[-1], np.int64)  # of salt s of length n at base[n] + s
+    for length, salt, n in sorted(groups):
+        before[base[length] + salt] = totals.get(length, 0)
+        totals[length] = totals.get(length, 0) + n
     placed, _ = best_fit_decreasing(totals, capacity)
     table = np.array(placed, np.int64).reshape(-1, 5)
     width = np.int64(1) << 44  # more than any rank
@@ -145,17 +152,17 @@ def pack(pieces: DataFrame, capacity: int, keys: tuple[str, ...] = ("doc_id", "p
     order = np.argsort(low)
     low, table = low[order], table[order]
     spark = pieces.sparkSession
-    shared = spark.sparkContext.broadcast((before, low, table))  # bounded by the capacity, not by the corpus
+    shared = spark.sparkContext.broadcast((base, before, low, table))  # capacity numbers, and one for each RANKED pieces
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1
     ranked = salted.withColumn("_rank", rank.cast("long"))
     columns = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, low, table = shared.value
+        base, before, low, table = shared.value
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
             length, salt, rank = get("length"), get("_salt"), get("_rank")
-            rank = rank + before[length, salt]
+            rank = rank + before[base[length] + salt]
             rows = table[np.searchsorted(low, length * width + rank, side="right") - 1]
             more, within = np.divmod(rank - rows[:, 1], rows[:, 3])
             yield pa.RecordBatch.from_arrays(
