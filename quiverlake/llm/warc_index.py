@@ -39,6 +39,7 @@ from .shared import materialise, run_folder
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, payload_digest string, record_type string, refers_to bigint"
 INDEX_ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 MOST_GAP, MOST_RANGE = 64 << 10, 8 << 20
+BROADCAST_HOLDERS = 300_000  # of about 60 bytes; beyond, payloads are joined by digest
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -83,10 +84,12 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, id_col: str =
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    # Only ids and digests meet by digest here; copies are counted within each task first.
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("holder"))
+    # Only digests that occur twice need a lookup. Ids and digests meet by digest; copies are counted within each task first.
+    first = rows.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
     kept = materialise(first, run_folder(spark, "warc_holders"))
-    joined = rows.join(kept, "digest").select("page_id", "url", "payload", "digest", "holder")
+    kept = F.broadcast(kept) if kept.limit(BROADCAST_HOLDERS + 1).count() <= BROADCAST_HOLDERS else kept
+    holder = F.when(F.col("_held"), F.col("holder")).otherwise(F.col("page_id")).alias("holder")
+    joined = rows.join(kept.withColumn("_held", F.lit(True)), "digest", "left").select("page_id", "url", "payload", "digest", holder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pa.fs.FileSystem.from_uri(path)

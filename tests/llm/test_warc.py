@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quiverlake.llm import warc_index as wi
 from quiverlake.llm.shared import run_folder
@@ -17,7 +18,9 @@ def pages(spark):
     return spark.createDataFrame([(*r, "d", 1, "p", 2) for r in rows], PAGES)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(wi, "BROADCAST_HOLDERS", few)
     table, path = pages(spark), run_folder(spark, "w")
     index = wi.write_archives(table, path)
     got = wi.read_records(index, path).collect()
