@@ -87,9 +87,11 @@ def test_token_files_of_nothing(spark):
     assert token_files.token_digests(token_files.read_token_files(spark, path)).count() == 0
 
 
-def test_cache_encodes_each_content_once(spark):
+@pytest.mark.parametrize("few", [0, 2, 200_000])
+def test_cache_encodes_each_content_once(spark, monkeypatch, few):
     import sentencepiece
 
+    monkeypatch.setattr(token_cache, "BROADCAST_ROWS", few)
     docs, cache = documents(spark), run_folder(spark, "c")
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     want = Counter((r.doc_id, len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in docs.collect())
@@ -101,6 +103,16 @@ def test_cache_encodes_each_content_once(spark):
     assert spark.read.parquet(cache).select("tokenizer_digest").distinct().count() == 2
 
 
+def test_counts_of_long_texts(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = ["some words that go on, and on " * 100_000, "x" * 100_000, "\n" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_cache.count_tokens(docs, PIECE, run_folder(spark, "c")).collect()}
+    assert got == {k: len(model.encode(t)) for k, t in enumerate(texts)}
+
+
 def plain_best_fit(lengths, capacity):
     room = []
     for n in sorted(lengths, reverse=True):
@@ -132,7 +144,9 @@ def test_histogram_packing_is_best_fit_decreasing(seed):
     assert sorted(capacity - sum(n for _, n in x) for x in used) == plain_best_fit(lengths, capacity)
 
 
-def test_packing_documents(spark):
+@pytest.mark.parametrize("ranked", [7, 200_000])
+def test_packing_documents(spark, monkeypatch, ranked):
+    monkeypatch.setattr(bestfit, "RANKED", ranked)
     more = [(i, "word " * (i % 37), None, None, None, None, None, None, None, None, None) for i in range(100, 300)]
     docs = documents(spark, more)
     got = bestfit.pack_documents(docs, WORD, "white", 0, 64).collect()
