@@ -9,10 +9,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quiverlake.llm import decontaminate as dc
 from quiverlake.llm.shared import materialise, run_folder
 
 from .common import rows
+from .test_decontaminate import best
 from .test_ngram_join import plain as plain_groups
 from .test_rules import plain as plain_counts
 from .test_secrets import plain as plain_spans
@@ -30,16 +30,40 @@ def corpus():
     texts += [prose(40) + ". " + ITEM.upper() + "! " + prose(10), prose(30) + " " + ITEM.replace("small", "smal")]
     texts += [prose(30) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + prose(5), prose(3), "spam " * 50, prose(900)]
     out = [(1000 + i, t, "en", "ok", len(t)) for i, t in enumerate(texts)]
+    out += [(2000 + i, "spam " * 50 if i % 10 else prose(60), "en", "farm", 1) for i in range(60)]
+    out += [(3000 + i, prose(60) if i % 10 else "spam " * 50, "en", "fine", 1) for i in range(60)]
     return [*out, *(r[:5] for r in rows() if r[0] is not None)]
 
 
+def kept_by_hosts(docs):
+    """Documents that pass the base rules and whose host's shrunk rate of failures is half at most."""
+    failed = [(c := plain_counts(r[1] or ""))[0] < 20 or 100 * c[4] > 30 * c[0] for r in docs]
+    hosts = {}
+    for r, f in zip(docs, failed, strict=True):
+        n, m = hosts.get(r[3], (0, 0))
+        hosts[r[3]] = n + 1, m + f
+    rates = {h: m * 10**6 // n for h, (n, m) in hosts.items()}
+    mean = sum(rates.values()) / len(hosts) / 1e6
+    between = sum(x * x for x in rates.values()) / len(hosts) / 1e12 - mean**2 - sum(rates[h] * (10**6 - rates[h]) // n for h, (n, _) in hosts.items()) / len(hosts) / 1e12
+    strength = min(max(mean * (1 - mean) / between - 1, 1), 1000) if between > 0 else 1000
+    bad = {h for h, (n, m) in hosts.items() if (m + mean * strength) / (n + strength) > 0.5}
+    assert "farm" in bad and not {"ok", "fine"} & bad
+    return [r for r, f in zip(docs, failed, strict=True) if not f and r[3] not in bad]
+
+
+def fold(text):
+    """Lower-case letters and digits; any other run is one space."""
+    return re.sub(r"[\W_]+", " ", text.lower()).strip(" ")
+
+
 def expected(docs):
-    docs = [r for r in docs if not ((c := plain_counts(r[1] or ""))[0] < 20 or 100 * c[4] > 30 * c[0])]
+    docs = kept_by_hosts(docs)
     low = {(d, c) for d, _, c in plain_groups([r[:2] for r in docs], 5, 80)}
     docs = [r for r in docs if (r[0], r[0]) in low]
-    leaking = {row for row, *_ in dc.Items([(1, ITEM)]).find([r[1] or "" for r in docs])}
-    assert len(leaking) == 2
-    docs = [r for i, r in enumerate(docs) if i not in leaking]
+    item = fold(ITEM)
+    clean = [r for r in docs if best(item, fold(r[1])) > min(len(item) * 9 // 100, (len(item) - 9) // 9)]
+    assert len(docs) - len(clean) == 2
+    docs = clean
     out = []
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in docs:
