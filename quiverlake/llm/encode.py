@@ -8,8 +8,9 @@ A text is cut only where the tokenizer itself cuts, whatever stands around the p
 - "white" (white space is dropped before encoding): around any run of spaces and line feeds.
 
 Visible means ASCII 0x21-0x7E, or the letters U+00C0-U+00FF (UTF-8 C3 80 to C3 BF); elsewhere
-the text stays in one piece. Pieces are recognised by their bytes; the ids of short ones are kept
-in a table of bounded size, so the library sees each distinct piece about once per task.
+the text stays in one piece. Pieces are recognised by their bytes, or by 128 bits of BLAKE2b if they
+are of more than seven; their ids are kept in sorted arrays of bounded size, so the library sees each
+distinct piece about once per task.
 Special strings such as <|endoftext|> hold no white space, so they are never cut.
 """
 
@@ -20,9 +21,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .shared import distinct, text_buffers
+from .shared import distinct, string_hashes, text_buffers
 
-KEPT_PIECES, KEPT_BYTES = 400_000, 48  # pieces that are kept, and the longest of them
+KEPT_PIECES = 2_000_000
 TOGETHER = 512
 #: Put between pieces that the library is given together; it is always a token of its own there.
 _BETWEEN = {"gpt": "\n", "white": " \x01 "}
@@ -54,7 +55,8 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}  # of known pieces
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)  # both hashes of each known piece, ascending by the first
+        self.slots = np.empty(0, np.int64)
         self.ids, self.bounds = np.empty(0, self.kind), np.zeros(1, np.int64)  # ids of slot i: bounds[i] to bounds[i + 1]
 
     def learn(self, pieces: list[bytes], together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +127,34 @@ class PieceEncoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         found, which = distinct(data, starts, ends)
-        raw, cuts = text_buffers(found)
-        flat = raw.tobytes()
-        pieces = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        if len(self.bounds) + len(pieces) > self.kept or len(self.ids) > 8 * KEPT_PIECES:
+        keys, checks = string_hashes(found)
+        if len(self.keys) + len(keys) > self.kept or len(self.ids) > 8 * KEPT_PIECES:
             self.clear()
-        slots = np.fromiter((self.slots.get(x, -1) for x in pieces), np.int64, len(pieces))
+        at = np.searchsorted(self.keys, keys)
+        slots = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            known = (self.keys[near] == keys) & (self.checks[near] == checks)
+            slots[known] = self.slots[near[known]]
         new = np.flatnonzero(slots < 0)
         if len(new):
+            raw, cuts = text_buffers(found)
             opens, closes = self.visible(raw)
             a, b = cuts[new], cuts[new + 1]
             mark = np.concatenate([[0], np.cumsum(raw == ord(_BETWEEN[self.rule].strip(" ")))])
             first = opens[a] | ((raw[a] == 0x20) & opens[np.minimum(a + 1, len(raw) - 1)] & (b > a + 1))
-            fresh = [pieces[k] for k in new.tolist()]
-            ids, number = self.learn(fresh, first & closes[b - 1] & (mark[b] == mark[a]))
+            flat = raw.tobytes()
+            pieces = [flat[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            ids, number = self.learn(pieces, first & closes[b - 1] & (mark[b] == mark[a]))
             slots[new] = np.arange(len(new)) + len(self.bounds) - 1
-            self.slots.update((x, slot) for x, slot in zip(fresh, slots[new].tolist(), strict=True) if len(x) <= KEPT_BYTES)
             self.ids, self.bounds = np.concatenate([self.ids, ids.astype(self.kind)]), np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(number)])
+            order = new[np.argsort(keys[new], kind="stable")]
+            only = np.ones(len(order), bool)  # a first hash is kept once
+            only[1:] = keys[order[1:]] != keys[order[:-1]]
+            if len(self.keys):
+                only &= self.keys[np.minimum(at[order], len(self.keys) - 1)] != keys[order]
+            order = order[only]
+            self.keys, self.checks, self.slots = (np.insert(old, at[order], x[order]) for old, x in ((self.keys, keys), (self.checks, checks), (self.slots, slots)))
         bounds, slot = self.bounds, slots[which]
         lengths = bounds[slot + 1] - bounds[slot]
         out = np.zeros(len(slot) + 1, np.int64)

@@ -158,24 +158,30 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa
     return coded.dictionary, coded.indices.to_numpy()
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each range's bytes that all tasks agree on, made once for each different string.
+def string_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string, on which all tasks agree.
 
-    Up to seven bytes and their number are put through a permutation of 64 bits, so no two such strings share a hash;
-    of longer strings it is the first 64 bits of BLAKE2b.
+    Up to seven bytes and their number are put through a permutation of 64 bits, so no two such strings share the first
+    one (the second is 0); of longer strings the two are 128 bits of BLAKE2b.
     """
-    found, number = distinct(data, starts, ends)
-    raw, bounds = text_buffers(found)
+    raw, bounds = text_buffers(strings)
     size = np.diff(bounds)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     value = size.astype(np.uint64) << np.uint64(56)
     for k in range(7):
         value |= np.where(size > k, padded[np.minimum(bounds[:-1] + k, len(raw))], 0).astype(np.uint64) << np.uint64(8 * k)
-    value = mix(value)
+    value, other = mix(value), np.zeros(len(size), np.uint64)
     long, flat = np.flatnonzero(size > 7), raw.tobytes()
-    named = [hashlib.blake2b(flat[a:b], digest_size=8).digest() for a, b in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True)]
-    value[long] = np.frombuffer(b"".join(named), "<u8")
-    return value[number]
+    named = [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True)]
+    both = np.frombuffer(b"".join(named), "<u8").reshape(-1, 2)
+    value[long], other[long] = both[:, 0], both[:, 1]
+    return value, other
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first hash of each range's bytes, made once for each different string."""
+    found, number = distinct(data, starts, ends)
+    return string_hashes(found)[0][number]
 
 
 def chained(parts: list[np.ndarray]) -> np.ndarray:
