@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
@@ -27,8 +28,10 @@ _BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run under spark.checkpoint.dir, which the whole cluster shares."""
+    """A fresh folder for one run under spark.checkpoint.dir, which the whole cluster shares; only a local session has a default."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
     if not base:
         base = tempfile.mkdtemp(prefix="quiverlake-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -56,6 +59,11 @@ def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(number, MOST_PARTITIONS))
 
 
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system for a Spark path, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri("s3" + path[3:] if path.startswith(("s3a:", "s3n:")) else path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

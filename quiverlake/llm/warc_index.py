@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, run_folder
+from .shared import file_system, materialise, run_folder
 
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, payload_digest string, record_type string, refers_to bigint"
 INDEX_ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -92,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0, id_col: str =
     joined = rows.join(kept.withColumn("_held", F.lit(True)), "digest", "left").select("page_id", "url", "payload", "digest", holder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pa.fs.FileSystem.from_uri(path)
+        files, folder = file_system(path)
         files.create_dir(f"{folder}/archives", recursive=True)
         name, out, offset = f"archives/{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
@@ -134,7 +133,7 @@ def read_records(chosen: DataFrame, path: str) -> DataFrame:
     number = lambda name: None if name == record_name(None) else int(name[len("<urn:page:") : -1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pa.fs.FileSystem.from_uri(path)
+        files, folder = file_system(path)
         for batch in batches:
             names = batch.column(0).to_pylist()
             offsets, lengths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
