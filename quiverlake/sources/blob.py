@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from quiverlake.sources.tables import file_system
+
 # Fixed values of the format.
 MAGIC, VERSION, HEADER = 0x43505100, 1, struct.Struct("<7I")
 EINVAL = -22
@@ -113,15 +116,17 @@ def _rows(cluster: int, codes: np.ndarray) -> pa.RecordBatch:
 
 
 def write_objects(blobs: DataFrame, path: str) -> None:
-    """One file for each object in a folder that the cluster shares; a repeated attempt writes the same bytes."""
+    """One file for each object in a folder that the cluster shares. A file gets its name once it is whole, so attempts can't mix."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pa.fs.FileSystem.from_uri(path)
+        files, folder = file_system(path)
         files.create_dir(folder, recursive=True)
         for batch in batches:
             for cluster, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with files.open_output_stream(f"{folder}/cluster_{cluster}.bin") as out:
+                made = f"{folder}/_{uuid.uuid4().hex}.tmp"
+                with files.open_output_stream(made) as out:
                     out.write(content.as_buffer())
+                files.move(made, f"{folder}/cluster_{cluster}.bin")
             yield batch.select([0])
 
     blobs.mapInArrow(write, "cluster_id int").write.format("noop").mode("overwrite").save()
@@ -145,7 +150,7 @@ class ObjectReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ObjectPartition]:
-        files, folder = pa.fs.FileSystem.from_uri(self.path)
+        files, folder = file_system(self.path)
         out = []
         for f in files.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)):
             m = re.fullmatch(r"cluster_(\d+)\.bin", f.base_name)
@@ -154,7 +159,7 @@ class ObjectReader(DataSourceReader):
         return sorted(out, key=lambda p: p.cluster)
 
     def read(self, partition: ObjectPartition) -> Iterator[pa.RecordBatch]:
-        files, _ = pa.fs.FileSystem.from_uri(self.path)
+        files, _ = file_system(self.path)
         with files.open_input_file(partition.file) as f:
             found = unpack(f.read())
         if isinstance(found, int):
