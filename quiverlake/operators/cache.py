@@ -1,10 +1,12 @@
 """Replaying an access log against sharded LRU caches of clusters.
 
 A replay looks sequential, but an LRU cache's state is just the last `slots` distinct
-keys. So a shard's log is cut into chunks of time: each chunk is summarised by its most
-recent keys (at most `slots`), the summaries are folded in order into the state at every
-chunk's start, and then all chunks are replayed at once, each from its own state. What is
-folded in one task for a shard is a few keys for each chunk, never the log.
+keys. So a shard's log is cut into chunks of about as many accesses: each chunk is
+summarised by its most recent keys (at most `slots`), the summaries are folded in order
+into the state at every chunk's start, and then all chunks are replayed at once, each from
+its own state. What is folded in one task for a shard is a few keys for each chunk, never
+the log. Chunks begin at whole minutes, by counts of the accesses of each minute; only a
+single minute is never cut.
 
 Reads and writes both admit and touch. A cluster whose object fails to load never enters
 a cache, so accesses to such clusters are to be left out of the log.
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS, SHARDS, SLOTS = 97, 4, 16
-CHUNK_SECONDS = 6 * 3600
+INDEXES, CENTROID_SLOTS = 12, 4  # of the cache of centroids
+CHUNK_ROWS = 200_000
 
 
 def access_log(events: DataFrame, keys: int = KEYS, shards: int = SHARDS) -> DataFrame:
@@ -30,12 +33,17 @@ def access_log(events: DataFrame, keys: int = KEYS, shards: int = SHARDS) -> Dat
 
 
 def _chunked(log: DataFrame) -> DataFrame:
-    return log.withColumn("chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / CHUNK_SECONDS))
+    """Add the number of the chunk. A minute's chunk follows from the accesses of its shard before it."""
+    timed = log.withColumn("_minute", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60))
+    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1))
+    minutes = timed.groupBy("shard", "_minute").agg(F.count("*").alias("_n"))
+    chunks = minutes.select("shard", "_minute", F.floor(F.coalesce(before, F.lit(0)) / CHUNK_ROWS).alias("chunk"))
+    return timed.join(chunks, ["shard", "_minute"]).drop("_minute")
 
 
-def chunk_states(log: DataFrame, slots: int) -> DataFrame:
+def chunk_states(chunked: DataFrame, slots: int) -> DataFrame:
     """(shard, chunk, state): the resident clusters at the start of each chunk, the most recent first."""
-    last = _chunked(log).groupBy("shard", "chunk", "cluster_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    last = chunked.groupBy("shard", "chunk", "cluster_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
     place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(F.desc("last")))
     recent = last.withColumn("place", place).where(F.col("place") <= slots).groupBy("shard", "chunk").agg(F.sort_array(F.collect_list(F.struct("place", "cluster_id"))).alias("recent"))
     rows = recent.select("shard", "chunk", F.transform("recent", lambda x: x["cluster_id"]).alias("recent"))
@@ -60,7 +68,9 @@ def replay(log: DataFrame, slots: int = SLOTS) -> DataFrame:
     priority: 0 if the shard's previous access was to the same cluster, 1 if the cluster
     is another resident one, 2 if it has to be loaded.
     """
-    joined = _chunked(log).join(chunk_states(log, slots), ["shard", "chunk"]).select("shard", "chunk", "ts", "event_id", "cluster_id", "op", "state")
+    chunked = _chunked(log)
+    columns = "shard", "chunk", "ts", "event_id", "cluster_id", "op", "state"
+    joined = chunked.join(chunk_states(chunked, slots), ["shard", "chunk"]).select(*columns)
     fields = pa.schema([("event_id", pa.int64()), ("shard", pa.int32()), ("cluster_id", pa.int32()), ("op", pa.string()), ("hit", pa.bool_()), ("evicted", pa.int32()), ("priority", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

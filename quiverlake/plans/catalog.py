@@ -19,7 +19,7 @@ from quiverlake.operators import search as S
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
 from quiverlake.plans.oracles import BLOB_CASES, CONFIG_CASES
-from quiverlake.sources import blob
+from quiverlake.sources import blob, raw
 from quiverlake.sources.tables import shared_folder, table
 
 NPROBE, K = 2, 10
@@ -233,6 +233,31 @@ def blob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("ivfpq_blob").load(path)
 
 
+def through_raw(rows: DataFrame, order: list[str], kind: str, width: int) -> DataFrame:
+    """The rows, written as one raw array in an order and read again."""
+    spark = rows.sparkSession
+    path = shared_folder(spark, "raw")
+    raw.register(spark)
+    rows.orderBy(*order).write.format("raw_rows").options(kind=kind, width=width).mode("append").save(path)
+    return spark.read.format("raw_rows").options(kind=kind, width=width).load(path)
+
+
+def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return through_raw(x.vectors.select("vec_id", F.col("embedding").alias("elements")), ["vec_id"], "f32", x.q.dim)
+
+
+def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Index(spark, sf_dir)
+    return through_raw(pq_encode(spark, sf_dir).withColumnRenamed("codes", "elements"), ["vec_id"], "u8", x.q.n_sub)
+
+
+def golden_topk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of the best hits of all queries; a query's number is its place among them."""
+    hits = adc_exhaustive_topk(spark, sf_dir).select("qid", "rank", F.col("global_id").alias("vector_id"), "distance")
+    return through_raw(hits, ["qid", "rank"], "topk", K)
+
+
 def semantic_write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the index, replace cluster 2 by its vectors of even position, read it all."""
     x = Index(spark, sf_dir)
@@ -330,6 +355,12 @@ def last_cluster_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.last_cluster(log(spark, sf_dir))
 
 
+def centroid_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay of one cache of decoded centroids, keyed by index: each access needs those of its cluster's index."""
+    log = C.access_log(table(spark, sf_dir, "events"), C.INDEXES, 1)
+    return C.replay(log, C.CENTROID_SLOTS).select("event_id", F.col("cluster_id").alias("index_id"), "hit", F.col("evicted").alias("evicted_index"))
+
+
 def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame(list(enumerate(CONFIG_CASES)), "case_id int, config string")
     status, slots, path = config_columns(F.col("config"))
@@ -351,9 +382,10 @@ QUERIES = {
     "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
     "kmeans_step": kmeans_step, "pq_train_step": pq_train_step,
     "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "cluster_extents": cluster_extents,
+    "raw_vectors": raw_vectors, "raw_codes": raw_codes, "golden_topk_records": golden_topk_records,
     "golden_compare": golden_compare, "metric_divergence": metric_divergence,
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,
-    "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters,
+    "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters, "centroid_cache": centroid_cache,
     "config_parse": config_parse, "api_version": api_version,
     "exact_knn": exact_knn, "refined_search": refined_search, "refined_recall": refined_recall, "ivfpq_recall": ivfpq_recall,
 }

@@ -108,18 +108,29 @@ def lloyd(source: str, columns: str) -> str:
     return f"SELECT {columns}, j, (sum(floor(x::DOUBLE * 1048576)::BIGINT)::DOUBLE / count(*) / 1048576)::FLOAT AS value FROM {source} GROUP BY {columns}, j"
 
 
-LOG = """log AS MATERIALIZED (SELECT event_id, ts, (user_id % 97)::INT AS cluster_id, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS op,
-  (user_id % 97 % 4)::INT AS shard, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),"""
-# Resident clusters before each access are the 16 with the latest earlier accesses.
-# Each access meets every cluster of its shard, so windows over (shard, cluster) tell when each was accessed before.
-REPLAY = LOG + """named AS MATERIALIZED (SELECT DISTINCT shard, cluster_id AS key FROM log),
+def _log(keys: int, shards: int) -> str:
+    return f"""log AS MATERIALIZED (SELECT event_id, ts, (user_id % {keys})::INT AS cluster_id, (user_id % {keys} % {shards})::INT AS shard,
+  CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS op, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events),"""
+
+
+def _replay(keys: int, shards: int, slots: int) -> str:
+    """Resident clusters before each access are the `slots` with the latest earlier accesses.
+
+    Each access meets every cluster of its shard, so windows over (shard, cluster) tell when each was accessed before.
+    """
+    return _log(keys, shards) + f"""named AS MATERIALIZED (SELECT DISTINCT shard, cluster_id AS key FROM log),
 earlier AS MATERIALIZED (SELECT l.event_id, l.shard, l.seq, l.cluster_id, l.op, k.key,
-    max(CASE WHEN l.cluster_id = k.key THEN l.seq END) OVER (PARTITION BY k.shard, k.key ORDER BY l.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+    max(CASE WHEN l.cluster_id = k.key THEN l.seq END)
+      OVER (PARTITION BY k.shard, k.key ORDER BY l.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
   FROM log l JOIN named k ON l.shard = k.shard),
 placed AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY last DESC) AS place FROM earlier WHERE last IS NOT NULL),
-states AS MATERIALIZED (SELECT seq, max(place) FILTER (key = cluster_id AND place <= 16) AS own, max(key) FILTER (place = 16) AS lowest FROM placed GROUP BY seq),
+states AS MATERIALIZED (SELECT seq, max(place) FILTER (key = cluster_id AND place <= {slots}) AS own,
+    max(key) FILTER (place = {slots}) AS lowest FROM placed GROUP BY seq),
 replayed AS (SELECT l.*, own IS NOT NULL AS hit, CASE WHEN own IS NULL THEN lowest END AS evicted,
   CASE WHEN own = 1 THEN 0 WHEN own IS NOT NULL THEN 1 ELSE 2 END::INT AS priority FROM log l LEFT JOIN states ON l.seq = states.seq),"""
+
+
+LOG, REPLAY = _log(97, 4), _replay(97, 4, 16)
 RESIDENT = LOG + """last AS (SELECT shard, cluster_id, max(seq) AS last, arg_max(op, seq) = 'write' AS reload FROM log GROUP BY shard, cluster_id),
 resident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY last DESC) AS recency FROM last) WHERE recency <= 16),"""
 
@@ -167,6 +178,10 @@ ORACLES |= {
     "blob_validate": _with(_cases("content", BLOB_CASES), f"SELECT case_id, CASE WHEN content IS NULL OR len(content) < 56 THEN -22 WHEN {_field(0)} <> 1129337088 OR {_field(1)} <> 1 THEN -22 WHEN len(content) // 2 < 28 + 4 * {_field(2)} * {_field(3)} * {_field(5)} + {_field(6)} * {_field(2)} THEN -22 ELSE 0 END AS status FROM cases"),
     "blob_roundtrip": _with(INDEX, "SELECT cluster_id, vector_id, codes FROM lists"),
     "blob_scan": _with(INDEX, "SELECT cluster_id, vector_id, codes FROM lists"),
+    "raw_vectors": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, embedding AS elements FROM embeddings",
+    "raw_codes": _with(INDEX, "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, codes AS elements FROM coded"),
+    "golden_topk_records": _with(INDEX + scanned("l2", 4) + f"hits AS ({gathered()}),",
+        "SELECT dense_rank() OVER (ORDER BY qid) - 1 AS query, rank, global_id AS vector_id, distance FROM hits"),
     "semantic_write_overwrite": _with(INDEX, "SELECT cluster_id, CASE WHEN cluster_id = 2 THEN vector_id // 2 ELSE vector_id END AS vector_id, global_id, codes FROM lists WHERE cluster_id <> 2 OR vector_id % 2 = 0"),
     "cluster_extents": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors, true AS on_disk FROM assigned GROUP BY cluster_id"),
     "golden_compare": _with(INDEX + luts("l2") + "decoded AS (SELECT vec_id, flatten(list(c ORDER BY w.m)) AS v FROM (SELECT vec_id, m::INT AS m, codes[m + 1] AS k FROM coded, range(8) t(m)) s JOIN words w ON s.m = w.m AND s.k = w.k GROUP BY vec_id),"
@@ -182,6 +197,7 @@ ORACLES |= {
     "lru_evictions": _with(REPLAY, "SELECT event_id, shard, cluster_id, evicted FROM replayed WHERE evicted IS NOT NULL"),
     "opwq_priority": _with(REPLAY, "SELECT event_id, shard, priority FROM replayed"),
     "cache_counters": _with(REPLAY, "SELECT shard, count(*) FILTER (op = 'read') AS reads, count(*) FILTER (op = 'write') AS writes, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(evicted) AS evictions FROM replayed GROUP BY shard"),
+    "centroid_cache": _with(_replay(12, 1, 4), "SELECT event_id, cluster_id AS index_id, hit, evicted AS evicted_index FROM replayed"),
     "cache_resident_set": _with(RESIDENT, "SELECT shard, cluster_id, recency FROM resident"),
     "codebook_reload_flag": _with(RESIDENT, "SELECT shard, cluster_id, reload FROM resident"),
     "last_cluster_id": _with(LOG, "SELECT shard, arg_max(cluster_id, seq) AS last_cluster_id FROM log WHERE op = 'read' GROUP BY shard"),

@@ -158,7 +158,9 @@ class ObjectReader(DataSourceReader):
                 out.append(ObjectPartition(int(m[1]), f.path))
         return sorted(out, key=lambda p: p.cluster)
 
-    def read(self, partition: ObjectPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ObjectPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to read no partitions
+            return
         files, _ = file_system(self.path)
         with files.open_input_file(partition.file) as f:
             found = unpack(f.read())

@@ -33,8 +33,18 @@ def plain(rows, slots):
     return out, caches
 
 
+def test_chunks_are_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_ROWS", 50)
+    at = dt.datetime(2024, 1, 1)
+    busy = [(i, at + dt.timedelta(minutes=i // 10), i % 7, "read", 0) for i in range(2000)]  # ten each minute
+    idle = [(5000 + i, at + dt.timedelta(days=i), 1, "read", 1) for i in range(40)]
+    sizes = C._chunked(spark.createDataFrame(busy + idle, LOG)).groupBy("shard", "chunk").count().collect()
+    assert len(sizes) == 41 and {r["count"] for r in sizes if r.shard == 0} == {50}
+
+
 @pytest.mark.parametrize(("seed", "slots"), [(1, 1), (2, 3), (3, 16)])
-def test_chunked_replay_equals_a_plain_one(spark, seed, slots):
+def test_chunked_replay_equals_a_plain_one(spark, monkeypatch, seed, slots):
+    monkeypatch.setattr(C, "CHUNK_ROWS", 50)
     rows = log_rows(seed)
     log = spark.createDataFrame(rows, LOG).repartition(4)
     want, caches = plain(rows, slots)

@@ -55,6 +55,7 @@ def test_data_source(spark):
     assert sorted(map(tuple, read.collect())) == sorted(tuple(r) for r in table.select("cluster_id", "vector_id", "codes").collect())
     two = read.where("cluster_id IN (2, 3)")
     assert two.rdd.getNumPartitions() == 2 and two.count() == 5
+    assert read.where("cluster_id = 77").count() == 0
 
 
 def test_raw_files():
