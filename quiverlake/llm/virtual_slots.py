@@ -13,7 +13,8 @@ no task sees a whole shard.
 
 Defined results: a null text has no bytes; a null id is hashed like the empty string, and
 rows that share an id share a slot; ties within a slot are ordered by id, size and text
-checksum; an empty table gives no rows; other columns are ignored.
+checksum; an empty table gives no rows; other columns are ignored. Columns to keep that are
+named like one of a placed record get "kept_" before their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .shared import materialise, run_folder
 
 SLOTS = 8192
 RECORD_BYTES = 16
+NAMES = {"doc_id", "size", "text_crc32", "vslot", "shard", "slot", "_first", "_within"}  # of placed records
 MAP = "version int, vslot int, shard int, n_rows bigint, n_bytes bigint"
 
 
@@ -107,12 +109,26 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{path}/version={version}")
 
 
+def kept(names: tuple[str, ...]) -> list[Column]:
+    """The columns, renamed where they are named like one of a placed record, in whatever case."""
+    used = NAMES | {n.lower() for n in names}
+    out = []
+    for name in names:
+        free = name
+        if name.lower() in NAMES:
+            while free.lower() in used:
+                free = f"kept_{free}"
+            used.add(free.lower())
+        out.append(F.col(f"`{name}`").alias(free))
+    return out
+
+
 def records_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of each document, and the columns to keep."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"), *keep)
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"), *kept(keep))
 
 
 def place(records: DataFrame, table: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ def test_base_spans(seed):
             assert [(a, b) for a, j, b in x if j == k] == every
 
 
+def test_texts_of_some_megabytes():
+    rows = ["token=" * 300_000, "secret: " + "aB9/" * 700_000, "x" + "AKIA" * 700_000, "f" * 3_000_000 + " " + "é" * 500_000 + "0" * 40, "api_key " * 400_000]
+    found = si.Scanner(si.RULES).spans(pa.array(rows))
+    for text, x in zip(rows, found, strict=True):
+        assert ",".join(f"{si.RULES[k].kind}:{a}:{b}" for a, k, b in x if k < 3) == plain(text)
+
+
 def test_queries_are_implied():
     assert si.trigram_query(r"[0-9a-f]{32,}") is True
     assert si.trigram_query(r"AKIA[A-Z0-9]+") == ("and", frozenset({b"aki", b"kia"}))

@@ -65,3 +65,23 @@ def test_shards_are_written_whole(spark, tmp_path):
     assert Counter((r.doc_id, r.text, r.lang) for r in back.collect()) == Counter((r.doc_id, r.text, r.lang) for r in docs.collect())
     for s in {r.shard for r in back.collect()}:
         assert sorted(r.slot for r in back.collect() if r.shard == s) == list(range(sum(r.shard == s for r in back.collect())))
+
+
+def test_kept_columns_with_clashing_names(spark, tmp_path):
+    rows = [(i, f"t{i}", i % 3, f"s{i}", "a", "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, Slot string, kept_size string, _first string")
+    records = vs.records_of(docs, keep=("size", "Slot", "kept_size", "_first", "doc_id", "text"))
+    sizes = vs.slot_sizes(records)
+    vs.store_map(spark, f"file://{tmp_path}/m", 1, vs.deal({v: b for v, _, b in sizes}, 3), sizes)
+    placed = vs.place(records, vs.load_map(spark, f"file://{tmp_path}/m", 1))
+    vs.write_shards(placed, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    names = "kept_doc_id", "text", "kept_kept_size", "kept_Slot", "kept_size", "kept__first"
+    assert Counter(tuple(r[n] for n in names) for r in back.collect()) == Counter(rows)
+    assert {(r.doc_id, r.size) for r in back.collect()} == {(i, len(f"t{i}") + 16) for i in range(20)}
+
+
+def test_text_of_some_megabytes(spark):
+    text = "größe " * 700_000
+    (r,) = vs.records_of(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.size, r.text_crc32) == (len(text.encode()) + 16, zlib.crc32(text.encode()))
