@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, host_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
+from . import bestfit, decontaminate, fill_middle, host_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
 from .shared import small_batches
 
 
@@ -29,5 +29,13 @@ QUERIES = {
     "op8_wrapper": prepared(wrapper.op8_wrapper),
     "op9_ngram_join": prepared(ngram_join.op9_ngram_join),
     "op10_secret_index": prepared(secret_index.op10_secret_index),
+    "op12_fill_middle": prepared(fill_middle.op12_fill_middle),
+}
+ORACLES = {
+    "op3_host_rules": host_rules.OP3_SQL,
+    "op4_virtual_slots": virtual_slots.OP4_SQL,
+    "op7_warc_index": warc_index.OP7_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
+    "op10_secret_index": secret_index.OP10_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
 }
-ORACLES = {"op3_host_rules": host_rules.OP3_SQL, "op4_virtual_slots": virtual_slots.OP4_SQL, "op7_warc_index": warc_index.OP7_SQL, "op9_ngram_join": ngram_join.OP9_SQL, "op10_secret_index": secret_index.OP10_SQL}
