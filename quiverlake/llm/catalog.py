@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, fill_middle, host_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
+from . import bestfit, decontaminate, fill_middle, host_rules, license_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
 from .shared import small_batches
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "op9_ngram_join": prepared(ngram_join.op9_ngram_join),
     "op10_secret_index": prepared(secret_index.op10_secret_index),
     "op12_fill_middle": prepared(fill_middle.op12_fill_middle),
+    "op13_license_rules": prepared(license_rules.op13_license_rules),
 }
 ORACLES = {
     "op3_host_rules": host_rules.OP3_SQL,
@@ -38,4 +39,5 @@ ORACLES = {
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_secret_index": secret_index.OP10_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_license_rules": license_rules.OP13_SQL,
 }
