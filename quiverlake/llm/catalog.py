@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, decontaminate, fill_middle, host_rules, license_rules, ngram_join, secret_index, token_cache, token_files, virtual_slots, warc_index, wrapper
+from . import bestfit, decontaminate, fill_middle, host_rules, license_rules, ngram_join, secret_index, target_resample, token_cache, token_files, virtual_slots, warc_index, wrapper
 from .shared import small_batches
 
 
@@ -29,6 +29,7 @@ QUERIES = {
     "op8_wrapper": prepared(wrapper.op8_wrapper),
     "op9_ngram_join": prepared(ngram_join.op9_ngram_join),
     "op10_secret_index": prepared(secret_index.op10_secret_index),
+    "op11_target_resample": prepared(target_resample.op11_target_resample),
     "op12_fill_middle": prepared(fill_middle.op12_fill_middle),
     "op13_license_rules": prepared(license_rules.op13_license_rules),
 }
@@ -38,6 +39,7 @@ ORACLES = {
     "op7_warc_index": warc_index.OP7_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_secret_index": secret_index.OP10_SQL,
+    "op11_target_resample": target_resample.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
     "op13_license_rules": license_rules.OP13_SQL,
 }
