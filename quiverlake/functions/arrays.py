@@ -19,6 +19,12 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat[bounds[:-1, None] + np.arange(dim)]
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def distances(metric: str, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The distance of each row to each word."""
     total = np.zeros((len(rows), len(words)), np.float32)

@@ -82,10 +82,12 @@ def nearest(distances: Column) -> Column:
 
 
 def pack_nibbles(codes: Column) -> Column:
-    """Two 4-bit codes to a byte, the first in the low half."""
-    pairs = F.sequence(F.lit(0), (F.size(codes) / 2).cast("int") - 1)
-    return F.transform(pairs, lambda i: F.get(codes, 2 * i) + 16 * F.get(codes, 2 * i + 1))
+    """Two 4-bit codes to a byte, the first in the low half; the last byte of an odd number of codes has an empty high half."""
+    first = F.filter(codes, lambda c, i: i % 2 == 0)
+    return F.transform(first, lambda c, i: c + 16 * F.coalesce(F.get(codes, 2 * i + 1), F.lit(0)))
 
 
-def unpack_nibbles(packed: Column) -> Column:
-    return F.flatten(F.transform(packed, lambda b: F.array(b.bitwiseAND(F.lit(15)), F.shiftright(b, 4))))
+def unpack_nibbles(packed: Column, number: Column | None = None) -> Column:
+    """The codes of packed bytes: `number` of them, or two for each byte."""
+    codes = F.flatten(F.transform(packed, lambda b: F.array(b.bitwiseAND(F.lit(15)), F.shiftright(b, 4))))
+    return codes if number is None else F.slice(codes, F.lit(1), number)

@@ -208,6 +208,44 @@ def refined(queries: DataFrame, lists: DataFrame, vectors: DataFrame, q: Quantiz
     return ranked(scored, k, "qid").select("qid", "rank", F.col("vector_id").alias("global_id"), "distance")
 
 
+def compare(queries: DataFrame, codes: DataFrame, q: Quantizer, tolerance: float = 1e-6) -> DataFrame:
+    """Looked-up L2 distances against those to the vectors that codes (global_id, codes) stand for: qid, max_gap, worst_id and whether they differ.
+
+    Each task keeps a row for each query, so pairs never leave it.
+    """
+    spark, parts = queries.sparkSession, []
+    book = spark.sparkContext.broadcast(np.array(q.codebook, np.float32))
+    for block in in_blocks(queries, 4 * q.dim):
+        asked = block.where(F.size("qvec") >= q.dim).select("qid", "qvec").toArrow().combine_chunks()  # of bounded size
+        shared = spark.sparkContext.broadcast((asked["qid"].to_numpy(), matrix(asked["qvec"].combine_chunks(), q.dim) if asked.num_rows else np.zeros((0, q.dim), np.float32)))
+
+        def gaps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (qids, vectors), words = shared.value, book.value
+            most, worst = np.full(len(qids), -1, np.float32), np.zeros(len(qids), np.int64)
+            luts = A.tables(V.L2, vectors, words)
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                each = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                stood = np.asfortranarray(np.concatenate([words[m][each[:, m]] for m in range(len(words))], axis=1))
+                step = max(1, A.CELLS // max(len(ids), 1))
+                for lo in range(0, len(qids), step):
+                    direct, looked = A.distances(V.L2, stood, vectors[lo : lo + step]), np.zeros((len(ids), len(qids[lo : lo + step])), np.float32)
+                    for m in range(len(words)):
+                        looked += luts[lo : lo + step, m, :].T[each[:, m]]
+                    gap = np.abs(looked - direct)
+                    for j, column in enumerate(gap.T if len(ids) else ()):
+                        top = column.max()
+                        first = ids[column == top].min()
+                        if top > most[lo + j] or (top == most[lo + j] and first < worst[lo + j]):
+                            most[lo + j], worst[lo + j] = top, first
+            seen = most >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(qids[seen]), pa.array(most[seen]), pa.array(worst[seen])], names=["qid", "gap", "global_id"])
+
+        parts.append(codes.select("global_id", "codes").mapInArrow(gaps, "qid bigint, gap float, global_id bigint"))
+    every = union(parts)
+    return every.groupBy("qid").agg(F.max("gap").alias("max_gap"), F.min_by("global_id", F.struct(-F.col("gap"), "global_id")).alias("worst_id"), F.max(F.col("gap") > tolerance).alias("differs"))
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """qid and the share of its true neighbours that were found."""
     hit = truth.select("qid", "global_id").join(found.select("qid", "global_id", F.lit(1).alias("_hit")), ["qid", "global_id"], "left")

@@ -8,13 +8,16 @@ sample. Queries are all vectors whose id is divisible by 50, against all vectors
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vector as V
+from quiverlake.operators import bounded
 from quiverlake.operators import cache as C
 from quiverlake.operators import index as I
-from quiverlake.operators import kernel
+from quiverlake.operators import kernel, packed
 from quiverlake.operators import search as S
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
@@ -35,9 +38,9 @@ class Index:
         self.queries = S.query_set(self.vectors)
         self.q = I.seeded_quantizer(self.vectors)
 
-    @property
+    @cached_property
     def lists(self) -> DataFrame:
-        return I.inverted_lists(self.vectors, self.q)
+        return I.inverted_lists(self.vectors, self.q)  # numbered in a stored table, so built once
 
     def stored(self, spark: SparkSession) -> DataFrame:
         """The lists, saved by cluster and loaded again, so that scans prune to the probed clusters."""
@@ -163,8 +166,8 @@ def semantic_read(metric: str):
 def topk_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors twice in one cluster, 600 hits asked for: 500 come."""
     x = Index(spark, sf_dir)
-    twice = x.vectors.select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    one = twice.select(F.lit(0).alias("cluster_id"), (2 * F.col("vec_id") + F.col("copy")).alias("vector_id"), F.col("vec_id").alias("global_id"), I.encode(F.col("embedding"), x.q.codebook).alias("codes"))
+    twice = I.coded(x.vectors, x.q).select("global_id", "codes", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    one = twice.select(F.lit(0).alias("cluster_id"), (2 * F.col("global_id") + F.col("copy")).alias("vector_id"), "global_id", "codes")
     asked = x.queries.select(F.col("qid").alias("req"), "qvec", F.lit(0).alias("cluster_id"), F.lit(600).alias("top_k"), F.lit(0).alias("metric"))
     return S.device_search(asked, one, x.q, S.MOST_RESULTS).select("req", "count", "rank", "vector_id", "distance")
 
@@ -189,8 +192,10 @@ def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pq_code_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pq_encode(spark, sf_dir).select("vec_id", V.pack_nibbles(F.col("codes")).alias("packed"))
-    return packed.select("vec_id", "packed", V.unpack_nibbles(F.col("packed")).alias("codes"))
+    """Whole codes, and parts of them of 0 to 8 codes (of every tenth vector none), packed and unpacked."""
+    codes, n = F.col("codes"), F.when(F.col("vec_id") % 10 != 9, F.col("vec_id") % 9).cast("int")
+    both = pq_encode(spark, sf_dir).select("vec_id", n.alias("n"), V.pack_nibbles(codes).alias("packed"), V.pack_nibbles(F.slice(codes, F.lit(1), n)).alias("part_packed"))
+    return both.select("vec_id", "packed", V.unpack_nibbles(F.col("packed")).alias("codes"), "part_packed", V.unpack_nibbles(F.col("part_packed"), F.col("n")).alias("part_codes"))
 
 
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,15 +284,7 @@ def cluster_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looked-up distances against those to the reconstructed vectors, over all clusters."""
     x = Index(spark, sf_dir)
-    coded = x.vectors.select(F.col("vec_id").alias("global_id"), I.encode(F.col("embedding"), x.q.codebook).alias("codes"))
-
-    def part(block: DataFrame) -> DataFrame:
-        return coded.join(F.broadcast(S.with_tables(block, x.q, V.L2)))
-
-    pairs = S.union(part(b) for b in S.in_blocks(x.queries, x.q.n_sub * x.q.ksub * 4))
-    looked, direct = V.adc(F.col("lut"), F.col("codes"), x.q.n_sub), V.l2(F.col("qvec"), I.reconstruct(F.col("codes"), x.q.codebook))
-    gaps = pairs.select("qid", "global_id", F.abs(looked - direct).alias("gap"))
-    return gaps.groupBy("qid").agg(F.max("gap").alias("max_gap"), F.min_by("global_id", F.struct(-F.col("gap"), "global_id")).alias("worst_id"), F.max(F.col("gap") > 1e-6).alias("differs"))
+    return S.compare(x.queries, I.coded(x.vectors, x.q), x.q)
 
 
 def metric_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +315,38 @@ def refined_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recall(found, S.exact_topk(x.queries, x.vectors, V.L2, K, x.q.dim))
 
 
+def packed_index(spark: SparkSession, x: Index) -> DataFrame:
+    """The index with packed codes, stored and loaded."""
+    path = shared_folder(spark, "packed")
+    packed.save(packed.pack_lists(x.lists, x.q.ksub), path)
+    return packed.load(spark, path)
+
+
+def packed_search(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """ivfpq_search over packed codes by 8-bit tables, re-ranked exactly."""
+        x = Index(spark, sf_dir)
+        return S.search(x.queries, packed_index(spark, x), x.q, metric, NPROBE, K, packed.cluster_topk)
+
+    return run
+
+
+def packed_code_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.code_bytes(packed_index(spark, Index(spark, sf_dir)))
+
+
+def bounded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true neighbours through a fitted index: bounds leave out clusters and vectors, never a neighbour."""
+    x = Index(spark, sf_dir)
+    return bounded.search(x.queries, bounded.store(x.vectors, I.fit(x.vectors, *FITTED)), K)
+
+
+def bounded_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What such a search reads and scores with the seeded quantizer, by query."""
+    x = Index(spark, sf_dir)
+    return bounded.shares(x.queries, bounded.store(x.vectors, x.q), K)
+
+
 def ivfpq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By query: the share of the true neighbours that ivfpq_search_l2 finds with its seeded quantizer."""
     return S.recall(ivfpq_search(V.L2)(spark, sf_dir), exact_knn(spark, sf_dir))
@@ -387,5 +416,6 @@ QUERIES = {
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,
     "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters, "centroid_cache": centroid_cache,
     "config_parse": config_parse, "api_version": api_version,
+    "packed_search_l2": packed_search(V.L2), "packed_search_ip": packed_search(V.IP), "packed_code_bytes": packed_code_bytes, "bounded_search": bounded_search, "bounded_shares": bounded_shares,
     "exact_knn": exact_knn, "refined_search": refined_search, "refined_recall": refined_recall, "ivfpq_recall": ivfpq_recall,
 }

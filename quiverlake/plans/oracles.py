@@ -137,6 +137,29 @@ resident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDE
 EXACT = f"exact AS (SELECT qid, rank, vec_id AS global_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM (SELECT qid, vec_id, {l2('qvec', 'embedding')} AS distance FROM queries, embeddings)) WHERE rank <= 10),"
 
 
+def nibbles(codes: str) -> str:
+    """Two codes a byte, the first in the low half."""
+    return f"list_transform(range(1, len({codes}) + 1, 2), lambda i: {codes}[i] + 16 * coalesce({codes}[i + 1], 0))"
+
+
+def _length(a: str, b: str) -> str:
+    """The distance of two lists in doubles."""
+    return f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda j: ({a}[j]::DOUBLE - {b}[j]::DOUBLE) ** 2)))"
+
+
+# Two rounds: the nearest clusters with ten vectors, then what the bounds leave. 136 / 2^24 is the rounding of a float32 sum of 64 squares.
+SHARES = f"""decoded AS (SELECT vec_id, flatten(list(c ORDER BY w.m)) AS v FROM (SELECT vec_id, m::INT AS m, codes[m + 1] AS k FROM coded, range(8) t(m)) s JOIN words w ON s.m = w.m AND s.k = w.k GROUP BY vec_id),
+placed AS (SELECT vec_id, cluster_id, embedding, v, {_length("embedding", "centroid")} AS reach, {_length("embedding", "v")} AS gap FROM embeddings JOIN assigned USING (vec_id) JOIN centroids USING (cluster_id) JOIN decoded USING (vec_id)),
+rings AS (SELECT cluster_id, count(*) AS n, min(reach) AS low, max(reach) AS high FROM placed GROUP BY cluster_id),
+far AS (SELECT qid, qvec, cluster_id, {_length("qvec", "centroid")} AS far FROM queries, centroids),
+near AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY far, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10 AS first FROM far JOIN rings USING (cluster_id)),
+limits AS (SELECT qid, coalesce(list_sort(list(d))[10]::DOUBLE, 'inf'::DOUBLE) AS most FROM (SELECT qid, {l2("qvec", "embedding")} AS d FROM near JOIN placed USING (cluster_id) WHERE first) GROUP BY qid),
+scanned AS (SELECT * FROM near JOIN limits USING (qid) WHERE first OR greatest(far - high, low - far, 0) ** 2 * (1 - 136 / 16777216.0::DOUBLE) <= most),
+scored AS (SELECT s.qid, s.cluster_id, count(*) AS n FROM scanned s JOIN placed p USING (cluster_id)
+  WHERE first OR (abs(reach - far) <= sqrt(most / (1 - 136 / 16777216.0::DOUBLE)) AND {_length("qvec", "v")} - gap <= sqrt(most / (1 - 136 / 16777216.0::DOUBLE))) GROUP BY s.qid, s.cluster_id),
+"""
+
+
 def _field(k: int) -> str:
     """A little-endian u32 of the header."""
     byte = lambda i: f"substr(content, {8 * k + 2 * i + 1}, 2)"
@@ -168,7 +191,7 @@ ORACLES |= {
     "ivf_list_sizes": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors FROM assigned GROUP BY cluster_id"),
     "inverted_lists": _with(INDEX, "SELECT cluster_id, vector_id, global_id, codes FROM lists"),
     "pq_encode": _with(INDEX, "SELECT vec_id, codes FROM coded"),
-    "pq_code_unpack": _with(INDEX, "SELECT vec_id, list_transform(range(1, 5), lambda i: codes[2 * i - 1] + 16 * codes[2 * i]) AS packed, codes FROM coded"),
+    "pq_code_unpack": _with(INDEX, f"SELECT vec_id, {nibbles('codes')} AS packed, codes, {nibbles('part')} AS part_packed, part AS part_codes FROM (SELECT *, CASE WHEN vec_id % 10 != 9 THEN codes[:vec_id % 9] END AS part FROM coded)"),
     "kmeans_step": _with(BASE + ASSIGNED + "parts AS (SELECT cluster_id, unnest(range(64))::INT AS j, unnest(embedding) AS x FROM assigned JOIN embeddings USING (vec_id)), means AS (" + lloyd("parts", "cluster_id") + "),",
         "SELECT c.cluster_id, c.j, coalesce(value, x) AS value FROM (SELECT cluster_id, unnest(range(64))::INT AS j, unnest(centroid) AS x FROM centroids) c LEFT JOIN means m ON c.cluster_id = m.cluster_id AND c.j = m.j"),
     "pq_train_step": _with(INDEX + "parts AS (SELECT m::INT AS m, codes[m + 1] AS k, unnest(range(8))::INT AS j, unnest(embedding[8 * m + 1:8 * m + 8]) AS x FROM coded JOIN embeddings USING (vec_id), range(8) t(m)), means AS (" + lloyd("parts", "m, k") + "),",
@@ -190,6 +213,12 @@ ORACLES |= {
     "metric_divergence": _with(INDEX + scanned("l2", 4).replace("probes AS", "probes_l2 AS").replace("FROM probes p", "FROM probes_l2 p").replace("lut AS", "lut_l2 AS").replace("FROM lut ", "FROM lut_l2 ").replace("tables AS", "tables_l2 AS").replace("JOIN tables", "JOIN tables_l2").replace("scanned AS", "scanned_l2 AS") + scanned("ip", 4)
         + f"a AS ({gathered(10, 'scanned_l2')}), b AS ({gathered()}),", "SELECT a.qid, bool_or(a.global_id <> b.global_id) AS differs FROM a JOIN b ON a.qid = b.qid AND a.rank = b.rank GROUP BY a.qid"),
     "exact_knn": _with(BASE + EXACT, "SELECT qid, rank, global_id, distance FROM exact"),
+    "packed_search_l2": ORACLES["ivfpq_search_l2"],
+    "packed_search_ip": ORACLES["ivfpq_search_ip"],
+    "packed_code_bytes": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors, count(*) * 4 AS code_bytes FROM assigned GROUP BY cluster_id"),
+    "bounded_search": _with(BASE + EXACT, "SELECT qid, rank, global_id, distance FROM exact"),
+    "bounded_shares": _with(INDEX + SHARES, """SELECT s.qid, count(*) FILTER (first) AS first_clusters, coalesce(sum(c.n) FILTER (first), 0)::BIGINT AS first_vectors, count(*) FILTER (NOT first) AS more_clusters,
+  coalesce(sum(c.n) FILTER (NOT first), 0)::BIGINT AS more_vectors, coalesce(sum(c.n), 0)::DOUBLE / (SELECT count(*) FROM placed) AS share FROM scanned s LEFT JOIN scored c ON s.qid = c.qid AND s.cluster_id = c.cluster_id GROUP BY s.qid"""),
     # Brute force: the index search has to find every neighbour here. What it finds on larger tables is tested apart.
     "refined_search": _with(BASE + EXACT, "SELECT qid, rank, global_id, distance FROM exact"),
     "ivfpq_recall": _with(INDEX + scanned("l2") + f"found AS ({gathered()})," + EXACT, "SELECT e.qid, count(f.global_id)::DOUBLE / count(*) AS recall FROM exact e LEFT JOIN found f ON e.qid = f.qid AND e.global_id = f.global_id GROUP BY e.qid"),

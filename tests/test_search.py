@@ -146,6 +146,11 @@ def test_nibbles_and_metrics(spark):
     one = spark.range(1).select(F.array(*map(F.lit, (1, 15, 0, 7))).alias("c"))
     assert one.select(V.pack_nibbles(F.col("c"))).first()[0] == [241, 112]
     assert one.select(V.unpack_nibbles(V.pack_nibbles(F.col("c")))).first()[0] == [1, 15, 0, 7]
+    codes = [[], [7], [1, 2, 3], None, [15] * 7, [0, 0]]
+    odd = spark.createDataFrame([(c, None if c is None else len(c)) for c in codes], "c array<int>, n int")
+    back = odd.select("c", V.pack_nibbles(F.col("c")).alias("p"), V.unpack_nibbles(V.pack_nibbles(F.col("c")), F.col("n")).alias("u")).collect()
+    assert [r.u for r in back] == codes and [None if r.p is None else len(r.p) for r in back] == [0, 1, 2, None, 4, 1]
+    assert back[2].p == [33, 3]
     assert [V.metric_of(x) for x in (0, 1, 7, None, "ip")] == ["l2", "ip", "l2", "l2", "ip"]
     with pytest.raises(ValueError):
         V.metric_of("cosine")
