@@ -189,9 +189,10 @@ def pq_lloyd_step(vectors: DataFrame, codebook: list[list[list[float]]], vec_col
     return step_means(vectors, parts_of(Quantizer([], codebook)), vec_col).select(F.col("part").alias("m"), "k", "j", "value")
 
 
-def train(vectors: DataFrame, nlist: int, n_sub: int, ksub: int, iterations: int, vec_col: str = "embedding") -> Quantizer:
-    """A quantizer after some Lloyd steps over all vectors from the seeds, one pass for each step."""
-    q = seeded_quantizer(vectors, nlist, n_sub, ksub)
+def train(vectors: DataFrame, nlist: int, n_sub: int, ksub: int, iterations: int, vec_col: str = "embedding", start: Quantizer | None = None) -> Quantizer:
+    """A quantizer after some Lloyd steps over all vectors from the seeds or another start, one pass for each step."""
+    q = start or seeded_quantizer(vectors, nlist, n_sub, ksub)
+    n_sub = q.n_sub
     for _ in range(iterations):
         parts = parts_of(q)
         rows = step_means(vectors, parts, vec_col).orderBy("part", "k", "j").toArrow()  # as many as the quantizer has floats

@@ -19,6 +19,7 @@ from quiverlake.operators import cache as C
 from quiverlake.operators import index as I
 from quiverlake.operators import kernel, packed
 from quiverlake.operators import search as S
+from quiverlake.operators import starts
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
 from quiverlake.plans.oracles import BLOB_CASES, CONFIG_CASES
@@ -203,6 +204,13 @@ def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.lloyd_step(x.vectors, x.q.centroids)
 
 
+def kmeans_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four starts by rounds of oversampling over all vectors: the order they were chosen in, what they weigh."""
+    x = Index(spark, sf_dir)
+    rows = [(k, i, n, v) for k, (i, n, v) in enumerate(starts.parallel_starts(x.vectors, 4, x.q.dim))]
+    return spark.createDataFrame(rows, "cluster_id int, vec_id bigint, weight bigint, centroid array<float>")
+
+
 def pq_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
     return I.pq_lloyd_step(x.vectors, x.q.codebook)
@@ -409,7 +417,7 @@ QUERIES = {
     "scatter_gather_topk": scatter_gather_topk, "semantic_read_l2": semantic_read(V.L2), "semantic_read_ip": semantic_read(V.IP),
     "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
     "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
-    "kmeans_step": kmeans_step, "pq_train_step": pq_train_step,
+    "kmeans_step": kmeans_step, "kmeans_starts": kmeans_starts, "pq_train_step": pq_train_step,
     "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "cluster_extents": cluster_extents,
     "raw_vectors": raw_vectors, "raw_codes": raw_codes, "golden_topk_records": golden_topk_records,
     "golden_compare": golden_compare, "metric_divergence": metric_divergence,

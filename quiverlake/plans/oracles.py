@@ -160,6 +160,27 @@ scored AS (SELECT s.qid, s.cluster_id, count(*) AS n FROM scanned s JOIN placed
 """
 
 
+def _draw(round_: int) -> str:
+    return f"('0x' || substr(sha256('{round_}:' || vec_id), 1, 8))::BIGINT::DOUBLE"
+
+
+def starts(k: int = 4, rounds: int = 3, oversample: int = 2) -> str:
+    """Candidates of each round, their weights, and the picks among them one after the other."""
+    out = f"cand0 AS (SELECT vec_id, embedding AS v, 0 AS round FROM embeddings ORDER BY {_draw(0)}, vec_id LIMIT 1),"
+    for r in range(1, rounds + 1):
+        out += f"""cost{r} AS MATERIALIZED (SELECT e.vec_id, min(floor({l2("e.embedding", "c.v")}::DOUBLE * 1048576)::BIGINT) AS cost FROM embeddings e, cand{r - 1} c GROUP BY e.vec_id),
+cand{r} AS MATERIALIZED (SELECT * FROM cand{r - 1} UNION ALL SELECT vec_id, embedding, {r} FROM embeddings JOIN cost{r} USING (vec_id)
+  WHERE {_draw(r)} * (SELECT sum(cost)::DOUBLE FROM cost{r}) < cost::DOUBLE * {oversample * k << 32}::DOUBLE),"""
+    out += f"""placed AS (SELECT *, row_number() OVER (ORDER BY round, vec_id) AS pos FROM cand{rounds}),
+near AS (SELECT arg_min(pos, (d, pos)) AS pos FROM (SELECT e.vec_id, c.pos, {l2("e.embedding", "c.v")} AS d FROM embeddings e, placed c) GROUP BY vec_id),
+weighed AS MATERIALIZED (SELECT p.vec_id, v, count(near.pos) AS weight FROM placed p LEFT JOIN near USING (pos) GROUP BY p.vec_id, v),
+pick1 AS MATERIALIZED (SELECT 0 AS cluster_id, vec_id, weight, v FROM weighed ORDER BY weight DESC, vec_id LIMIT 1),"""
+    for j in range(2, k + 1):
+        out += f"""pick{j} AS MATERIALIZED (SELECT * FROM pick{j - 1} UNION ALL SELECT {j - 1}, vec_id, weight, v FROM (
+  SELECT w.vec_id, w.weight, w.v, w.weight * min({l2("w.v", "p.v")}::DOUBLE) AS gain FROM weighed w, pick{j - 1} p GROUP BY w.vec_id, w.weight, w.v HAVING gain > 0 ORDER BY gain DESC, w.vec_id LIMIT 1)),"""
+    return out
+
+
 def _field(k: int) -> str:
     """A little-endian u32 of the header."""
     byte = lambda i: f"substr(content, {8 * k + 2 * i + 1}, 2)"
@@ -196,6 +217,7 @@ ORACLES |= {
         "SELECT c.cluster_id, c.j, coalesce(value, x) AS value FROM (SELECT cluster_id, unnest(range(64))::INT AS j, unnest(centroid) AS x FROM centroids) c LEFT JOIN means m ON c.cluster_id = m.cluster_id AND c.j = m.j"),
     "pq_train_step": _with(INDEX + "parts AS (SELECT m::INT AS m, codes[m + 1] AS k, unnest(range(8))::INT AS j, unnest(embedding[8 * m + 1:8 * m + 8]) AS x FROM coded JOIN embeddings USING (vec_id), range(8) t(m)), means AS (" + lloyd("parts", "m, k") + "),",
         "SELECT c.m, c.k, c.j, coalesce(value, x) AS value FROM (SELECT m, k, unnest(range(8))::INT AS j, unnest(c) AS x FROM words) c LEFT JOIN means ON c.m = means.m AND c.k = means.k AND c.j = means.j"),
+    "kmeans_starts": _with(starts(), "SELECT cluster_id, vec_id, weight, v AS centroid FROM pick4"),
     "cluster_object_size": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors, 28 + 4 * 8 * 16 * 8 + 8 * count(*) AS object_bytes FROM assigned GROUP BY cluster_id"),
     "index_metadata": "SELECT json_object('M', 8, 'ksub', 16, 'D', 64, 'dsub', 8, 'num_vectors', count(*), 'num_queries', count(*) FILTER (vec_id % 50 = 0), 'top_k', 10, 'metric_type', 0)::VARCHAR AS metadata FROM embeddings",
     "blob_validate": _with(_cases("content", BLOB_CASES), f"SELECT case_id, CASE WHEN content IS NULL OR len(content) < 56 THEN -22 WHEN {_field(0)} <> 1129337088 OR {_field(1)} <> 1 THEN -22 WHEN len(content) // 2 < 28 + 4 * {_field(2)} * {_field(3)} * {_field(5)} + {_field(6)} * {_field(2)} THEN -22 ELSE 0 END AS status FROM cases"),
