@@ -249,8 +249,8 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
                 at = batch.schema.get_field_index(text_col)
                 fresh = [replaced(s, x) if x else s for s, x in zip(batch.column(at).to_pylist(), found, strict=True)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(fresh, batch.schema.field(at).type))
-                if length_col in batch.schema.names:
-                    at = batch.schema.get_field_index(length_col)
+                at = batch.schema.get_field_index(length_col)
+                if at >= 0 and pa.types.is_integer(batch.schema.field(at).type):  # a column of another type has another meaning
                     sizes = [len(s) if x else n for n, s, x in zip(batch.column(at).to_pylist(), fresh, found, strict=True)]
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield batch

@@ -12,8 +12,8 @@ reader of metadata never touches the token pages, and a reader of a few document
 reads the pages that hold them.
 
 Defined results: a null text is the empty text; an empty text still has its end id;
-rows with a null id come first; rows that share an id stay in the order of their
-texts; other columns of the input are ignored; an empty table gives no rows.
+rows with a null id come first; rows that share an id are in the order of a hash of
+their texts; other columns of the input are ignored; an empty table gives no rows.
 A very long text is encoded whole, in the one task that holds it.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import encoder
-from .shared import blocks, run_folder
+from .shared import blocks, partitions_for, run_folder
 
 SHARD = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()),
@@ -66,11 +66,15 @@ def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, rule: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text",
     partitions: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000,
 ) -> None:
-    """Encode docs and write the files. Text is dealt by ranges of the id once; the ids are never shuffled."""
+    """Encode docs and write the files. Text is dealt by ranges of the id once; the ids are never shuffled.
+
+    An id of very many rows is dealt to several ranges, by hashes of its texts and numbers of its rows.
+    """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = named.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    order = "doc_id", "_hash", "_row"
+    keyed = named.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(partitions or partitions_for(docs), *order).sortWithinPartitions(*order)
     options = {
         "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",

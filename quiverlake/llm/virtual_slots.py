@@ -11,8 +11,9 @@ What the driver holds is the table of slots, which is of fixed size. Places with
 shard are numbered by slot: a slot's rows follow those of the shard's earlier slots, so
 no task sees a whole shard.
 
-Defined results: a null text has no bytes; a null id is hashed like the empty string, and
-rows that share an id share a slot; ties within a slot are ordered by id, size and text
+Defined results: a null text has no bytes; a null id is hashed like the empty string; rows
+that share an id share a slot, but under the law of equal bytes they are spread over all
+slots by the numbers of their rows, since one id may hold any share of all bytes; ties within a slot are ordered by id, size and text
 checksum; an empty table gives no rows; other columns are ignored. Columns to keep that are
 named like one of a placed record get "kept_" before their names.
 """
@@ -131,6 +132,16 @@ def records_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), slot_of(F.col(id_col), slots).alias("vslot"), *kept(keep))
 
 
+def spread_repeated(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """records (of a table, with a number _row) with the slots of rows that share their id dealt by the id and that number; unique ids keep theirs."""
+    repeated = records.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+    if not repeated.limit(1).count():
+        return records.drop("_row")
+    joined = records.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    salted = slot_of(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("_row").cast("string")), slots)
+    return joined.withColumn("vslot", F.when(F.col("_again"), salted).otherwise(F.col("vslot"))).drop("_id", "_again", "_row")
+
+
 def place(records: DataFrame, table: DataFrame) -> DataFrame:
     """Add shard and slot, the place in the shard from 0 on without gaps."""
     before = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
@@ -147,7 +158,8 @@ def write_shards(placed: DataFrame, path: str) -> None:
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
-    records = materialise(records_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), run_folder(spark, "shard_records"))
+    numbered = records_of(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("_row", F.monotonically_increasing_id())
+    records = spread_repeated(materialise(numbered, run_folder(spark, "shard_records")))
     sizes, path = slot_sizes(records), run_folder(spark, "slot_map")
     store_map(spark, path, 1, deal({v: b for v, _, b in sizes}, 40), sizes)
     placed = place(records, load_map(spark, path, 1))

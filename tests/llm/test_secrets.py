@@ -93,3 +93,9 @@ def test_whole_private_keys_are_masked(spark):
     got = {r.doc_id: r for r in si.mask(docs).collect()}
     assert [got[i].text for i in range(len(cases))] == [want for _, want in cases]
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_mask_leaves_lengths_of_another_type(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijkl", "many"), (2, "x", None)], "doc_id long, text string, n_chars string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in si.mask(docs).collect()}
+    assert got[2] == ("x", None) and got[1][1] == "many" and "abcdefghijkl" not in got[1][0]

@@ -1,7 +1,10 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from quiverlake.llm import virtual_slots as vs
 
 from .common import documents, nothing
@@ -42,12 +45,30 @@ def test_query(spark, tmp_path):
     for shard in range(40):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
-    assert len({(r.doc_id, r.vslot) for r in got}) == len({r.doc_id for r in got})
+    unique = [i for i, n in Counter(r.doc_id for r in got).items() if n == 1]
+    assert len({r.vslot for r in got if r.doc_id in unique}) > 1 and all(r.vslot == vslot(r.doc_id) for r in got if r.doc_id in unique)
     (tmp_path / "none").mkdir()
     nothing(spark).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert vs.op4_virtual_slots(spark, str(tmp_path / "none")).count() == 0
 
 
+def vslot(doc_id):
+    return int(hashlib.md5(str(doc_id).encode()).hexdigest()[:8], 16) % 8192
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_one_id_in_most_rows(spark, tmp_path, hot):
+    rows = [(hot, "t" * 1000)] * 2000 + [(100 + i, "u" * 1000) for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = vs.op4_virtual_slots(spark, str(tmp_path)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == 2500 and len(size) == 40 and max(size.values()) - min(size.values()) <= 4 * 1016
+    for shard in range(40):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_versions_are_kept(spark, tmp_path):
     sizes = [(1, 2, 30), (2, 1, 10)]
     vs.store_map(spark, f"file://{tmp_path}/m", 1, {1: 0, 2: 1}, sizes)
