@@ -14,7 +14,7 @@ from quiverlake.llm.decontaminate import keep_clean
 from quiverlake.llm.host_rules import keep_good
 from quiverlake.llm.ngram_join import keep_one
 from quiverlake.llm.secret_index import mask
-from quiverlake.llm.shared import materialise, run_folder, small_batches
+from quiverlake.llm.shared import drop_folder, materialise, run_folder, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. A stage's table is dropped when the next one's is written; the last is read by the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), run_folder(spark, f"pipeline_{name.replace(' ', '_')}"))
+        path = run_folder(spark, f"pipeline_{name.replace(' ', '_')}")
+        docs = materialise(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
