@@ -23,7 +23,7 @@ from quiverlake.operators import starts
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
 from quiverlake.plans.oracles import BLOB_CASES, CONFIG_CASES
-from quiverlake.sources import blob, raw
+from quiverlake.sources import blob, manifest, raw
 from quiverlake.sources.tables import shared_folder, table
 
 NPROBE, K = 2, 10
@@ -281,6 +281,17 @@ def semantic_write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.load(spark, path)
 
 
+def versioned_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same change as a second version of the index: both versions, each read from its own snapshot."""
+    x = Index(spark, sf_dir)
+    path = shared_folder(spark, "versions")
+    first = manifest.save(x.lists, path)
+    fresh = x.lists.where("cluster_id = 2 AND vector_id % 2 = 0").withColumn("vector_id", (F.col("vector_id") / 2).cast("long"))
+    second = manifest.overwrite_clusters(fresh, path)
+    each = [manifest.load(spark, path, x.lists.schema, v).withColumn("version", F.lit(v.number)) for v in (first, second)]
+    return each[0].unionByName(each[1])
+
+
 def cluster_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of each cluster by the stored index's file blocks."""
     x = Index(spark, sf_dir)
@@ -418,7 +429,7 @@ QUERIES = {
     "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
     "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
     "kmeans_step": kmeans_step, "kmeans_starts": kmeans_starts, "pq_train_step": pq_train_step,
-    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "cluster_extents": cluster_extents,
+    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "versioned_overwrite": versioned_overwrite, "cluster_extents": cluster_extents,
     "raw_vectors": raw_vectors, "raw_codes": raw_codes, "golden_topk_records": golden_topk_records,
     "golden_compare": golden_compare, "metric_divergence": metric_divergence,
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,

@@ -228,6 +228,7 @@ ORACLES |= {
     "golden_topk_records": _with(INDEX + scanned("l2", 4) + f"hits AS ({gathered()}),",
         "SELECT dense_rank() OVER (ORDER BY qid) - 1 AS query, rank, global_id AS vector_id, distance FROM hits"),
     "semantic_write_overwrite": _with(INDEX, "SELECT cluster_id, CASE WHEN cluster_id = 2 THEN vector_id // 2 ELSE vector_id END AS vector_id, global_id, codes FROM lists WHERE cluster_id <> 2 OR vector_id % 2 = 0"),
+    "versioned_overwrite": _with(INDEX, "SELECT 1 AS version, cluster_id, vector_id, global_id, codes FROM lists UNION ALL SELECT 2, cluster_id, CASE WHEN cluster_id = 2 THEN vector_id // 2 ELSE vector_id END, global_id, codes FROM lists WHERE cluster_id <> 2 OR vector_id % 2 = 0"),
     "cluster_extents": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors, true AS on_disk FROM assigned GROUP BY cluster_id"),
     "golden_compare": _with(INDEX + luts("l2") + "decoded AS (SELECT vec_id, flatten(list(c ORDER BY w.m)) AS v FROM (SELECT vec_id, m::INT AS m, codes[m + 1] AS k FROM coded, range(8) t(m)) s JOIN words w ON s.m = w.m AND s.k = w.k GROUP BY vec_id),"
         + f"gaps AS (SELECT q.qid, d.vec_id AS global_id, abs({ADC} - {l2('qvec', 'v')}) AS gap FROM queries q JOIN tables USING (qid), decoded d JOIN coded USING (vec_id)),",
