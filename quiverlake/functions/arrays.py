@@ -37,6 +37,15 @@ def distances(metric: str, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     return -total if metric == IP else total
 
 
+def pairwise(rows: np.ndarray, i: np.ndarray, words: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared L2 of row i[n] to word j[n] for each n."""
+    total = np.zeros(len(i), np.float32)
+    for d in range(words.shape[1]):
+        gap = rows[i, d] - words[j, d]
+        total += gap * gap
+    return total
+
+
 def nearest(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Index of the nearest word of each row by L2, the lowest one of ties."""
     step = max(1, CELLS // max(len(words), 1))

@@ -9,14 +9,15 @@ holds sizes and the smallest and largest reach. A search has two rounds:
    of the best k-th is its threshold.
 2. A vector v of a cluster c is at least |d(q, c) - reach(v)| away from q, and at least
    d(q, code(v)) - gap(v). Clusters whose smallest bound is above the threshold aren't read
-   at all (the plan's partition filter names the others). Of those that are, only codes are
-   read, and true distances are made for the vectors that neither bound excludes.
+   at all (the plan's partition filter names the others). Of those that are, true distances
+   are made for the vectors that neither bound excludes, and what lies within the threshold
+   leaves the task: some k rows for each query, never the pairs that were compared.
 
 Distances are squared L2 in float32; bounds are made in float64 and widened by the rounding
 of a float32 sum, so no neighbour and no tie is lost: hits are those of the exhaustive
 search, whatever the quantizer; a better one only leaves fewer candidates. Queries go in
 blocks of bounded size; what a block broadcasts is its vectors and, for each cluster, the
-numbers of the queries that scan it.
+numbers of the queries that scan it. A block's clusters are read once for all its queries.
 
 Defined results: vectors and queries that are null, have null elements or are too short are
 left out; longer ones are cut; fewer than k vectors give fewer hits; ties go to lower ids.
@@ -167,35 +168,57 @@ def _steps(who: np.ndarray, rows: int) -> Iterator[np.ndarray]:
         yield who[lo : lo + step]
 
 
-def _candidates(spark: SparkSession, at: Store, asked: tuple) -> DataFrame:
-    """Second round: (qid, cluster_id, global_id) of the vectors that no bound excludes. Reads codes, not vectors."""
+def _closer(spark: SparkSession, at: Store, asked: tuple, k: int) -> DataFrame:
+    """Second round, HITS: what lies within the thresholds, the best k of each batch of rows. Only vectors that no bound excludes are scored."""
     ids, rows, limits, wanted = asked
     clusters = np.flatnonzero(wanted.any(axis=0)).tolist()
     shared = spark.sparkContext.broadcast((np.array(ids, np.int64), rows, limits, {c: np.flatnonzero(wanted[:, c]) for c in clusters}, at.centroids, at.codebook))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, limits, scans, words, book = shared.value
-        near = np.sqrt(limits / (1 - slack(words.shape[1]))) + TINY  # by true distance
-        width = book.shape[0] * book.shape[2]
-        queries = queries.astype(np.float64)
+        dim, wide = words.shape[1], book.shape[0] * book.shape[2]
+        near = np.sqrt(limits / (1 - slack(dim))) + TINY  # by true distance
+        exact = queries.astype(np.float64)
         for batch in batches:
-            cluster, reach, gap, out = batch.column(4).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), []
-            stood = P.decoded(P.unpack(P.matrix(batch.column(3)), *book.shape[:2]), book)
+            vec_id, reach, gap, cluster = (batch.column(i).to_numpy() for i in (0, 1, 2, 5))
+            vectors = np.asfortranarray(A.matrix(batch.column(4), dim))
+            stood, out = P.decoded(P.unpack(P.matrix(batch.column(3)), *book.shape[:2]), book), []
             for c in np.unique(cluster).tolist():
                 here = np.flatnonzero(cluster == c)
                 for who in _steps(scans[c], len(here)):
-                    far = lengths(queries[who], words[c : c + 1])[:, 0]
+                    far = lengths(exact[who], words[c : c + 1])[:, 0]
                     ring = np.abs(reach[here, None] - far[None, :]) <= near[who]
                     some = np.flatnonzero(ring.any(axis=1))
-                    mine, theirs = stood[here[some]], queries[who, :width]
+                    mine, theirs = stood[here[some]], exact[who, :wide]
                     square = np.square(mine).sum(axis=1)[:, None] + np.square(theirs).sum(axis=1)[None, :] - 2 * (mine @ theirs.T)
                     to_code = np.sqrt(np.maximum(square, 0)) - TINY * (1 + np.abs(mine).max(initial=0) + np.abs(theirs).max(initial=0))
-                    v, j = np.nonzero(ring[some] & (to_code - gap[here[some], None] <= near[who]))
-                    out.append((ids[who[j]], np.full(len(v), c, np.int32), batch.column(0).to_numpy()[here[some[v]]]))
+                    j, v = np.nonzero((ring[some] & (to_code - gap[here[some], None] <= near[who])).T)
+                    v, q = here[some[v]], who[j]
+                    distance = A.pairwise(vectors, v, queries, q)
+                    good = distance <= limits[q]  # what is farther can't be among the best
+                    scored = np.bincount(j, minlength=len(who))
+                    order = np.lexsort((vec_id[v], distance, q))
+                    order = order[good[order]]
+                    order = order[_first(q[order], k)]
+                    # the count of scored vectors rides on the query's first hit, or on a row without one
+                    bare = np.flatnonzero((scored > 0) & ~np.isin(who, q[order]))
+                    number = np.where(_first(q[order], 1), scored[np.searchsorted(who, q[order])], 0)
+                    n = len(bare)
+                    out.append((
+                        np.concatenate([ids[q[order]], ids[who[bare]]]), np.full(len(order) + n, c, np.int32), np.concatenate([vec_id[v[order]], np.full(n, -1)]),
+                        np.concatenate([distance[order], np.full(n, np.inf, np.float32)]), np.concatenate([number, scored[bare]])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "cluster_id", "global_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "cluster_id", "vector_id", "distance", "scored"])
+
+    return at.rows(spark, clusters).select("global_id", "reach", "gap", "code", "vector", "cluster_id").mapInArrow(score, HITS)
+
 
-    return at.rows(spark, clusters).select("global_id", "reach", "gap", "code", "cluster_id").mapInArrow(bound, "qid bigint, cluster_id int, global_id bigint")
+def _first(key: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first k of their run of equal keys."""
+    begins = np.ones(len(key), bool)
+    begins[1:] = key[1:] != key[:-1]
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+    return np.arange(len(key)) - start < k
 
 
 def scans(queries: DataFrame, at: Store, k: int) -> tuple[DataFrame, DataFrame]:
@@ -216,14 +239,11 @@ def scans(queries: DataFrame, at: Store, k: int) -> tuple[DataFrame, DataFrame]:
         work.append(found.groupBy("qid", "cluster_id").agg(F.sum("scored").alias("scored")).select("qid", F.lit(FIRST).alias("round"), "cluster_id", "scored"))
         best = S.ranked(found, k, "qid").groupBy("qid").agg(F.max("distance").cast("double").alias("limit"), F.count("*").alias("_n"))
         asked = _asked(spark, at, block, k, best.where(F.col("_n") >= k).drop("_n"))
-        close = stored(_candidates(spark, at, asked))
+        closer = stored(_closer(spark, at, asked, k))
+        hits.append(closer.where(F.col("distance") < float("inf")).select("qid", "vector_id", "distance"))
         read = spark.createDataFrame([(q, c) for q, row in zip(asked[0], asked[3], strict=True) for c in np.flatnonzero(row).tolist()], "qid bigint, cluster_id int")
-        counted = read.join(close.groupBy("qid", "cluster_id").agg(F.count("*").alias("scored")), ["qid", "cluster_id"], "left").fillna(0)
+        counted = read.join(closer.groupBy("qid", "cluster_id").agg(F.sum("scored").alias("scored")), ["qid", "cluster_id"], "left").fillna(0)
         work.append(counted.select("qid", F.lit(MORE).alias("round"), "cluster_id", "scored"))
-        vectors = at.rows(spark, np.flatnonzero(asked[3].any(axis=0)).tolist()).select("cluster_id", "global_id", "vector")
-        both = close.join(vectors, ["cluster_id", "global_id"]).join(F.broadcast(block), "qid")  # one block of queries
-        distance = V.l2(F.slice("qvec", 1, at.dim), F.col("vector"))
-        hits.append(both.select("qid", F.col("global_id").alias("vector_id"), distance.alias("distance")))
     return S.union(hits), S.union(work)
 
 
