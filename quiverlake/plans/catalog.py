@@ -241,8 +241,7 @@ def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
     path = shared_folder(spark, "objects")
-    blob.write_objects(blob.objects(x.lists, x.q.codebook), path)
-    blob.register(spark)
+    blob.write_lists(x.lists, x.q.codebook, path)
     return spark.read.format("ivfpq_blob").load(path)
 
 

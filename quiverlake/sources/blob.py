@@ -6,29 +6,44 @@ are allowed. Sizes are checked in whole numbers that can't overflow, and codes h
 below ksub.
 
 The data source "ivfpq_blob" reads a folder of such objects, named cluster_<id>.bin, as
-rows (cluster_id, vector_id, codes): one partition for each object, and only the objects
-that a filter on cluster_id asks for.
+rows (cluster_id, vector_id, codes). An object is read in ranges of bytes by as many tasks
+as it takes; a task reads the header and then the codes that begin in its range. Filters on
+cluster_id choose objects, filters on vector_id the codes that are read.
+
+Written objects may have parts: cluster_<id>.bin holds the header, with the number of all
+vectors, the codebook and the first codes, and cluster_<id>.<first>.codes further codes from
+vector <first> on. Put together in the order of their names they are a plain object. Writing
+(rows cluster_id, vector_id, codes and n_vectors, sorted; option "codebook") streams codes
+to files of the job, and committing gives them their names once all of them fit together. No task
+holds a cluster. Appending replaces the clusters that are written; overwriting all.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
-from quiverlake.sources.tables import file_system
+from quiverlake.sources.tables import file_system, partitions_for
 
 # Fixed values of the format.
 MAGIC, VERSION, HEADER = 0x43505100, 1, struct.Struct("<7I")
 EINVAL = -22
+PIECE_BYTES = 16 << 20  # of an object in one task
+BATCH_BYTES = 1 << 20
 
 
 def size_of(n_sub: int, ksub: int, dsub: int, number):
@@ -69,7 +84,7 @@ def status(blob: Column) -> Column:
 
 
 def objects(lists: DataFrame, codebook: list[list[list[float]]]) -> DataFrame:
-    """(cluster_id, content): one object for each cluster. An object is a cluster, so a task holds one at a time."""
+    """(cluster_id, content): one object for each cluster, as a column. An object is a cluster, so a task holds one at a time; write_lists() doesn't."""
     words = np.array(codebook, np.float32)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,68 +124,195 @@ def coded_vectors(blobs: DataFrame) -> DataFrame:
 ROWS = "cluster_id int, vector_id bigint, codes array<int>"
 
 
-def _rows(cluster: int, codes: np.ndarray) -> pa.RecordBatch:
+def _rows(cluster: int, codes: np.ndarray, first: int = 0) -> pa.RecordBatch:
     n, m = codes.shape
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(codes.reshape(-1).astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, cluster, np.int32)), pa.array(np.arange(n, dtype=np.int64)), lists], names=["cluster_id", "vector_id", "codes"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, cluster, np.int32)), pa.array(np.arange(first, first + n, dtype=np.int64)), lists], names=["cluster_id", "vector_id", "codes"])
 
 
-def write_objects(blobs: DataFrame, path: str) -> None:
-    """One file for each object in a folder that the cluster shares. A file gets its name once it is whole, so attempts can't mix."""
+@dataclass
+class ObjectPiece(InputPartition):
+    """Bytes from low to high of one of an object's files: the one with the header (first is None), or a part that begins with vector `first`."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = file_system(path)
-        files.create_dir(folder, recursive=True)
-        for batch in batches:
-            for cluster, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                made = f"{folder}/_{uuid.uuid4().hex}.tmp"
-                with files.open_output_stream(made) as out:
-                    out.write(content.as_buffer())
-                files.move(made, f"{folder}/cluster_{cluster}.bin")
-            yield batch.select([0])
-
-    blobs.mapInArrow(write, "cluster_id int").write.format("noop").mode("overwrite").save()
-
-
-class ObjectPartition(InputPartition):
-    def __init__(self, cluster: int, file: str):
-        self.cluster, self.file = cluster, file
+    cluster: int
+    head: str
+    file: str
+    first: int | None
+    low: int
+    high: int
+    size: int
+    parts: int | None  # bytes of all parts, or None if the object has none
 
 
 class ObjectReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.only = path, None
+    def __init__(self, path: str, piece_bytes: int = PIECE_BYTES):
+        self.path, self.piece, self.only = path, max(piece_bytes, 1), None
+        self.low, self.high, self.ids = 0, 1 << 62, None  # of vector_id
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("cluster_id",):
+            name = getattr(f, "attribute", None)
+            if isinstance(f, (EqualTo, In)) and name == ("cluster_id",):
                 asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.only = asked if self.only is None else self.only & asked
-            else:
-                yield f
-
-    def partitions(self) -> list[ObjectPartition]:
+                continue
+            if name == ("vector_id",):  # what is read narrows; Spark still tests each row
+                if isinstance(f, (EqualTo, In)):
+                    asked = {f.value} if isinstance(f, EqualTo) else {x for x in f.value if x is not None}
+                    self.low, self.high = max(self.low, min(asked, default=1 << 62)), min(self.high, max(asked, default=-1) + 1)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value + isinstance(f, LessThanOrEqual))
+            yield f
+
+    def partitions(self) -> list[ObjectPiece]:
         files, folder = file_system(self.path)
-        out = []
+        heads, parts = {}, {}
         for f in files.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)):
-            m = re.fullmatch(r"cluster_(\d+)\.bin", f.base_name)
+            m = re.fullmatch(r"cluster_(\d+)\.(?:bin|(\d+)\.codes)", f.base_name)
             if m and (self.only is None or int(m[1]) in self.only):
-                out.append(ObjectPartition(int(m[1]), f.path))
-        return sorted(out, key=lambda p: p.cluster)
-
-    def read(self, partition: ObjectPartition | None) -> Iterator[pa.RecordBatch]:
+                if m[2] is None:
+                    heads[int(m[1])] = f
+                else:
+                    parts.setdefault(int(m[1]), []).append((int(m[2]), f))
+        out = []
+        for cluster, head in sorted(heads.items()):
+            more = sorted(parts.get(cluster, []), key=lambda p: p[0])
+            total = sum(f.size for _, f in more) if more else None
+            for first, f in [(None, head), *more]:
+                for low in range(0, max(f.size, 1), self.piece):
+                    out.append(ObjectPiece(cluster, head.path, f.path, first, low, min(low + self.piece, f.size), f.size, total))
+        return out
+
+    def read(self, partition: ObjectPiece | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's way to read no partitions
             return
         files, _ = file_system(self.path)
+        with files.open_input_file(partition.head) as f:
+            header = f.read(HEADER.size)
+        magic, version, m, ksub, _, dsub, number = HEADER.unpack(header) if len(header) == HEADER.size else (0,) * 7
+        begin = size_of(m, ksub, dsub, 0) if partition.first is None else 0
+        first, size = partition.first or 0, partition.size - begin
+        whole = size >= 0 and (size + partition.parts == number * m if partition.first is None and partition.parts is not None else partition.first is not None or size >= number * m)
+        if magic != MAGIC or version != VERSION or not whole:
+            raise ValueError(f"{partition.file}: not a valid object ({EINVAL})")
+        if not m:
+            if not partition.low:
+                for lo in range(max(self.low, 0), min(self.high, number), 1 << 20):
+                    yield _rows(partition.cluster, np.zeros((min(self.high, number, lo + (1 << 20)) - lo, 0), np.uint8), lo)
+            return
+        # the codes that begin in this range, of those that are asked for
+        at, end = (max(-(-(x - begin) // m), 0) + first for x in (partition.low, partition.high))
+        at, end = max(at, self.low), min(end, self.high, number, first + size // m)
+        step = max(BATCH_BYTES // m, 1)
         with files.open_input_file(partition.file) as f:
-            found = unpack(f.read())
-        if isinstance(found, int):
-            raise ValueError(f"{partition.file}: not a valid object ({found})")
-        yield _rows(partition.cluster, found[1])
+            for lo in range(at, end, step):
+                n = min(step, end - lo)
+                f.seek(begin + (lo - first) * m)
+                codes = np.frombuffer(f.read(n * m), np.uint8)
+                if len(codes) != n * m or codes.max() >= ksub:
+                    raise ValueError(f"{partition.file}: not a valid object ({EINVAL})")
+                yield _rows(partition.cluster, codes.reshape(n, m), lo)
+
+
+@dataclass
+class Part:
+    cluster: int
+    first: int
+    number: int
+    total: int
+    file: str
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    parts: list[Part] = field(default_factory=list)
+
+
+class ObjectWriter(DataSourceArrowWriter):
+    """Tasks write the runs of vectors that they get to a folder of the job; committing checks that they fit together and names them."""
+
+    def __init__(self, path: str, codebook: bytes, shape: tuple[int, int, int], overwrite: bool):
+        self.path, self.codebook, self.shape, self.overwrite = path, codebook, shape, overwrite
+        self.job = f"_{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, folder = file_system(self.path)
+        (m, ksub, dsub), task, done, out = self.shape, TaskContext.get(), Written(), None
+        name = f"{folder}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
+        try:
+            for batch in iterator:
+                cluster, vector, total = (batch.column(x).to_numpy() for x in ("cluster_id", "vector_id", "n_vectors"))
+                codes = batch.column("codes")
+                flat = codes.flatten().to_numpy()
+                if codes.null_count or len(flat) != len(cluster) * m or (len(flat) and (flat.min() < 0 or flat.max() >= ksub)):
+                    raise ValueError(f"codes have to be {m} numbers below {ksub}")
+                flat = flat.astype(np.uint8).reshape(len(cluster), m)
+                begins = np.ones(len(cluster), bool)
+                begins[1:] = (cluster[1:] != cluster[:-1]) | (vector[1:] != vector[:-1] + 1)
+                cuts = [*np.flatnonzero(begins).tolist(), len(cluster)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    last = done.parts[-1] if done.parts else None
+                    if last is None or cluster[a] != last.cluster or vector[a] != last.first + last.number:
+                        if out is not None:
+                            out.close()
+                        files.create_dir(f"{folder}/{self.job}", recursive=True)
+                        last = Part(int(cluster[a]), int(vector[a]), 0, int(total[a]), f"{name}-{len(done.parts)}")
+                        done.parts.append(last)
+                        out = files.open_output_stream(last.file)
+                        if not last.first:
+                            out.write(HEADER.pack(MAGIC, VERSION, m, ksub, m * dsub, dsub, last.total) + self.codebook)
+                    out.write(flat[a:b].tobytes())
+                    last.number += b - a
+        finally:
+            if out is not None:
+                out.close()
+        return done
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, folder = file_system(self.path)
+        files.create_dir(folder, recursive=True)
+        parts: dict[int, list[Part]] = {}
+        for message in messages:
+            for p in message.parts if message is not None else ():
+                parts.setdefault(p.cluster, []).append(p)
+        for cluster, found in parts.items():
+            found.sort(key=lambda p: p.first)
+            ends = [p.first + p.number for p in found]
+            if [p.first for p in found] != [0, *ends[:-1]] or ends[-1] != found[0].total:
+                self._clean()
+                raise ValueError(f"cluster {cluster}: its vectors aren't numbered from 0 to {found[0].total} without gaps")
+        for f in files.get_file_info(pa.fs.FileSelector(folder)):
+            m = re.fullmatch(r"cluster_(\d+)\.(bin|\d+\.codes)", f.base_name)
+            if m and (self.overwrite or int(m[1]) in parts):
+                files.delete_file(f.path)
+        for cluster, found in parts.items():
+            for p in found:
+                files.move(p.file, f"{folder}/cluster_{cluster}." + (f"{p.first:012d}.codes" if p.first else "bin"))
+        self._clean()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        files, folder = file_system(self.path)
+        if files.get_file_info(f"{folder}/{self.job}").type == pa.fs.FileType.Directory:
+            files.delete_dir(f"{folder}/{self.job}")
+
+
+def write_lists(lists: DataFrame, codebook: list[list[list[float]]], path: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Write inverted lists (of a stored table: they are read twice) as objects, by ranges of (cluster, vector) of about equally many rows."""
+    register(lists.sparkSession)
+    words = np.array(codebook, "<f4")
+    counted = lists.join(lists.groupBy("cluster_id").agg(F.count("*").alias("n_vectors")), "cluster_id").select("cluster_id", "vector_id", "codes", "n_vectors")
+    ranged = counted.repartitionByRange(partitions or partitions_for(lists), "cluster_id", "vector_id").sortWithinPartitions("cluster_id", "vector_id")
+    options = {"codebook": base64.b64encode(words.tobytes()).decode(), "shape": ",".join(map(str, words.shape))}
+    ranged.write.format("ivfpq_blob").options(**options).mode(mode).save(path)
 
 
 class ObjectSource(DataSource):
-    """spark.read.format("ivfpq_blob").load(folder)"""
+    """spark.read.format("ivfpq_blob").load(folder) and df.write.format("ivfpq_blob")"""
 
     @classmethod
     def name(cls) -> str:
@@ -180,7 +322,11 @@ class ObjectSource(DataSource):
         return ROWS
 
     def reader(self, schema) -> DataSourceReader:
-        return ObjectReader(self.options["path"])
+        return ObjectReader(self.options["path"], int(self.options.get("piece_bytes", PIECE_BYTES)))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        m, ksub, dsub = map(int, self.options["shape"].split(","))
+        return ObjectWriter(self.options["path"], base64.b64decode(self.options["codebook"]), (m, ksub, dsub), overwrite)
 
 
 def register(spark: SparkSession) -> None:
