@@ -19,7 +19,7 @@ from quiverlake.operators import cache as C
 from quiverlake.operators import index as I
 from quiverlake.operators import kernel, packed
 from quiverlake.operators import search as S
-from quiverlake.operators import starts
+from quiverlake.operators import starts, tree
 from quiverlake.plans.engine import API_VERSION, config_columns
 from quiverlake.plans.oracles import ORACLES  # noqa: F401
 from quiverlake.plans.oracles import BLOB_CASES, CONFIG_CASES
@@ -79,6 +79,12 @@ def centroid_select(metric: str):
     return run
 
 
+def centroid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 nearest of 256 centroids (the first vectors) through a tree of them."""
+    x = Index(spark, sf_dir)
+    return tree.probes(x.queries, tree.build(I.seeds(x.vectors, 256), 16), 4).select("qid", "rank", "cluster_id", "distance")
+
+
 def adc_lut(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
@@ -422,6 +428,7 @@ QUERIES = {
     "ivfpq_search_l2": ivfpq_search(V.L2), "ivfpq_search_ip": ivfpq_search(V.IP), "kernel_search": kernel_search,
     "vector_l2_distance": vector_distance(V.L2), "vector_ip_distance": vector_distance(V.IP), "subvector_split": subvector_split,
     "centroid_distances": centroid_distances, "centroid_select_l2": centroid_select(V.L2), "centroid_select_ip": centroid_select(V.IP),
+    "centroid_tree": centroid_tree,
     "adc_lut_l2": adc_lut(V.L2), "adc_lut_ip": adc_lut(V.IP), "adc_scan_l2": adc_scan(V.L2), "adc_scan_ip": adc_scan(V.IP),
     "cluster_topk_l2": cluster_topk(V.L2), "cluster_topk_ip": cluster_topk(V.IP), "device_search": device_search, "topk_clamp": topk_clamp,
     "scatter_gather_topk": scatter_gather_topk, "semantic_read_l2": semantic_read(V.L2), "semantic_read_ip": semantic_read(V.IP),

@@ -200,6 +200,7 @@ for _m in ("l2", "ip"):
     }
 ORACLES |= {
     "kernel_search": ORACLES["ivfpq_search_l2"],
+    "centroid_tree": _with(BASE.replace("LIMIT 4)", "LIMIT 256)") + probes("l2", 4), "SELECT qid, rank, cluster_id, distance FROM probes"),
     "subvector_split": "SELECT vec_id, m::INT AS m, embedding[8 * m + 1:8 * m + 8] AS part FROM embeddings, range(8) t(m)",
     "centroid_distances": _with(BASE, f"SELECT qid, cluster_id, {l2('qvec', 'centroid')} AS l2, {ip('qvec', 'centroid')} AS ip FROM queries, centroids"),
     "scatter_gather_topk": _with(INDEX + scanned("l2") + per_cluster(), gathered(10, "(SELECT * EXCLUDE (rank) FROM per_cluster)")),
