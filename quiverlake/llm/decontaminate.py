@@ -19,8 +19,8 @@ minus item position). So:
 
 k is a share of the item's length, and small enough that one shared q-gram is asked for at
 least. Items shorter than q have to occur unchanged, between
-other characters. Benchmarks are processed in blocks of bounded size, each sent to every
-task; documents never shuffle.
+other characters. The index of the items, some ten bytes a character, is made in blocks and sent
+to every task; documents are read once, whatever the number of blocks, and never shuffle.
 
 Defined results: null and empty texts and items match nothing; items that fold to the
 same characters are found together; an item that occurs in several places of a document
@@ -98,7 +98,12 @@ def qgrams(chars: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Items:
-    """An index of the q-grams of a block of items."""
+    """An index of the q-grams of a block of items.
+
+    A q-gram takes eight bytes: the entries are in the order of its hash, of which the first bits lead through a
+    directory to a run of entries, the next 32 are in `keys`, and `place` is where it begins in `letters`, the items'
+    characters one after the other.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], q: int = Q, share: float = EDIT_SHARE):
         named: dict[bytes, list[int | None]] = {}
@@ -109,44 +114,91 @@ class Items:
             c = c[:-1] if len(c) and c[-1] == SPACE else c
             if len(c):
                 named.setdefault(c.tobytes(), []).append(item_id)
-        self.q = q
-        self.chars = [np.frombuffer(k, np.uint32) for k in named]
-        self.ids = list(named.values())
-        self.lengths = np.array([len(c) for c in self.chars], np.int64)
+        del chars
+        self.q, self.ids = q, list(named.values())
+        self.lengths = np.array([len(k) // 4 for k in named], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        letters = np.frombuffer(b"".join(named), np.uint32)
+        named.clear()
+        self.letters = letters.astype(np.uint16) if letters.max(initial=0) < 1 << 16 else letters
         self.edits = np.clip(np.floor(self.lengths * share).astype(np.int64), 0, np.maximum((self.lengths - q) // q, 0))
         self.least = self.lengths - q + 1 - self.edits * q
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: hashes of the items between spaces, ascending, and the items
         for n in sorted(set(self.lengths[self.lengths < q].tolist())):
-            items = np.flatnonzero(self.lengths == n)
-            hashes = np.array([qgrams(self._between(i), n + 2)[0] for i in items.tolist()], np.uint64)
+            short = np.flatnonzero(self.lengths == n)
+            hashes = np.array([qgrams(self._between(i), n + 2)[0] for i in short.tolist()], np.uint64)
             order = np.argsort(hashes, kind="stable")
-            self.short[n] = hashes[order], items[order]
-        long = [i for i in range(len(self.chars)) if self.lengths[i] >= q]
-        grams = [qgrams(self.chars[i], q) for i in long]
-        keys = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        item = np.repeat(np.array(long, np.int32), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.empty(0, np.int32)
-        order = np.lexsort((place, item, keys))
-        keys, item, place = keys[order], item[order], place[order]
+            self.short[n] = hashes[order], short[order]
+        long = np.flatnonzero(self.lengths >= q)
+        grams = qgrams(letters, q)
+        inside = np.zeros(len(grams) + 1, np.int32)  # q-grams that don't reach into the next item
+        np.add.at(inside, self.starts[long], 1)
+        np.add.at(inside, self.starts[long] + self.lengths[long] - q + 1, -1)
+        place = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int32)).astype(np.int32)
+        grams = grams[place]
+        order = np.argsort(grams, kind="stable")
+        grams, place = grams[order], place[order]
+        del order, inside
         # An entry is a q-gram with one of its places in an item, or with all of them if they are many: then from the first to the last.
-        group = np.ones(len(keys), bool)
-        group[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
+        group = np.ones(len(grams), bool)
+        item = (np.searchsorted(self.starts, place, side="right") - 1).astype(np.int32)
+        group[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
         first = np.flatnonzero(group)
-        many = np.diff(np.append(first, len(keys))) > MANY_PLACES
-        keep = ~many[np.cumsum(group) - 1] | group if len(keys) else group
-        last = np.arange(len(keys))
-        last[first[many]] = np.append(first[1:], len(keys))[many] - 1
-        self.item, self.low, self.high = item[keep], place[keep], place[last[keep]]
-        self.keys, self.first, self.number = np.unique(keys[keep], return_index=True, return_counts=True)
-        bands = (self.high - self.low) // (self.edits[self.item] + 1) + 3 if len(keys) else np.empty(0, np.int64)
-        self.work = np.add.reduceat(bands, self.first) if len(keys) else bands  # bands that a hit of the q-gram touches, at most
-        self.maybe = np.zeros(1 << _TABLE_BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
-        self.reach = int((self.lengths + self.edits)[long].max()) if long else 0
-        self.fewest = int(min((self.least[i] for i in long), default=1))
+        size = np.diff(np.append(first, len(grams)))
+        many = size > MANY_PLACES
+        keep = group.copy()
+        for a, b in zip(first[~many & (size > 1)].tolist(), (first + size)[~many & (size > 1)].tolist(), strict=True):
+            keep[a:b] = True
+        kept = np.flatnonzero(keep)
+        self.wide = np.searchsorted(kept, first[many])  # entries from a first to a last place, their last places, and how many more bands they touch in all
+        self.wide_last = place[first[many] + size[many] - 1]
+        grams, place = grams[kept], place[kept]
+        more = (self.wide_last - place[self.wide]) // (self.edits[item[kept[self.wide]]] + 1) if len(self.wide) else np.empty(0, np.int64)
+        self.wide_more = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])
+        self.bits = min(max(len(grams).bit_length() + 5, 8), _TABLE_BITS)
+        self.directory = np.searchsorted(grams, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.directory = np.append(self.directory, np.int32(len(grams)))
+        self.keys, self.place = self._keys(grams), place
+        self.reach = int((self.lengths + self.edits)[long].max()) if len(long) else 0
+        self.fewest = int(self.least[long].min()) if len(long) else 1
+
+    @property
+    def chars(self) -> list[np.ndarray]:
+        return [self.text_of(i) for i in range(len(self.lengths))]
+
+    def text_of(self, item: int) -> np.ndarray:
+        return self.letters[self.starts[item] : self.starts[item + 1]].astype(np.uint32)
 
     def _between(self, item: int) -> np.ndarray:
-        return np.concatenate([[SPACE], self.chars[item], [SPACE]]).astype(np.uint32)
+        return np.concatenate([[SPACE], self.text_of(item), [SPACE]]).astype(np.uint32)
+
+    def _keys(self, grams: np.ndarray) -> np.ndarray:
+        """The 32 bits of a hash that follow those of the directory."""
+        return (grams >> np.uint64(32 - self.bits)).astype(np.uint32)
+
+    def _entries(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the q-grams are in the index, the first of each one's entries, and the one behind its last."""
+        bucket = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+        low, high = self.directory[bucket], self.directory[bucket + 1]
+        hits = np.flatnonzero(high > low)
+        low, high, key = low[hits].astype(np.int64), high[hits].astype(np.int64), self._keys(grams[hits])
+        first = self._bisect(key, low, high, False)
+        good = first < high
+        good[good] = self.keys[first[good]] == key[good]
+        hits, first = hits[good], first[good]
+        return hits, first, self._bisect(key[good], first, high[good], True)
+
+    def _bisect(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, behind: bool) -> np.ndarray:
+        """In each run of entries the first whose key isn't smaller, or is larger."""
+        low, high = low.copy(), high.copy()
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) >> 1
+            found = self.keys[middle]
+            up = found <= key[todo] if behind else found < key[todo]
+            low[todo[up]], high[todo[~up]] = middle[up] + 1, middle[~up]
+            todo = todo[low[todo] < high[todo]]
+        return low
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits), the best place of each item in each row; positions are code points of the text."""
@@ -164,23 +216,21 @@ class Items:
     def _bands(self, chars: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, first diagonal, last diagonal) of the regions of bands that meet the item's bound, diagonals counted over the whole block."""
         grams = qgrams(chars, self.q)
-        hits = np.flatnonzero(self.maybe[grams >> np.uint64(64 - _TABLE_BITS)])
-        at = np.minimum(np.searchsorted(self.keys, grams[hits]), len(self.keys) - 1)
-        good = self.keys[at] == grams[hits]
-        hits, at = hits[good], at[good]
+        hits, first, behind = self._entries(grams)
         # A hit matters if enough others are within reach, before and after it together.
         before = np.arange(len(hits)) - np.searchsorted(hits, hits - self.reach)
         after = np.searchsorted(hits, hits + self.reach, side="right") - np.arange(len(hits))
         good = before + after >= self.fewest
-        hits, at = hits[good], at[good]
+        hits, first, behind = hits[good], first[good], behind[good]
         if not len(hits):
             return []
         # Bands are counted slice by slice; those that no later hit can touch are decided, the others go on to the next.
-        total = np.cumsum(self.work[at])
+        wide = self.wide_more[np.searchsorted(self.wide, behind)] - self.wide_more[np.searchsorted(self.wide, first)] if len(self.wide) else 0
+        total = np.cumsum(3 * (behind - first) + wide)  # bands that the hits touch, at most
         open_, out, lo = (np.empty(0, np.int64),) * 4, [], 0
         while lo < len(hits):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE_BANDS, side="right")))
-            row, item, band, count = _summed(*(np.concatenate(x) for x in zip(open_, self._touched(hits[lo:hi], at[lo:hi], bounds), strict=True)))
+            row, item, band, count = _summed(*(np.concatenate(x) for x in zip(open_, self._touched(hits[lo:hi], first[lo:hi], behind[lo:hi], bounds), strict=True)))
             done = np.ones(len(row), bool)
             if hi < len(hits):  # a band (item, b) ends with diagonal (b + 2) * stride - 1
                 done = (band + 2) * (self.edits[item] + 1) - self.reach <= hits[hi] - self.lengths[item]
@@ -196,18 +246,24 @@ class Items:
         begins[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)
         nth = np.arange(len(row)) - np.maximum.accumulate(np.where(begins, np.arange(len(row)), 0))
         begins |= nth % np.maximum(CELLS // (4 * (self.edits[item] + 1)), 1) == 0
-        first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(row))[: len(first)] - 1
-        stride, low, high = self.edits[item[first]] + 1, band[first], band[last] + 2
-        return list(zip(row[first].tolist(), item[first].tolist(), (low * stride - self.reach).tolist(), (high * stride - 1 - self.reach).tolist(), strict=True))
+        begin = np.flatnonzero(begins)
+        last = np.append(begin[1:], len(row))[: len(begin)] - 1
+        stride, low, high = self.edits[item[begin]] + 1, band[begin], band[last] + 2
+        return list(zip(row[begin].tolist(), item[begin].tolist(), (low * stride - self.reach).tolist(), (high * stride - 1 - self.reach).tolist(), strict=True))
 
-    def _touched(self, hits: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _touched(self, hits: np.ndarray, first: np.ndarray, behind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, item, band, 1) for each band that one of the hits touches; band b of an item holds its diagonals from b to b + 2 strides."""
-        number = self.number[at]
-        entry = np.repeat(self.first[at] - np.cumsum(number) + number, number) + np.arange(number.sum())
-        place, item = np.repeat(hits, number), self.item[entry].astype(np.int64)
+        number = behind - first
+        entry = np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
+        place, low = np.repeat(hits, number), self.place[entry].astype(np.int64)
+        high = low
+        if len(self.wide):
+            at = np.minimum(np.searchsorted(self.wide, entry), len(self.wide) - 1)
+            high = np.where(self.wide[at] == entry, self.wide_last[at], low)
+        item = np.searchsorted(self.starts, low, side="right") - 1
+        low, high = low - self.starts[item], high - self.starts[item]
         stride = self.edits[item] + 1
-        first, last = (place - self.high[entry] + self.reach) // stride - 1, (place - self.low[entry] + self.reach) // stride
+        first, last = (place - high + self.reach) // stride - 1, (place - low + self.reach) // stride
         width = last - first + 1
         band = np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())
         row = np.searchsorted(bounds, place, side="right") - 1
@@ -237,7 +293,7 @@ class Items:
         for n, (row, item, first, last) in enumerate(regions):
             m, k = int(self.lengths[item]), int(self.edits[item])
             low, high = max(bounds[row], first - k), min(bounds[row + 1] - 1, last + k + m)  # an alignment leaves the band by k at most
-            at = _search(chars[low:high], self.chars[item])
+            at = _search(chars[low:high], self.text_of(item))
             if at >= 0:
                 out[n] = (0, low + at, low + at + m)
             elif k and last + k >= low:  # else it lies before the row
@@ -246,7 +302,7 @@ class Items:
         while todo:
             size = max(1, min(256, CELLS // (todo[-1][3] + 1)))  # the widest first
             part, todo = todo[-size:], todo[:-size]
-            items = [self.chars[regions[n][1]] for n, *_ in part]
+            items = [self.text_of(regions[n][1]) for n, *_ in part]
             most = [int(self.edits[regions[n][1]]) for n, *_ in part]
             texts = [chars[a:b] for _, a, b, *_ in part]
             edits, ends = banded(items, texts, [last for *_, last, _ in part], True, most)
@@ -335,39 +391,32 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, end and edits of every item in every document."""
-    spark = docs.sparkSession
-    kind = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int"
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for index in item_blocks(items):
-        shared = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch, text in blocks(batches, "text"):
-                ids = batch.column(0).to_pylist()
-                found = [(ids[row], item_id, a, b, n) for row, item, a, b, n in index.find(text.to_pylist()) for item_id in index.ids[item]]
+    shared = [docs.sparkSession.sparkContext.broadcast(index) for index in item_blocks(items)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in blocks(batches, "text"):
+            ids, texts = batch.column(0).to_pylist(), text.to_pylist()
+            for index in (x.value for x in shared):
+                found = [(ids[row], item_id, a, b, n) for row, item, a, b, n in index.find(texts) for item_id in index.ids[item]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [[]] * 5, fields, strict=True)], schema=fields)
 
-        part = rows.mapInArrow(search, kind)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], kind) if out is None else out
+    return rows.mapInArrow(search, "doc_id bigint, item_id bigint, start bigint, end bigint, edits int")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents in which no item occurs, with all their columns."""
-    for index in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = [docs.sparkSession.sparkContext.broadcast(index) for index in item_blocks(items)]
 
-        def passing(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, text in blocks(batches, text_col):
-                clean = np.ones(batch.num_rows, bool)
-                clean[np.array([row for row, *_ in shared.value.find(text.to_pylist())], np.int64)] = False
-                yield batch.filter(pa.array(clean))
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in blocks(batches, text_col):
+            clean, texts = np.ones(batch.num_rows, bool), text.to_pylist()
+            for index in (x.value for x in shared):
+                clean[np.array([row for row, *_ in index.find(texts)], np.int64)] = False
+            yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(passing, docs.schema)
-    return docs
+    return docs.mapInArrow(passing, docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
