@@ -297,6 +297,21 @@ def versioned_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
+def appended_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built of three appended parts, by thirds of the ids, the first two folded into one: the rows of a rebuilt one."""
+    x = Index(spark, sf_dir)
+    path, codes = shared_folder(spark, "appended"), I.coded(x.vectors, x.q)
+    low, high = x.vectors.agg(F.min("vec_id"), F.max("vec_id")).first()
+    cuts = [low or 0, *((low or 0) + ((high or 0) - (low or 0)) * k // 3 for k in (1, 2)), (high or 0) + 1]
+    for k in range(3):
+        part = codes.where((F.col("global_id") >= cuts[k]) & (F.col("global_id") < cuts[k + 1]))
+        fresh = I.number_within(part, "cluster_id", "global_id", "vector_id").select("cluster_id", "vector_id", "global_id", "codes")
+        manifest.append(fresh, path)
+        if k == 1:
+            manifest.compact(spark, path, fresh.schema)
+    return manifest.load(spark, path, fresh.schema)
+
+
 def cluster_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of each cluster by the stored index's file blocks."""
     x = Index(spark, sf_dir)
@@ -435,7 +450,7 @@ QUERIES = {
     "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
     "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
     "kmeans_step": kmeans_step, "kmeans_starts": kmeans_starts, "pq_train_step": pq_train_step,
-    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "versioned_overwrite": versioned_overwrite, "cluster_extents": cluster_extents,
+    "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "versioned_overwrite": versioned_overwrite, "appended_lists": appended_lists, "cluster_extents": cluster_extents,
     "raw_vectors": raw_vectors, "raw_codes": raw_codes, "golden_topk_records": golden_topk_records,
     "golden_compare": golden_compare, "metric_divergence": metric_divergence,
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,

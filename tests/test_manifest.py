@@ -89,3 +89,57 @@ def test_only_named_clusters_are_read(spark, tmp_path):
     M.overwrite_clusters(rows(spark, [2], 2), path)
     plan = M.load(spark, path, SCHEMA).where("cluster_id = 2")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [") >= 1 and "cluster_id" in plan.split("PartitionFilters: [")[1]
+
+
+def positions(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.cluster_id, []).append((r.vector_id, r.codes[0]))
+    return {c: sorted(x) for c, x in out.items()}
+
+
+def test_appended_lists_follow_each_other(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    M.append(rows(spark, [0, 1], 1, 3), path)
+    M.append(rows(spark, [1, 2], 2, 2), path)
+    first = M.snapshot(spark, path)
+    M.append(rows(spark, [1], 3, 4), path)
+    want = {0: [(k, 1) for k in range(3)], 1: [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), *((5 + k, 3) for k in range(4))], 2: [(0, 2), (1, 2)]}
+    assert positions(M.load(spark, path, SCHEMA)) == want and M.snapshot(spark, path).sizes() == {0: 3, 1: 9, 2: 2}
+    assert first.sizes() == {0: 3, 1: 5, 2: 2} and positions(M.load(spark, path, SCHEMA, first))[1] == want[1][:5]
+    folded = M.compact(spark, path, SCHEMA)
+    assert [len(p) for _, p in sorted(folded.clusters.items())] == [1, 1, 1] and positions(M.load(spark, path, SCHEMA)) == want
+    assert M.compact(spark, path, SCHEMA) == folded
+    M.vacuum(spark, path)
+    assert positions(M.load(spark, path, SCHEMA)) == want
+
+
+def test_compaction_beside_writers(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    for mark in (1, 2):
+        M.append(rows(spark, [0, 1, 2], mark, 2), path)
+    stored, others = M._store, [lambda: M.append(rows(spark, [0], 3, 1), path), lambda: M.overwrite_clusters(rows(spark, [1], 4, 1), path)]
+
+    def late(*args):  # others commit between the folding's files and its version
+        out = stored(*args)
+        monkeypatch.setattr(M, "_store", stored)
+        for write in others:
+            write()
+        return out
+
+    monkeypatch.setattr(M, "_store", late)
+    after = M.compact(spark, path, SCHEMA)
+    assert {c: len(p) for c, p in after.clusters.items()} == {0: 2, 1: 1, 2: 1}
+    assert positions(M.load(spark, path, SCHEMA)) == {0: [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)], 1: [(0, 4)], 2: [(0, 1), (1, 1), (2, 2), (3, 2)]}
+
+
+def test_appending_writers_compete(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    writers = [threading.Thread(target=lambda mark=mark: M.append(rows(spark, [0, mark], mark, 3), path)) for mark in range(1, 6)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    got = positions(M.load(spark, path, SCHEMA))
+    assert [v for v, _ in got[0]] == list(range(15)) and sorted(m for _, m in got[0]) == sorted([1, 2, 3, 4, 5] * 3)
+    assert all(got[mark] == [(k, mark) for k in range(3)] for mark in range(1, 6))
