@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -26,6 +27,7 @@ from quiverlake.functions import arrays as A
 from quiverlake.functions import vector as V
 from quiverlake.functions.arrays import matrix
 from quiverlake.operators.index import Quantizer
+from quiverlake.sources.tables import shared_folder
 
 MOST_RESULTS = 500
 TABLE_BYTES = 64 << 20
@@ -148,6 +150,40 @@ def search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L
     return gather(scorer(queries, lists, q, metric, nprobe, k), k)
 
 
+def counted_search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L2, nprobe: int = 1, k: int = 10) -> tuple[DataFrame, dict[str, int]]:
+    """search(), run once and stored, and what it did: queries, probes (pairs of a query and a cluster), vectors scored, bytes of their codes (one for each sub-quantizer) and hits.
+
+    The counters are observed on the search's own plan while it runs, not counted apart.
+    """
+    spark, watched = queries.sparkSession, []
+
+    def observed(rows: DataFrame, *counters: Column) -> DataFrame:
+        watched.append(Observation())
+        return rows.observe(watched[-1], *counters)
+
+    def part(block: DataFrame) -> DataFrame:
+        asked = observed(probes(block, q, metric, nprobe).select("qid", "qvec", "cluster_id", "rank"), F.count("*").alias("probes"), F.count_if(F.col("rank") == 1).alias("queries"))
+        requests = with_tables(asked.drop("rank"), q, metric).drop("qvec")
+        joined = lists.join(F.broadcast(requests), "cluster_id")  # as in scan(), with what it reads
+        seen = observed(joined, F.count("*").alias("vectors"), F.sum(F.size("codes").cast("long")).alias("code_bytes"))
+        scores = seen.withColumn("distance", V.adc(F.col("lut"), F.col("codes"), q.n_sub)).drop("lut", "codes")
+        return ranked(scores, k, "qid", "cluster_id").select("qid", "cluster_id", "rank", "vector_id", "global_id", "distance")
+
+    found = observed(gather(union(part(b) for b in in_blocks(queries, nprobe * q.n_sub * q.ksub * 4)), k), F.count("*").alias("hits"))
+    path = shared_folder(spark, "counted")
+    found.write.parquet(path)
+    counters: dict[str, int] = {}
+    names = ("queries", "probes"), ("vectors", "code_bytes")
+    for k, watch in enumerate(watched):
+        try:
+            seen = watch.get
+        except Py4JJavaError:  # Spark drops the node from a plan that it finds to be empty while it runs
+            seen = {}
+        for name in names[k % 2] if k < len(watched) - 1 else ("hits",):
+            counters[name] = counters.get(name, 0) + (seen.get(name) or 0)
+    return spark.read.schema(found.schema).parquet(path), counters
+
+
 def exhaustive(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str, k: int) -> DataFrame:
     """The best k of all clusters."""
     return search(queries, lists, q, metric, len(q.centroids), k)

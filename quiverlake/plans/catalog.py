@@ -354,6 +354,17 @@ def refined_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recall(found, S.exact_topk(x.queries, x.vectors, V.L2, K, x.q.dim))
 
 
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ivfpq_search does, by metric."""
+    x = Index(spark, sf_dir)
+    stored, names = x.stored(spark), ("queries", "probes", "vectors", "code_bytes", "hits")
+    rows = []
+    for metric in (V.L2, V.IP):
+        _, counters = S.counted_search(x.queries, stored, x.q, metric, NPROBE, K)
+        rows.append((metric, *(counters.get(n, 0) for n in names)))
+    return spark.createDataFrame(rows, "metric string, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def packed_index(spark: SparkSession, x: Index) -> DataFrame:
     """The index with packed codes, stored and loaded."""
     path = shared_folder(spark, "packed")
@@ -456,6 +467,6 @@ QUERIES = {
     "lru_hit_miss": lru_hit_miss, "lru_evictions": lru_evictions, "cache_resident_set": cache_resident_set, "last_cluster_id": last_cluster_id,
     "codebook_reload_flag": codebook_reload_flag, "opwq_priority": opwq_priority, "cache_counters": cache_counters, "centroid_cache": centroid_cache,
     "config_parse": config_parse, "api_version": api_version,
-    "packed_search_l2": packed_search(V.L2), "packed_search_ip": packed_search(V.IP), "packed_code_bytes": packed_code_bytes, "bounded_search": bounded_search, "bounded_shares": bounded_shares,
+    "search_counters": search_counters, "packed_search_l2": packed_search(V.L2), "packed_search_ip": packed_search(V.IP), "packed_code_bytes": packed_code_bytes, "bounded_search": bounded_search, "bounded_shares": bounded_shares,
     "exact_knn": exact_knn, "refined_search": refined_search, "refined_recall": refined_recall, "ivfpq_recall": ivfpq_recall,
 }

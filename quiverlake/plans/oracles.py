@@ -198,7 +198,10 @@ for _m in ("l2", "ip"):
         f"ivfpq_search_{_m}": _with(INDEX + scanned(_m), gathered()),
         f"semantic_read_{_m}": semantic(_m),
     }
+_COUNTERS = "(SELECT count(DISTINCT qid) FROM probes) AS queries, (SELECT count(*) FROM probes) AS probes, (SELECT count(*) FROM scanned) AS vectors, (SELECT count(*) * 8 FROM scanned) AS code_bytes"
 ORACLES |= {
+    "search_counters": " UNION ALL ".join(
+        "SELECT * FROM (" + _with(INDEX + scanned(m) + f"found AS ({gathered()}),", f"SELECT '{m}' AS metric, {_COUNTERS}, (SELECT count(*) FROM found) AS hits") + ")" for m in ("l2", "ip")),
     "kernel_search": ORACLES["ivfpq_search_l2"],
     "centroid_tree": _with(BASE.replace("LIMIT 4)", "LIMIT 256)") + probes("l2", 4), "SELECT qid, rank, cluster_id, distance FROM probes"),
     "subvector_split": "SELECT vec_id, m::INT AS m, embedding[8 * m + 1:8 * m + 8] AS part FROM embeddings, range(8) t(m)",

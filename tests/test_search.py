@@ -48,6 +48,18 @@ def test_search_equals_the_scalar_search(data, metric, nprobe):
     assert got == sorted(want)
 
 
+def test_counters_of_a_search(data, monkeypatch):
+    rows, _, queries, q, lists = data
+    sizes = {r.cluster_id: r.n_vectors for r in I.list_sizes(lists).collect()}
+    probed = S.probes(queries, q, "l2", 2).collect()
+    want = {"queries": 5, "probes": 10, "vectors": (n := sum(sizes.get(r.cluster_id, 0) for r in probed)), "code_bytes": 4 * n, "hits": 35}
+    found, counters = S.counted_search(queries, lists, q, "l2", 2, 7)
+    assert counters == want and sorted(map(tuple, found.collect())) == sorted(map(tuple, S.search(queries, lists, q, "l2", 2, 7).collect()))
+    monkeypatch.setattr(S, "in_blocks", lambda df, n: iter([df.where("qid % 2 = 0"), df.where("qid % 2 = 1")]))
+    assert S.counted_search(queries, lists, q, "l2", 2, 7)[1] == want
+    assert S.counted_search(queries.limit(0), lists, q, "l2", 2, 7)[1] == dict.fromkeys(want, 0)
+
+
 def test_blocks_of_queries_change_nothing(data, monkeypatch):
     _, _, queries, q, lists = data
     whole = sorted(map(tuple, S.search(queries, lists, q, "l2", 2, 5).collect()))
