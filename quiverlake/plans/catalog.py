@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quiverlake.functions import vector as V
 from quiverlake.operators import bounded
 from quiverlake.operators import cache as C
+from quiverlake.operators import cells
 from quiverlake.operators import index as I
 from quiverlake.operators import kernel, packed
 from quiverlake.operators import search as S
@@ -29,6 +30,7 @@ from quiverlake.sources.tables import shared_folder, table
 NPROBE, K = 2, 10
 FITTED = (16, 32, 256)  # clusters, sub-quantizers and codewords of the fitted index
 CANDIDATES = 200
+MOST_IN_LIST = 200
 
 
 class Index:
@@ -189,6 +191,14 @@ def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.list_sizes(I.coded(x.vectors, x.q))
 
 
+def bounded_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in lists split until none has more than MOST_IN_LIST: how many vectors there are, and how many lists are too long."""
+    x = Index(spark, sf_dir)
+    at = cells.placed(x.vectors, cells.split(x.vectors, x.q.centroids, MOST_IN_LIST))
+    sizes = at.groupBy("list").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors"), F.count_if(F.col("n") > MOST_IN_LIST).alias("too_long"))
+
+
 def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(spark, sf_dir).lists
 
@@ -459,7 +469,7 @@ QUERIES = {
     "cluster_topk_l2": cluster_topk(V.L2), "cluster_topk_ip": cluster_topk(V.IP), "device_search": device_search, "topk_clamp": topk_clamp,
     "scatter_gather_topk": scatter_gather_topk, "semantic_read_l2": semantic_read(V.L2), "semantic_read_ip": semantic_read(V.IP),
     "adc_exhaustive_topk": adc_exhaustive_topk, "search_status": search_status,
-    "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
+    "ivf_assign": ivf_assign, "ivf_list_sizes": ivf_list_sizes, "inverted_lists": inverted_lists, "bounded_lists": bounded_lists, "pq_encode": pq_encode, "pq_code_unpack": pq_code_unpack,
     "kmeans_step": kmeans_step, "kmeans_starts": kmeans_starts, "pq_train_step": pq_train_step,
     "cluster_object_size": cluster_object_size, "index_metadata": index_metadata, "blob_validate": blob_validate, "blob_scan": blob_scan, "blob_roundtrip": blob_roundtrip, "semantic_write_overwrite": semantic_write_overwrite, "versioned_overwrite": versioned_overwrite, "appended_lists": appended_lists, "cluster_extents": cluster_extents,
     "raw_vectors": raw_vectors, "raw_codes": raw_codes, "golden_topk_records": golden_topk_records,

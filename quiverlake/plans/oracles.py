@@ -215,6 +215,7 @@ ORACLES |= {
     "ivf_assign": _with(BASE + ASSIGNED, "SELECT vec_id, cluster_id FROM assigned"),
     "ivf_list_sizes": _with(BASE + ASSIGNED, "SELECT cluster_id, count(*) AS n_vectors FROM assigned GROUP BY cluster_id"),
     "inverted_lists": _with(INDEX, "SELECT cluster_id, vector_id, global_id, codes FROM lists"),
+    "bounded_lists": "SELECT count(*) AS n_vectors, 0::BIGINT AS too_long FROM embeddings",  # where they lie is tested against a loop
     "appended_lists": _with(INDEX, "SELECT cluster_id, vector_id, global_id, codes FROM lists"),
     "pq_encode": _with(INDEX, "SELECT vec_id, codes FROM coded"),
     "pq_code_unpack": _with(INDEX, f"SELECT vec_id, {nibbles('codes')} AS packed, codes, {nibbles('part')} AS part_packed, part AS part_codes FROM (SELECT *, CASE WHEN vec_id % 10 != 9 THEN codes[:vec_id % 9] END AS part FROM coded)"),
