@@ -208,10 +208,12 @@ def checked(requests: DataFrame, lists: DataFrame, q: Quantizer, missing: int =
     return joined.withColumn("status", status_of(dim, F.col("_there").isNotNull(), q, missing=missing)).drop("_there")
 
 
-def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: int | None = None, missing: int = ENOENT) -> DataFrame:
+def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: int | None = None, missing: int = ENOENT, scorer=None) -> DataFrame:
     """req, status, count, rank, vector_id, distance: a row for each hit, and one without a hit for requests that have none.
 
-    Longer queries than the index's are cut; top_k is clamped to limit.
+    Longer queries than the index's are cut; top_k is clamped to limit. scorer gives the best of each request's cluster from
+    (requests, lists, quantizer, how many, name of the request): a join and expressions by default, or
+    kernel.best_of_requests, which is for many requests of large clusters, since pairs don't leave its tasks.
     """
     judged = checked(requests, lists, q, missing)
     wanted = F.col("top_k") if limit is None else F.least(F.col("top_k"), F.lit(limit))
@@ -219,7 +221,8 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
 
     def part(metric: str, block: DataFrame) -> DataFrame:
         chosen = with_tables(block.where(V.metric_column(F.col("metric")) == metric), q, metric).select("req", "cluster_id", "top_k", "lut")
-        return ranked(scan(chosen, lists, q), most, "req").where(F.col("rank") <= F.col("top_k"))  # a fixed bound cuts before the shuffle
+        scores = scan(chosen, lists, q) if scorer is None else scorer(chosen, lists, q, most, "req").join(F.broadcast(chosen.select("req", "top_k")), "req")
+        return ranked(scores, most, "req").where(F.col("rank") <= F.col("top_k"))  # a fixed bound cuts before the shuffle
 
     number, largest, asked = good.agg(F.count("*"), F.max("top_k"), F.collect_set(V.metric_column(F.col("metric")))).first()
     most = limit if limit is not None else largest or 0

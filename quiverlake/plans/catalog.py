@@ -178,7 +178,7 @@ def topk_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = I.coded(x.vectors, x.q).select("global_id", "codes", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     one = twice.select(F.lit(0).alias("cluster_id"), (2 * F.col("global_id") + F.col("copy")).alias("vector_id"), "global_id", "codes")
     asked = x.queries.select(F.col("qid").alias("req"), "qvec", F.lit(0).alias("cluster_id"), F.lit(600).alias("top_k"), F.lit(0).alias("metric"))
-    return S.device_search(asked, one, x.q, S.MOST_RESULTS).select("req", "count", "rank", "vector_id", "distance")
+    return S.device_search(asked, one, x.q, S.MOST_RESULTS, scorer=kernel.best_of_requests).select("req", "count", "rank", "vector_id", "distance")
 
 
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:

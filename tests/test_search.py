@@ -100,6 +100,14 @@ def test_device_search_statuses(spark, data):
     assert [(d, i) for _, i, d in hits[2]] == want
 
 
+def test_device_search_by_the_kernel(spark, data):
+    rows, _, _, q, lists = data
+    asked = requests(spark, rows)
+    plain = sorted(map(str, S.device_search(asked, lists, q, S.MOST_RESULTS).collect()))
+    assert sorted(map(str, S.device_search(asked, lists, q, S.MOST_RESULTS, scorer=K.best_of_requests).collect())) == plain
+    assert S.device_search(asked.limit(0), lists, q, S.MOST_RESULTS, scorer=K.best_of_requests).count() == 0
+
+
 def test_ties_go_to_the_lower_id_and_results_are_clamped(spark, data):
     rows, _, _, q, _ = data
     lists = spark.range(700).select(F.lit(0).alias("cluster_id"), F.col("id").alias("vector_id"), F.col("id").alias("global_id"), F.array(*[F.lit(3)] * 4).alias("codes"))
