@@ -85,7 +85,8 @@ def replay(log: DataFrame, slots: int = SLOTS) -> DataFrame:
                 out.append((event[i], shard[i], key[i], op[i], *touch(cache, key[i], slots)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 7, fields, strict=True)], schema=fields)
 
-    dealt = joined.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "ts", "event_id")
+    # not by the join's own keys: Spark would take its exchange for this one and may yet drop it for a broadcast join, which tears chunks apart
+    dealt = joined.repartition(F.xxhash64("shard", "chunk")).sortWithinPartitions("shard", "chunk", "ts", "event_id")
     return dealt.mapInArrow(run, "event_id bigint, shard int, cluster_id int, op string, hit boolean, evicted int, priority int")
 
 

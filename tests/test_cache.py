@@ -60,6 +60,22 @@ def test_chunked_replay_equals_a_plain_one(spark, monkeypatch, seed, slots):
     assert last == {s: [r[2] for r in want if r[1] == s and r[3] == "read"][-1] for s in caches}
 
 
+def test_replay_holds_chunks_together_where_a_join_turns_to_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_ROWS", 50)
+    rows = log_rows(4)
+    log = spark.createDataFrame(rows, LOG).repartition(4)
+    as_for_large_logs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in as_for_large_logs.items():  # planned as sort-merge joins of several partitions
+        spark.conf.set(name, value)
+    try:
+        replayed = C.replay(log, 3)
+        assert replayed._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 2  # of states by shard, of accesses by chunk
+        assert sorted(map(tuple, replayed.collect())) == sorted(plain(rows, 3)[0])
+    finally:
+        for name in as_for_large_logs:
+            spark.conf.unset(name)
+
+
 def test_two_slots(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [(i, at + dt.timedelta(seconds=i), c, "read", 0) for i, c in enumerate([0, 1, 2])]
