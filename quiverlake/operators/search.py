@@ -153,7 +153,7 @@ def search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L
 def counted_search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: str = V.L2, nprobe: int = 1, k: int = 10) -> tuple[DataFrame, dict[str, int]]:
     """search(), run once and stored, and what it did: queries, probes (pairs of a query and a cluster), vectors scored, bytes of their codes (one for each sub-quantizer) and hits.
 
-    The counters are observed on the search's own plan while it runs, not counted apart.
+    Queries and probes are counted as they are collected for the kernel; the others are observed on the search's own plan while it runs.
     """
     spark, watched = queries.sparkSession, []
 
@@ -161,26 +161,24 @@ def counted_search(queries: DataFrame, lists: DataFrame, q: Quantizer, metric: s
         watched.append(Observation())
         return rows.observe(watched[-1], *counters)
 
-    def part(block: DataFrame) -> DataFrame:
-        asked = observed(probes(block, q, metric, nprobe).select("qid", "qvec", "cluster_id", "rank"), F.count("*").alias("probes"), F.count_if(F.col("rank") == 1).alias("queries"))
-        requests = with_tables(asked.drop("rank"), q, metric).drop("qvec")
-        joined = lists.join(F.broadcast(requests), "cluster_id")  # as in scan(), with what it reads
-        seen = observed(joined, F.count("*").alias("vectors"), F.sum(F.size("codes").cast("long")).alias("code_bytes"))
-        scores = seen.withColumn("distance", V.adc(F.col("lut"), F.col("codes"), q.n_sub)).drop("lut", "codes")
-        return ranked(scores, k, "qid", "cluster_id").select("qid", "cluster_id", "rank", "vector_id", "global_id", "distance")
-
-    found = observed(gather(union(part(b) for b in in_blocks(queries, nprobe * q.n_sub * q.ksub * 4)), k), F.count("*").alias("hits"))
+    from quiverlake.operators import kernel
+
+    counters = dict.fromkeys(("queries", "probes", "vectors", "code_bytes", "hits"), 0)
+    parts = []
+    for part, n_queries, n_probes in kernel.best_of_probes(queries, lists, q, metric, nprobe, k, False):
+        counters["queries"] += n_queries
+        counters["probes"] += n_probes
+        parts.append(observed(part, F.sum("scored").alias("vectors"), (F.sum("scored") * q.n_sub).alias("code_bytes")).drop("scored"))
+    found = observed(gather(union(iter(parts)).withColumn("rank", F.lit(0)), k), F.count("*").alias("hits"))
     path = shared_folder(spark, "counted")
     found.write.parquet(path)
-    counters: dict[str, int] = {}
-    names = ("queries", "probes"), ("vectors", "code_bytes")
-    for k, watch in enumerate(watched):
+    for watch in watched:
         try:
             seen = watch.get
         except Py4JJavaError:  # Spark drops the node from a plan that it finds to be empty while it runs
             seen = {}
-        for name in names[k % 2] if k < len(watched) - 1 else ("hits",):
-            counters[name] = counters.get(name, 0) + (seen.get(name) or 0)
+        for name, n in seen.items():
+            counters[name] += n or 0
     return spark.read.schema(found.schema).parquet(path), counters
 
 
@@ -226,7 +224,8 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
 
     number, largest, asked = good.agg(F.count("*"), F.max("top_k"), F.collect_set(V.metric_column(F.col("metric")))).first()
     most = limit if limit is not None else largest or 0
-    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4, "req", count=number))
+    kept = 24 * most if scorer is not None else 0  # of a request by the kernel's tasks
+    blocks = list(in_blocks(good, q.n_sub * q.ksub * 4 + kept, "req", count=number))
     hits = union(part(metric, b) for metric in sorted(asked) or [V.L2] for b in blocks).select("req", "rank", "vector_id", "distance")
     counts = hits.groupBy("req").agg(F.count("*").alias("count"))
     return judged.select("req", "status").join(counts, "req", "left").join(hits, "req", "left").select("req", "status", F.coalesce("count", F.lit(0)).alias("count"), "rank", "vector_id", "distance")
@@ -234,14 +233,17 @@ def device_search(requests: DataFrame, lists: DataFrame, q: Quantizer, limit: in
 
 def exact_topk(queries: DataFrame, vectors: DataFrame, metric: str, k: int, dim: int) -> DataFrame:
     """qid, rank, global_id, distance of the true neighbours."""
-    scored = against_all(queries, vectors.select(F.col("vec_id").alias("vector_id"), "embedding"), dim).withColumn("distance", V.distance(metric, F.col("qvec"), F.col("embedding")))
-    found = ranked(scored.select("qid", "vector_id", "distance", F.lit(0).alias("cluster_id")), k, "qid")
+    from quiverlake.operators import kernel
+
+    found = ranked(kernel.exact_topk(queries, vectors, metric, k, dim), k, "qid")
     return found.select("qid", "rank", F.col("vector_id").alias("global_id"), "distance")
 
 
 def refined(queries: DataFrame, lists: DataFrame, vectors: DataFrame, q: Quantizer, metric: str, nprobe: int, k: int, factor: int) -> DataFrame:
     """The best k by true distance among the best k * factor by codes: qid, rank, global_id, distance."""
-    close = search(queries, lists, q, metric, nprobe, k * factor).select("qid", "global_id")
+    from quiverlake.operators import kernel
+
+    close = kernel.search(queries, lists, q, metric, nprobe, k * factor).select("qid", "global_id")
     raw = close.join(vectors.select(F.col("vec_id").alias("global_id"), "embedding"), "global_id").join(queries, "qid")
     scored = raw.select("qid", F.col("global_id").alias("vector_id"), F.lit(0).alias("cluster_id"), V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
     return ranked(scored, k, "qid").select("qid", "rank", F.col("vector_id").alias("global_id"), "distance")

@@ -55,8 +55,7 @@ class Index:
 def vector_distance(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
-        pairs = S.against_all(x.queries, x.vectors, x.q.dim)
-        return pairs.select("qid", "vec_id", V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
+        return kernel.pairs(x.queries, x.vectors, metric, x.q.dim)
 
     return run
 
@@ -114,7 +113,7 @@ def adc_scan(metric: str):
 def cluster_topk(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
-        return S.cluster_topk(x.queries, x.lists, x.q, metric, NPROBE, K)
+        return kernel.cluster_topk(x.queries, x.lists, x.q, metric, NPROBE, K)
 
     return run
 
@@ -122,25 +121,25 @@ def cluster_topk(metric: str):
 def ivfpq_search(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
-        return S.search(x.queries, x.stored(spark), x.q, metric, NPROBE, K)
+        return kernel.search(x.queries, x.stored(spark), x.q, metric, NPROBE, K)
 
     return run
 
 
 def kernel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ivfpq_search_l2 with the NumPy scorer."""
+    """ivfpq_search_l2 by the best of each cluster."""
     x = Index(spark, sf_dir)
     return S.search(x.queries, x.stored(spark), x.q, V.L2, NPROBE, K, kernel.cluster_topk)
 
 
 def scatter_gather_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
-    return S.gather(S.cluster_topk(x.queries, x.lists, x.q, V.L2, NPROBE, K), K)
+    return S.gather(kernel.cluster_topk(x.queries, x.lists, x.q, V.L2, NPROBE, K), K)
 
 
 def adc_exhaustive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
-    return S.exhaustive(x.queries, x.lists, x.q, V.L2, K)
+    return kernel.exhaustive(x.queries, x.lists, x.q, V.L2, K)
 
 
 def requests(x: Index) -> DataFrame:
@@ -153,7 +152,7 @@ def requests(x: Index) -> DataFrame:
 
 def device_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
-    return S.device_search(requests(x), x.stored(spark), x.q)
+    return S.device_search(requests(x), x.stored(spark), x.q, scorer=kernel.best_of_requests)
 
 
 def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +166,7 @@ def semantic_read(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = Index(spark, sf_dir)
         asked = S.probes(x.queries, x.q, metric, 1).select(F.col("qid").alias("req"), "qvec", "cluster_id", F.lit(600).alias("top_k"), F.lit(1 if metric == V.IP else 0).alias("metric"))
-        return S.device_search(asked, x.stored(spark), x.q, S.MOST_RESULTS, S.EINVAL)
+        return S.device_search(asked, x.stored(spark), x.q, S.MOST_RESULTS, S.EINVAL, kernel.best_of_requests)
 
     return run
 
@@ -338,7 +337,7 @@ def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Index(spark, sf_dir)
-    a, b = (S.exhaustive(x.queries, x.lists, x.q, m, K).select("qid", "rank", F.col("global_id").alias(m)) for m in (V.L2, V.IP))
+    a, b = (kernel.exhaustive(x.queries, x.lists, x.q, m, K).select("qid", "rank", F.col("global_id").alias(m)) for m in (V.L2, V.IP))
     return a.join(b, ["qid", "rank"]).groupBy("qid").agg(F.max(F.col(V.L2) != F.col(V.IP)).alias("differs"))
 
 

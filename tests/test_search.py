@@ -227,3 +227,23 @@ def test_sparse_ids_are_numbered_by_ranges(spark):
     for r in I.number_within(rows, "g", "key", "at").collect():
         got.setdefault(r.g, []).append((r.key, r["at"]))
     assert {g: [a for _, a in sorted(x)] for g, x in got.items()} == {g: list(range(len(x))) for g, x in got.items()} and len(got) == 4
+
+
+def test_pairs_do_not_leave_the_kernels_tasks(spark, data):
+    _, base, queries, q, lists = data
+    for metric in ("l2", "ip"):
+        assert sorted(map(tuple, K.search(queries, lists, q, metric, 2, 7).collect())) == sorted(map(tuple, S.search(queries, lists, q, metric, 2, 7).collect()))
+        assert sorted(map(tuple, K.exhaustive(queries, lists, q, metric, 3).collect())) == sorted(map(tuple, S.exhaustive(queries, lists, q, metric, 3).collect()))
+    most = 3 * queries.count() * spark.sparkContext.defaultParallelism
+    (part, _, _), = K.best_of_probes(queries, lists, q, "l2", 4, 3, False)
+    assert part.count() <= most and K.exact_topk(queries, base, "l2", 3, 32).count() <= most
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_kernel_pairs_equal_the_expressions_on_odd_vectors(spark, metric):
+    odd = [[1.0, 2.0, 3.0], None, [1.0, None, 3.0], [1.0, 2.0], [], [0.5, -0.0, 7.25]]
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "vec_id long, embedding array<float>")
+    queries = vectors.selectExpr("vec_id AS qid", "embedding AS qvec")
+    plain = S.against_all(queries, vectors, 3).select("qid", "vec_id", V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
+    assert sorted(map(str, K.pairs(queries, vectors, metric, 3).collect())) == sorted(map(str, plain.collect()))
+    assert K.pairs(queries, vectors.limit(0), metric, 3).count() == 0 == K.pairs(queries.limit(0), vectors, metric, 3).count()
