@@ -62,7 +62,7 @@ from .shared import as_text, materialise, run_folder
 
 LEAST_PAGES, LEAST_SHARED = 3, 5  # different pages that make a node template, and one text among a list's others
 GROUP = 256  # trees that one task aligns into a wrapper
-MOST_NODES, RARE = 20_000, 64  # of a wrapper; beyond, nodes on less than one page in RARE are cut
+MOST_NODES = 20_000  # a size of wrappers that tests set; nothing is cut at it
 MOST_OF, LITTLE_OF = 0.6, 0.1  # shares of varying text: to go into a child, and at most of a part that its name can drop
 BROADCAST_ROWS, BROADCAST_NODES = 20_000, 1_000_000
 
@@ -374,8 +374,6 @@ def absorb(wrapper: Tree, tree: Tree) -> Tree:
                 siblings.insert(siblings.index(last) + 1 if last is not None else 0, found[c])
             last = found[c]
         wrapper.support[found[j]] += tree.support[j]
-    if len(wrapper.nodes) > MOST_NODES:
-        return wrapper.ordered(1 + wrapper.support[0] // RARE)
     return wrapper
 
 

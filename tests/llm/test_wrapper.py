@@ -332,6 +332,14 @@ def test_many_trees_are_aligned_in_groups(spark, monkeypatch):
     assert texts_of(spark, pages) == {i: f"own text {i} {'word ' * i}".strip() + f"\nmore {i}" for i in range(20)}
 
 
+def test_absorb_leaves_no_node_out(monkeypatch):
+    monkeypatch.setattr(w, "MOST_NODES", 12)
+    wrapper = w.Tree([(-1, "#root", "")], [0])
+    for i in range(100):
+        wrapper = w.absorb(wrapper, w.Tree([(-1, "#root", ""), (0, "div", f"c{i}")], [1, 1]))
+    assert len(wrapper.nodes) == 101 and wrapper.support[0] == 100 and wrapper.support[1:] == [1] * 100
+
+
 def test_parts_inside_an_article():
     inside = "<article><p>x</p><div class='social-history'>a</div><div class='share-prices'>b</div><div class=share>c</div><div id=comments>d</div></article>"
     assert text(inside) == "x\na\nb"
