@@ -42,6 +42,7 @@ from quiverlake.sources.tables import shared_folder
 
 STORED = "global_id bigint, reach double, gap double, code binary, vector array<float>, cluster_id int"
 FIRST, MORE = 1, 2
+CELLS = 1 << 18  # of a table of bounds made at once; some ten tables of 8 bytes each are held beside it
 TINY = 1e-9  # more than the rounding of sums in float64, relative to their parts
 HITS = "qid bigint, cluster_id int, vector_id bigint, distance float, scored bigint"
 
@@ -163,7 +164,7 @@ def _nearest(spark: SparkSession, at: Store, asked: tuple, k: int) -> DataFrame:
 
 def _steps(who: np.ndarray, rows: int) -> Iterator[np.ndarray]:
     """Queries in steps whose table of distances to so many rows is of bounded size."""
-    step = max(1, A.CELLS // max(rows, 1))
+    step = max(1, CELLS // max(rows, 1))
     for lo in range(0, len(who), step):
         yield who[lo : lo + step]
 

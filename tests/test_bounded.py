@@ -96,3 +96,10 @@ def test_odd_vectors_and_few_of_them(spark, data):
     assert {r.global_id for r in got} == {0, 1, 2, 3, 4, 5, 9003}
     assert B.search(asked, B.store(vectors.limit(0), q), 10).count() == 0 == B.search(queries.limit(0), B.store(few, q), 10).count()
     assert B.shares(queries, B.store(vectors.limit(0), q), 10).count() == 0 == B.search(queries, B.store(vectors.limit(0), I.Quantizer([], [])), 10).count()
+
+
+def test_tables_of_bounds_are_small():
+    who = np.arange(12_000)
+    steps = list(B._steps(who, 10_000))
+    assert max(len(s) for s in steps) * 10_000 <= 1 << 18 and np.array_equal(np.concatenate(steps), who)
+    assert [len(s) for s in B._steps(who[:3], 1 << 20)] == [1, 1, 1]
