@@ -37,13 +37,24 @@ def distances(metric: str, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     return -total if metric == IP else total
 
 
-def pairwise(rows: np.ndarray, i: np.ndarray, words: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Squared L2 of row i[n] to word j[n] for each n."""
-    total = np.zeros(len(i), np.float32)
-    for d in range(words.shape[1]):
-        gap = rows[i, d] - words[j, d]
-        total += gap * gap
-    return total
+def pairwise(rows: np.ndarray, i: np.ndarray, words: np.ndarray, j: np.ndarray, metric: str = "l2", dsub: int = 0) -> np.ndarray:
+    """The distance of row i[n] to word j[n] for each n; with dsub the sum, from 0, of those of sub-vectors."""
+    parts, width = [], words.shape[1]
+    for first in range(0, width, dsub or max(width, 1)):
+        total = np.zeros(len(i), np.float32)
+        for d in range(first, min(first + (dsub or width), width)):
+            if metric == IP:
+                total += rows[i, d] * words[j, d]
+            else:
+                gap = rows[i, d] - words[j, d]
+                total += gap * gap
+        parts.append(-total if metric == IP else total)
+    if len(parts) == 1 and not dsub:
+        return parts[0]
+    out = np.zeros(len(i), np.float32)
+    for part in parts:
+        out += part
+    return out
 
 
 def nearest(rows: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiverlake.functions import arrays as A
 from quiverlake.functions import vector as V
 from quiverlake.operators import index as I
 from quiverlake.operators import kernel as K
@@ -247,3 +248,33 @@ def test_kernel_pairs_equal_the_expressions_on_odd_vectors(spark, metric):
     plain = S.against_all(queries, vectors, 3).select("qid", "vec_id", V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
     assert sorted(map(str, K.pairs(queries, vectors, metric, 3).collect())) == sorted(map(str, plain.collect()))
     assert K.pairs(queries, vectors.limit(0), metric, 3).count() == 0 == K.pairs(queries.limit(0), vectors, metric, 3).count()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("dsub", [0, 4])
+def test_bounds_leave_out_pairs_but_no_hit(metric, dsub):
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((6000, 16)).astype(np.float32)
+    rows[3000:] = rows[:3000]  # ties
+    rows[:500] *= np.float32(1e-22)  # squares underflow
+    rows[500:700] += np.float32(1000)  # distances cancel
+    odd = rows[:40].copy()
+    odd[0], odd[1], odd[2, 3], odd[3] = np.nan, np.inf, 3e38, 0
+    queries = np.concatenate([rng.standard_normal((300, 16)).astype(np.float32), rows[490:510], rows[:5], odd[:4]])
+    for some in (rows, np.concatenate([odd, rows])):
+        best, plain = K.Best(10), K.Best(10)
+        bounds, slots, key = K.Bounds(metric, queries), np.arange(len(queries)), np.arange(len(some))
+        with np.errstate(all="ignore"):
+            for lo in range(0, len(some), 1500):
+                part = some[lo : lo + 1500]
+                for who, slot, at in bounds.close(part, slots, slots, best):
+                    K._add(best, slot, A.pairwise(part, at, queries, who, metric, dsub), key[lo + at] % 3, key[lo + at], key[lo + at])
+                for q in slots.tolist():
+                    total = A.pairwise(part, np.arange(len(part)), queries, np.full(len(part), q), metric, dsub)
+                    plain.add(q, total, key[lo : lo + 1500] % 3, key[lo : lo + 1500], key[lo : lo + 1500])
+        for q in slots.tolist():
+            assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(best.held[q], plain.held[q], strict=True))
+    best = K.Best(10)
+    some, slots = rng.standard_normal((6000, 16)).astype(np.float32), np.arange(300)
+    compared = sum(len(who) for who, _, _ in K.Bounds(metric, queries[:300]).close(some, slots, slots, best))
+    assert 300 * 10 <= compared < 300 * 20
