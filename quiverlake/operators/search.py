@@ -240,11 +240,15 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, metric: str, k: int, dim:
 
 
 def refined(queries: DataFrame, lists: DataFrame, vectors: DataFrame, q: Quantizer, metric: str, nprobe: int, k: int, factor: int) -> DataFrame:
-    """The best k by true distance among the best k * factor by codes: qid, rank, global_id, distance."""
+    """The best k by true distance among the best k * factor by codes: qid, rank, global_id, distance.
+
+    Hits meet their vectors, then their queries, by shuffles: left to itself, Spark broadcasts whichever of them it finds
+    small while it runs, through the driver.
+    """
     from quiverlake.operators import kernel
 
     close = kernel.search(queries, lists, q, metric, nprobe, k * factor).select("qid", "global_id")
-    raw = close.join(vectors.select(F.col("vec_id").alias("global_id"), "embedding"), "global_id").join(queries, "qid")
+    raw = close.join(vectors.select(F.col("vec_id").alias("global_id"), "embedding").hint("merge"), "global_id").join(queries.hint("merge"), "qid")
     scored = raw.select("qid", F.col("global_id").alias("vector_id"), F.lit(0).alias("cluster_id"), V.distance(metric, F.col("qvec"), F.col("embedding")).alias("distance"))
     return ranked(scored, k, "qid").select("qid", "rank", F.col("vector_id").alias("global_id"), "distance")
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,13 @@ def test_refined_search_recalls(spark, data):
     assert S.recall(found, truth).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_refinement_sends_no_table_through_the_driver(data):
+    _, base, queries, q, lists = data
+    found = S.refined(queries, lists, base, q, "l2", 4, 5, 10)
+    assert found.count() == 25
+    assert set(re.findall(r"(\w*Join) \[(?:qid|global_id)#\d+L?\], \[", plan(found))) == {"SortMergeJoin"}
+
+
 def test_invalid_vectors_are_told(spark, data):
     rows, base, _, q, lists = data
     odd = spark.createDataFrame([(200, None), (201, [1.0] * 31), (202, [*[1.0] * 31, None]), (203, [*rows[3], 5.0])], "vec_id long, embedding array<float>")
