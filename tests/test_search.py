@@ -131,6 +131,8 @@ def test_refinement_sends_no_table_through_the_driver(data):
     found = S.refined(queries, lists, base, q, "l2", 4, 5, 10)
     assert found.count() == 25
     assert set(re.findall(r"(\w*Join) \[(?:qid|global_id)#\d+L?\], \[", plan(found))) == {"SortMergeJoin"}
+    shares = S.recall(found, S.exact_topk(queries, base, "l2", 5, 32))
+    assert shares.count() == 5 and "SortMergeJoin [qid" in plan(shares) and "BroadcastHashJoin [qid" not in plan(shares)
 
 
 def test_invalid_vectors_are_told(spark, data):
