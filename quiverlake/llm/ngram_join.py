@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .shared import FOLD, blocks, chained, materialise, mix, partitions_for, run_folder, slices, text_buffers, window_hashes, windows, word_hashes, words
+from .shared import FOLD, blocks, chained, drop_folder, materialise, mix, partitions_for, run_folder, shuffles_dropped, slices, text_buffers, window_hashes, windows, word_hashes, words
 
 FRAGMENTS = 4  # of the order, when pairs are verified
 SCATTER = 4  # fragments for each shuffle partition, when private n-grams are found
@@ -58,6 +58,7 @@ SLICE_GRAMS = 400_000  # handled at once by a task
 LIST_ROWS = 20_000  # of a list that one task pairs; longer ones are cut into blocks that meet two by two
 BROADCAST_LISTS = 100_000
 BROADCAST_SETS = 1_000_000  # of 20 bytes each
+BROADCAST_IDS = 1_000_000  # of rows that go
 HELD_GRAMS = 8_000_000  # counts that a task gathers before it sends them on
 
 PROFILE = "kind int, doc_id bigint, cls bigint, n int, block bigint, idx int, own int, part int, data binary"
@@ -230,16 +231,19 @@ def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     partitions = partitions_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = rows.mapInArrow(_profile(width, SCATTER * partitions), PROFILE).repartition(partitions, "part").sortWithinPartitions("part")
-    found = materialise(sent.mapInArrow(_met, PROFILE), run_folder(spark, "ngram_profile"))
+    path = run_folder(spark, "ngram_profile")
+    found = materialise(sent.mapInArrow(_met, PROFILE), path)
     messages = found.where("kind = 2").select("block", "data").repartition(partitions, "block").sortWithinPartitions("block")
     met = messages.mapInArrow(_summed, "block bigint, idx int, met int")
     private = (F.col("own") - F.coalesce("met", F.lit(0))).cast("int")
     members = found.where("kind = 0").join(met, ["block", "idx"], "left").select("doc_id", "cls", "n", private.alias("s"))
-    return materialise(members, run_folder(spark, "ngram_members"))
+    members = materialise(members, run_folder(spark, "ngram_members"))
+    drop_folder(spark, path)
+    return members
 
 
-def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """cls, n, s and grams (ascending as unsigned numbers) of the sets that can link with another, read from a table.
+def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str, path: str) -> DataFrame:
+    """cls, n, s and grams (ascending as unsigned numbers) of the sets that can link with another, read from a table at the path.
 
     Of each set one document is read again. While those are few, their ids go to all tasks and no text is shuffled;
     ids that several rows of a set share are joined by a shuffle, so that one task sees them all and keeps one.
@@ -249,7 +253,8 @@ def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, i
     rows_of = able.groupBy("cls", "doc_id").agg(F.count("*").alias("_rows"), F.max("s").alias("s"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_rows")).alias("first")
     chosen = rows_of.groupBy("cls").agg(first, F.max("s").alias("s")).select("cls", "s", F.col("first.doc_id").alias("rep"), ((F.col("first._rows") > 1) | F.col("first.no")).alias("odd"))
-    chosen = materialise(chosen, run_folder(spark, "ngram_chosen"))
+    of_chosen = run_folder(spark, "ngram_chosen")
+    chosen = materialise(chosen, of_chosen)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     single, odd = chosen.where("NOT odd").drop("odd"), chosen.where("odd").drop("odd")
     single = F.broadcast(single) if single.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else single
@@ -268,12 +273,15 @@ def shared_sets(docs: DataFrame, members: DataFrame, width: int, percent: int, i
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.diff(bounds)[keep], pa.int32()), batch.column(1).take(at), lists.take(at)], names=["cls", "n", "s", "grams"])
 
-    return materialise(joined.mapInArrow(collect, "cls bigint, n int, s int, grams array<bigint>"), run_folder(spark, "ngram_sets"))
+    sets = materialise(joined.mapInArrow(collect, "cls bigint, n int, s int, grams array<bigint>"), path)
+    drop_folder(spark, of_chosen)
+    return sets
 
 
 def frequent_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams to move to the end of the order, ascending, and their places there. Any choice is right; their number is bounded."""
-    top = sets.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
+    with shuffles_dropped(sets.sparkSession):
+        top = sets.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).collect()
     grams = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], (len(grams) - np.arange(len(grams)))[order]
@@ -363,8 +371,8 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").unionAll(of_leads).distinct()
 
 
-def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's members that are in different components and can link.
+def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int, path: str) -> DataFrame:
+    """All pairs of a list's members that are in different components and can link. They are made from a table at the path.
 
     Lists of one component are dropped first. In the others, the rest (what isn't of the list's largest component) meets
     all members: cell (i, j) holds block i of the rest and block j of all members, LIST_ROWS of each about, so a list
@@ -400,7 +408,7 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             yield from of_cell(*(np.concatenate([h[k] for h in held]) for k in range(3, 8)))
 
     labelled = lists.join(roots, lists["cls"] == roots["node"], "left").select("g", "cls", "n", "s", F.coalesce("root", "cls").alias("root"))
-    labelled = materialise(labelled, run_folder(lists.sparkSession, "ngram_labelled_lists"))
+    labelled = materialise(labelled, path)
     of_root = labelled.groupBy("g", "root").agg(F.count("*").alias("rows"))
     mixed = of_root.groupBy("g").agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "root")).alias("top")).where("size > top.rows")
     blocks = lambda x: F.ceil(x / LIST_ROWS).cast("int")
@@ -456,16 +464,24 @@ def _segments(fragments: int):
 def grouped_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The members (see profile), and (cls, root, component_id) of each set that has n-grams, both read from tables.
 
+    Tables of n-grams, lists and pairs are dropped as soon as nothing reads them.
     docs is read twice, and blocks are numbered by partition and place, so it should come from a table: a task that is
     repeated after a lost executor then sees the same rows in the same order.
     """
     spark = docs.sparkSession
     members = profile(docs, width, id_col, text_col)
-    sets = shared_sets(docs, members, width, percent, id_col, text_col)
-    lists = materialise(prefixes(sets, percent, frequent_grams(sets)), run_folder(spark, "ngram_lists"))
-    links = materialise(verified(first_pairs(lists, percent), sets, percent), run_folder(spark, "ngram_links"))
+    of_sets, of_lists, of_pairs, of_labelled, of_crossed = (run_folder(spark, f"ngram_{x}") for x in ("sets", "lists", "pairs", "labelled_lists", "pairs"))
+    sets = shared_sets(docs, members, width, percent, id_col, text_col, of_sets)
+    lists = materialise(prefixes(sets, percent, frequent_grams(sets)), of_lists)
+    pairs = materialise(first_pairs(lists, percent), of_pairs)  # so that what made them goes before they are verified
+    links = materialise(verified(pairs, sets, percent), run_folder(spark, "ngram_links"))
     roots = materialise(components(links), run_folder(spark, "ngram_roots"))
-    more = materialise(verified(cross_pairs(lists, roots, percent), sets, percent), run_folder(spark, "ngram_links"))
+    pairs = materialise(cross_pairs(lists, roots, percent, of_labelled), of_crossed)
+    for path in (of_pairs, of_lists, of_labelled):
+        drop_folder(spark, path)
+    more = materialise(verified(pairs, sets, percent), run_folder(spark, "ngram_links"))
+    for path in (of_crossed, of_sets):
+        drop_folder(spark, path)
     if more.limit(1).count():
         roots = materialise(components(links.unionByName(more)), run_folder(spark, "ngram_roots"))
     named = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
@@ -493,18 +509,24 @@ def _named(width: int):
     return run
 
 
+def _hinted(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component one row with the smallest id, with all its columns; null ids come last.
 
     An id tells a row unless it is null or repeated. Such rows are stored with the name of their set and a number, and
     of those with a component's smallest id the one with the smallest number stays.
+
+    While the ids that go are few, they are sent to all tasks and no row of docs is shuffled; so are repeated ids.
     """
     spark = docs.sparkSession
     members, table = grouped_sets(docs, width, percent, id_col, text_col)
     found = members.where("n > 0").join(table, "cls").where("doc_id != component_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = _hinted(materialise(found.select(F.col("doc_id").alias("_gone")).distinct(), run_folder(spark, "ngram_gone")))
     repeated = members.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_repeated"))
-    repeated = materialise(repeated, run_folder(spark, "ngram_repeated"))
+    repeated = _hinted(materialise(repeated, run_folder(spark, "ngram_repeated")))
     own = docs[id_col].cast("long")
     if not repeated.limit(1).count():
         return docs.join(gone, own == gone["_gone"], "left_anti")

@@ -9,6 +9,7 @@ hashed, by BLAKE2b.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import shutil
 import tempfile
@@ -25,6 +26,7 @@ BLOCK_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
 MOST_PARTITIONS = 100_000
 _BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -46,9 +48,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is made and run within has its shuffle files deleted when it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def materialise(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """Write df as Parquet and read it again: cuts the lineage and survives lost executors."""
-    df.write.mode("errorifexists").options(**options).parquet(path)
+    """Write df as Parquet and read it again: cuts the lineage and survives lost executors. The shuffle files of the write go."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,15 @@
+import contextlib
 import random
 import re
+import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
 from quiverlake.llm import ngram_join as nj
 from quiverlake.llm.components import components
+from quiverlake.llm.shared import materialise, run_folder
 
 from .common import documents, nothing, twins
 
@@ -127,3 +131,62 @@ def test_private_counts(spark):
         got = {r.doc_id: (r.n, r.s) for r in members.collect()}
         assert got[2] == (5, 3) and got[4] == (2, 2) and got[5] == (0, 0)
         assert got[1] == got[3] and got[1] in ((5, 3), (5, 0))  # a copy in another block counts as another set
+
+
+def shuffle_files(spark):
+    """The data files of Spark's shuffles that are on disk."""
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+
+@contextlib.contextmanager
+def no_shuffle_files(spark):
+    """What runs within leaves no shuffle files, though the driver collects no garbage; Spark deletes them a little later."""
+    before = shuffle_files(spark)
+    yield
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(1000).repartition(3, "id")
+    with no_shuffle_files(spark):
+        table = materialise(rows, run_folder(spark, "rows"))
+    assert spark.conf.get(key, None) is None
+    assert table.count() == 1000 == rows.count() == rows.count()
+    spark.conf.set(key, "false")
+    assert materialise(rows, run_folder(spark, "rows")).count() == 1000 and spark.conf.get(key) == "false"
+    spark.conf.unset(key)
+    sets = spark.createDataFrame([(i, 2, 0, [7, i]) for i in range(40)], "cls bigint, n int, s int, grams array<bigint>")
+    with no_shuffle_files(spark):
+        assert nj.frequent_grams(sets)[0].tolist() == [7]
+
+
+def test_tables_that_nothing_reads_are_dropped(spark):
+    docs = spark.createDataFrame(corpus(8, 120), "doc_id long, text string")
+    folder = Path(run_folder(spark, "x").removeprefix("file://")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    groups = nj.similar_groups(docs)
+    names = [p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before]
+    assert "ngram_members" in names and not {"ngram_profile", "ngram_chosen", "ngram_sets", "ngram_lists", "ngram_pairs", "ngram_labelled_lists"} & set(names)
+    assert groups.count() == 120
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_ids_that_go_are_sent_to_the_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(nj, "BROADCAST_IDS", 1000 if few else 0)
+    rows = corpus(8, 120)
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"), run_folder(spark, "documents"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table, size in ((docs, 120), (docs.unionAll(docs.limit(1)), 121)):
+            kept = nj.keep_one(table, 3, 70)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert ("LeftAnti, BuildRight" in plan) == few == ("SortMergeJoin [doc_id" not in plan), size
+            assert {r.doc_id for r in kept.collect()} == {d for d, _, c in plain(rows, 3, 70) if d == c}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
